@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, quality_rules, secrets, warc
+from . import bpe, mixing, quality_rules, secrets, simhash, warc
 from .common import shared_path, table
 
 COLUMNS5 = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -30,8 +30,22 @@ def op9_warc(spark, sf_dir):
     return warc.read_archive(spark, path).drop("url")
 
 
+def ranks():
+    import public_tokenizers
+
+    return bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+def op6_simhash(spark, sf_dir):
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op7_byte_bpe(spark, sf_dir):
+    return bpe.digests(table(spark, sf_dir, "documents"), ranks())
+
+
 def queries():
-    return {"op2_secret_scans": op2_secret_scans, "op5_quality_rules": op5_quality_rules, "op8_mixing": op8_mixing, "op9_warc": op9_warc}
+    return {"op6_simhash": op6_simhash, "op7_byte_bpe": op7_byte_bpe, "op2_secret_scans": op2_secret_scans, "op5_quality_rules": op5_quality_rules, "op8_mixing": op8_mixing, "op9_warc": op9_warc}
 
 
 def oracle_sql():
