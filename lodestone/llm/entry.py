@@ -2,38 +2,37 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing, quality_rules, secrets, simhash, warc
-from .common import shared_path, table
+from pyspark.sql import functions as F
 
-COLUMNS5 = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+from . import bpe, brown, images, licenses, mixing, quality_rules, repeats, secrets, simhash, warc
+from .common import shared_path, table
+from .oracle import ORACLES
 
 
-def op5_quality_rules(spark, sf_dir):
-    return quality_rules.judge(table(spark, sf_dir, "documents")).select(*COLUMNS5)
+def ranks():
+    import public_tokenizers
 
+    return bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
-def op8_mixing(spark, sf_dir):
-    from pyspark.sql import functions as F
 
-    p = mixing.planned(table(spark, sf_dir, "documents"))
-    return p.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+def op1_class_model(spark, sf_dir):
+    return brown.score(table(spark, sf_dir, "documents"))
 
 
 def op2_secret_scans(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    return secrets.scan(docs, carry=("doc_id",)).drop("_spans")
+    return secrets.scan(table(spark, sf_dir, "documents"), carry=("doc_id",)).drop("_spans")
 
 
-def op9_warc(spark, sf_dir):
-    path = shared_path(spark, "warc-archive")
-    warc.write_archive(table(spark, sf_dir, "pages"), path)
-    return warc.read_archive(spark, path).drop("url")
+def op3_repeats(spark, sf_dir):
+    return repeats.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
 
-def ranks():
-    import public_tokenizers
+def op4_license_scans(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents"))
 
-    return bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+def op5_quality_rules(spark, sf_dir):
+    return quality_rules.judge(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op6_simhash(spark, sf_dir):
@@ -44,9 +43,28 @@ def op7_byte_bpe(spark, sf_dir):
     return bpe.digests(table(spark, sf_dir, "documents"), ranks())
 
 
+def op8_mixing(spark, sf_dir):
+    p = mixing.planned(table(spark, sf_dir, "documents"))
+    return p.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def op9_warc(spark, sf_dir):
+    path = shared_path(spark, "warc-archive")
+    warc.write_archive(table(spark, sf_dir, "pages"), path)
+    return warc.read_archive(spark, path).drop("url")
+
+
+def op10_image_copies(spark, sf_dir):
+    pictures = images.from_vectors(table(spark, sf_dir, "embeddings"))
+    return images.find_copies(pictures, "id", "pixels", 128, lambda i: i % 20 == 0, images.crop_and_brighten)
+
+
+QUERIES = (op1_class_model, op2_secret_scans, op3_repeats, op4_license_scans, op5_quality_rules, op6_simhash, op7_byte_bpe, op8_mixing, op9_warc, op10_image_copies)
+
+
 def queries():
-    return {"op6_simhash": op6_simhash, "op7_byte_bpe": op7_byte_bpe, "op2_secret_scans": op2_secret_scans, "op5_quality_rules": op5_quality_rules, "op8_mixing": op8_mixing, "op9_warc": op9_warc}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql():
-    return {}
+    return dict(ORACLES)
