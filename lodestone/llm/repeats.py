@@ -18,7 +18,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -106,7 +106,7 @@ def _encoded(column) -> list[bytes]:
 
 
 def _phrase_rows(docs: DataFrame, width: int) -> DataFrame:
-    """(key, context, n, p0, p1, times): halves of phrases. What a batch holds twice goes under keys of its own, and once more for others."""
+    """(key, context, n, at): halves of phrases; at packs first and last window and times (_packed). What a batch holds twice goes under keys of its own, and once more for others."""
 
     def each(batches):
         for b in batches:
@@ -127,14 +127,27 @@ def _phrase_rows(docs: DataFrame, width: int) -> DataFrame:
                 again = times[back.ravel()] > 1
                 rep = first[times > 1]
                 key2 = np.where(again, _mix(n.astype("u8") * np.uint64(0x9E3779B97F4A7C15) + p0.astype("u8")), key)
-                cols = [np.append(key2, key[rep]).view("i8"), np.append(context, context[rep]).view("i8"), np.append(n, n[rep]), np.append(p0, p0[rep]), np.append(p1, p1[rep]), np.append(1 + again, np.full(len(rep), 2))]
-                yield pa.RecordBatch.from_arrays([pa.array(c.astype(t)) for c, t in zip(cols, ("i8", "i8", "i8", "i4", "i4", "i4"), strict=True)], ["key", "context", "n", "p0", "p1", "times"])
+                at = p0 | (p1 - p0) << 32 | (1 + again) << 48
+                cols = [np.append(key2, key[rep]).view("i8"), np.append(context, context[rep]).view("i8"), np.append(n, n[rep]), np.append(at, at[rep])]
+                yield pa.RecordBatch.from_arrays([pa.array(c.astype("i8")) for c in cols], ["key", "context", "n", "at"])
 
-    return docs.select("n", "text").mapInArrow(each, "key long, context long, n long, p0 int, p1 int, times int")
+    return docs.select("n", "text").mapInArrow(each, "key long, context long, n long, at long")
+
+
+def _first() -> Column:
+    return F.col("at").bitwiseAND(F.lit((1 << 32) - 1).cast("long")).cast("int")
+
+
+def _last() -> Column:
+    return _first() + F.shiftright("at", 32).bitwiseAND(F.lit((1 << 16) - 1).cast("long")).cast("int")
+
+
+def _times() -> Column:
+    return F.shiftright("at", 48).cast("int")
 
 
 def _windows(docs: DataFrame, width: int) -> DataFrame:
-    """(h, n, p, times): every window in the spans (p0, p1, times) of each text."""
+    """(h, n, at): every window in the spans (p0, p1, times) of each text."""
 
     def each(batches):
         for b in batches:
@@ -142,20 +155,20 @@ def _windows(docs: DataFrame, width: int) -> DataFrame:
                 for s in spans:
                     data = np.frombuffer(text[s["p0"] : s["p1"] + width], "u1")
                     h = Hasher(data).of(np.arange(s["p1"] - s["p0"] + 1), width).view("i8")
-                    yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(len(h), n)), pa.array(np.arange(s["p0"], s["p1"] + 1, dtype="i4")), pa.array(np.full(len(h), s["times"], "i4"))], ["h", "n", "p", "times"])
+                    yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(len(h), n)), pa.array(np.arange(s["p0"], s["p1"] + 1) | s["times"] << 48)], ["h", "n", "at"])
 
-    return docs.mapInArrow(each, "h long, n long, p int, times int")
+    return docs.mapInArrow(each, "h long, n long, at long")
 
 
 def repeated_windows(docs: DataFrame, width=WIDTH) -> DataFrame:
     """docs (n, text) to (n, p0, p1): ranges of starts of windows that start elsewhere too."""
     w, wc = W.partitionBy("key"), W.partitionBy("key", "context")
-    r = _phrase_rows(docs, width).withColumn("all", F.sum("times").over(w)).withColumn("mixed", F.min("context").over(w) != F.max("context").over(w))
-    r = r.filter("all > 1").withColumn("whole", F.sum("times").over(wc)).withColumn("one", F.row_number().over(wc.orderBy("n", "p0")) == 1)
-    r = staged(r.select("n", "p0", "p1", (F.col("whole") > 1).alias("again"), (F.col("mixed") & F.col("one")).alias("open"), F.least("whole", F.lit(2)).cast("int").alias("times")), "phrases")
+    r = _phrase_rows(docs, width).withColumn("all", F.sum(_times()).over(w)).withColumn("mixed", F.min("context").over(w) != F.max("context").over(w))
+    r = r.filter("all > 1").withColumn("whole", F.sum(_times()).over(wc)).withColumn("one", F.row_number().over(wc.orderBy("n", "at")) == 1)
+    r = staged(r.select("n", _first().alias("p0"), _last().alias("p1"), (F.col("whole") > 1).alias("again"), (F.col("mixed") & F.col("one")).alias("open"), F.least("whole", F.lit(2)).cast("int").alias("times")), "phrases")
     spans = r.filter("open").groupBy(F.col("n").alias("m")).agg(F.collect_list(F.struct("p0", "p1", "times")).alias("spans"))
     singles = _windows(docs.join(spans, F.col("n") == F.col("m")).select("n", "text", "spans"), width)
-    singles = singles.withColumn("all", F.sum("times").over(W.partitionBy("h"))).filter("all > 1").select("n", F.col("p").alias("p0"), F.col("p").alias("p1"))
+    singles = singles.withColumn("all", F.sum(_times()).over(W.partitionBy("h"))).filter("all > 1").select("n", _first().alias("p0"), _last().alias("p1"))
     return r.filter("again").select("n", "p0", "p1").unionByName(singles)
 
 
