@@ -126,8 +126,10 @@ def compile_rules(rules=RULES) -> Column:
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules=RULES) -> DataFrame:
     """One row per row of docs: the counts, base_failed and kept."""
-    m = measures(docs, id_col, text_col).withColumn("base_failed", base_failed())
-    return m.withColumn("kept", ~F.col("base_failed") & compile_rules(rules))
+    # the row number keeps Spark from copying the measures into a later filter once for each use
+    m = measures(docs, id_col, text_col).withColumn("_n", F.monotonically_increasing_id())
+    m = m.withColumn("base_failed", base_failed() & (F.col("_n") >= 0))
+    return m.withColumn("kept", ~F.col("base_failed") & compile_rules(rules)).drop("_n")
 
 
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules=RULES) -> DataFrame:
