@@ -24,7 +24,7 @@ def op2_secret_scans(spark, sf_dir):
 
 
 def op3_repeats(spark, sf_dir):
-    return repeats.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"), from_files=True).drop("kept")
 
 
 def op4_license_scans(spark, sf_dir):

@@ -172,9 +172,14 @@ def repeated_windows(docs: DataFrame, width=WIDTH) -> DataFrame:
     return r.filter("again").select("n", "p0", "p1").unionByName(singles)
 
 
-def remove_repeats(docs: DataFrame, id_col="doc_id", text_col="text", width=WIDTH) -> DataFrame:
-    """One row per row of docs: doc_id, n_bytes, kept (the remaining bytes), n_removed, n_spans, kept_sha256."""
+def remove_repeats(docs: DataFrame, id_col="doc_id", text_col="text", width=WIDTH, from_files=False) -> DataFrame:
+    """One row per row of docs: doc_id, n_bytes, kept (the remaining bytes), n_removed, n_spans, kept_sha256.
+
+    Texts are read more than once and meet by row numbers. from_files: docs is read straight from
+    files, whose rows keep their numbers; otherwise the numbered texts are written once first.
+    """
     d = docs.select(F.monotonically_increasing_id().alias("n"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    d = d if from_files else staged(d, "texts")
     found = repeated_windows(d, width).groupBy(F.col("n").alias("m")).agg(F.collect_list(F.struct("p0", "p1")).alias("spans"))
     kind = d.schema["doc_id"].dataType.simpleString()
 
