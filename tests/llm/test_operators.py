@@ -254,7 +254,7 @@ def test_class_model_is_a_distribution():
 def test_image_copies(spark):
     v = spark.read.parquet(f"{SF}/embeddings.parquet").limit(120)
     v = v.unionByName(v.filter("vec_id % 40 = 0").withColumn("vec_id", F.col("vec_id") + 100_001)).unionByName(spark.createDataFrame([(None, None, None)], v.schema))
-    got = rows(images.find_copies(images.from_vectors(v), "id", "pixels", 128, lambda i: i % 20 == 0, images.crop_and_brighten))
+    got = rows(images.find_copies(v, "vec_id", "embedding", images.draw_vector, lambda i: i % 20 == 0, images.crop_and_brighten))
     queries = [r for r in got if r["copies"] is not None]
     found = sum(any(c["class_id"] == r["class_id"] for c in r["copies"]) for r in queries)
     assert len(got) == v.count() and found >= 0.9 * len(queries)
