@@ -1,34 +1,53 @@
-"""Byte-level BPE by array functions.
+"""Byte-level BPE: ranked merges folded over the distinct words of the corpus.
 
 A piece of text is an array of hex strings, one per token. A merge looks up the concatenation of
 each two neighbours in a literal rank map (an array of hash buckets, so that a look-up is one array
-access), takes the least rank, leftmost first, and joins those two. The fold runs over the
-distinct pieces of the corpus that are most frequent, dictionary_size of them, which every document
-then finds in a second literal; the remaining pieces are folded where they stand. Both ways give
-the same ids, so dictionary_size is a matter of speed alone.
+access), takes the least rank, leftmost first, and joins those two. Higher-order functions fold
+this over the distinct pieces that are most frequent in the whole corpus, dictionary_size at most.
+Documents then look their pieces up in that dictionary, distinct words of an Arrow batch at a time;
+what it lacks is merged where it stands by the same rule (merged()). Both ways give the same ids, so
+dictionary_size is a matter of speed alone. No text is shuffled, only counts of pieces are.
 
-Decoding takes each id's bytes from a literal array and concatenates them.
+Words are cut before a single space between characters that are not white space: no match of the
+splitting pattern crosses such a place, so that each distinct word is split into pieces once.
+
+Decoding takes each id's bytes and concatenates them.
 
 Defined results: null text is empty and has no tokens; rows are independent of each other, so ids
-may be null or repeated; an empty table gives no rows. Letters and digits are those of the JVM's
-Unicode version.
+may be null or repeated; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import base64
+import heapq
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
+
+from .common import staged
 
 # Unicode white space, and the splitting pattern with it spelled out.
 SPACE = r"\x09-\x0D\x20\x85\xA0  -     　"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 
-#: Most entries of the literal dictionary.
-DICTIONARY_SIZE = 1 << 17
+#: Most entries of the dictionary, and most characters of one: together they bound what tasks receive.
+DICTIONARY_SIZE, ENTRY_CHARS = 1 << 18, 48
+#: Tasks that fold the dictionary: few, since each is sent the rank map.
+FOLD_TASKS = 24
+#: Bytes of text that a task handles at once (one text is never cut), and most words whose ids it keeps for the next.
+AT_ONCE, REMEMBERED = 1 << 24, 1 << 18
+# Bytes that are white space, and those that begin a character that may be.
+WHITE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+MAYBE_WHITE = np.isin(np.arange(256), [0xC2, 0xE1, 0xE2, 0xE3])
 BUCKETS = 1 << 16
-# Separators inside a literal table; pieces that hold one of them stay out of the dictionary.
+#: Above any rank.
+NONE = 1 << 30
+# Separators inside a literal table.
 ENTRY, VALUE, BUCKET = "\x01", "\x02", "\x03"
 
 
@@ -66,84 +85,199 @@ class Coder:
         import xxhash
 
         table = [ENTRY] * buckets
-        by_rank = {}
         for token, rank in ranks.items():
-            by_rank[rank] = key = token.hex().upper()
+            key = token.hex().upper()
             table[xxhash.xxh64_intdigest(key.encode(), 42) & (buckets - 1)] += f"{key}{VALUE}{rank}{ENTRY}"
         self.ranks = Lookup(table)
-        self.tokens = F.split(F.lit(",".join(by_rank.get(k, "") for k in range(max(by_rank) + 1))), ",")
 
     def bound(self, body) -> Column:
         """body(table) with the rank table bound once, so that the literal stands in the plan once."""
         return _let(self.ranks.table, body)
 
-    def _merge(self, table: Column, parts: Column) -> Column:
-        """One merge of the leftmost two neighbours of least rank; parts unchanged where none has a rank."""
-        ranks = F.transform(F.sequence(F.lit(0), F.size(parts) - 2), lambda i: _let(self.ranks.get(table, F.concat(F.get(parts, i), F.get(parts, i + 1))), lambda r: F.when(r != "", r.cast("int"))))
+    def _rank(self, table: Column, left: Column, right: Column) -> Column:
+        """The rank of two neighbours' concatenation, NONE where it has none or a neighbour is missing."""
+        found = self.ranks.get(table, F.concat(left, right))
+        return F.coalesce(F.when(found != "", found).cast("int"), F.lit(NONE))
+
+    def _merge(self, table: Column, acc: Column) -> Column:
+        """One merge of the leftmost two neighbours of least rank. acc: parts and, for each but the last, its rank with the next."""
+        parts, ranks, nothing = acc["parts"], acc["ranks"], F.array().cast("array<int>")
 
-        def at(place):
-            joined = F.concat(F.get(parts, place - 1), F.get(parts, place))
-            return F.when(place == 0, parts).otherwise(F.concat(F.slice(parts, F.lit(1), place - 1), F.array(joined), F.slice(parts, place + 2, F.size(parts))))
+        def at(k):  # ranks around place k (from 1) are looked up anew, the others kept
+            joined = F.concat(F.get(parts, k - 1), F.get(parts, k))
+            left = F.when(k > 1, F.concat(F.slice(ranks, F.lit(1), k - 2), F.array(self._rank(table, F.get(parts, k - 2), joined)))).otherwise(nothing)
+            right = F.when(k < F.size(ranks), F.concat(F.array(self._rank(table, joined, F.get(parts, k + 1))), F.slice(ranks, k + 2, F.size(ranks)))).otherwise(nothing)
+            new = F.concat(F.slice(parts, F.lit(1), k - 1), F.array(joined), F.slice(parts, k + 2, F.size(parts)))
+            return F.struct(new.alias("parts"), F.concat(left, right).alias("ranks"))
 
-        return _let(_let(ranks, lambda r: F.coalesce(F.array_position(r, F.array_min(r)), F.lit(0)).cast("int")), at)
+        least = lambda m: F.when(m < NONE, _let(F.array_position(ranks, m).cast("int"), at)).otherwise(acc)
+        return _let(F.array_min(ranks), least)
 
     def fold(self, table: Column, piece: Column) -> Column:
         """The ids of one piece of text, joined by spaces."""
 
-        def merged(hexed):
+        def folded(hexed):
             n = F.floor(F.length(hexed) / 2).cast("int")
             single = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(hexed, 2 * i + 1, F.lit(2)))
-            start = F.struct(single.alias("parts"), F.lit(False).alias("done"))
-
-            def step(acc, _):
-                new = self._merge(table, acc["parts"])
-                return F.when(acc["done"] | (F.size(acc["parts"]) < 2), acc).otherwise(_let(new, lambda p: F.struct(p.alias("parts"), (F.size(p) == F.size(acc["parts"])).alias("done"))))
-
-            parts = F.aggregate(F.sequence(F.lit(1), n), start, step, lambda acc: acc["parts"])
+            ranks = lambda p: F.transform(F.sequence(F.lit(0), n - 2), lambda i: self._rank(table, F.get(p, i), F.get(p, i + 1)))
+            start = _let(single, lambda p: F.struct(p.alias("parts"), ranks(p).alias("ranks")))
+            parts = F.aggregate(F.sequence(F.lit(2), n), start, lambda acc, _: F.when(F.size(acc["ranks"]) > 0, self._merge(table, acc)).otherwise(acc), lambda acc: acc["parts"])
             return F.array_join(F.transform(parts, lambda p: self.ranks.get(table, p)), " ")
 
-        whole = lambda k: _let(self.ranks.get(table, k), lambda r: F.when(r != "", r).otherwise(merged(k)))
+        # a single byte has a rank, so that what is folded has two bytes or more
+        whole = lambda k: _let(self.ranks.get(table, k), lambda r: F.when(r != "", r).otherwise(folded(k)))
         return _let(F.hex(F.encode(piece, "UTF-8")), whole)
 
-    def decode(self, ids: Column) -> Column:
-        """The bytes of ids joined by spaces."""
-        found = _let(self.tokens, lambda t: F.array_join(F.transform(F.split(ids, " "), lambda x: F.get(t, x.cast("int"))), ""))
-        return F.when(ids == "", F.lit(b"")).otherwise(F.unhex(found))
-
 
 def pieces(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text.cast("string"), F.lit("")), F.lit(PATTERN), F.lit(0))
 
 
-def dictionary(docs: DataFrame, coder: Coder, text_col="text", size=DICTIONARY_SIZE) -> DataFrame:
-    """(piece, ids) of the most frequent distinct pieces; ties by the piece."""
-    counted = docs.select(F.explode(pieces(F.col(text_col))).alias("piece")).groupBy("piece").count()
-    plain = counted.filter(~F.col("piece").rlike(f"[{ENTRY}{VALUE}{BUCKET}]"))
-    return plain.orderBy(F.desc("count"), "piece").limit(size).repartition("piece").select("piece", coder.bound(lambda table: coder.fold(table, F.col("piece"))).alias("ids"))
+def _words(texts: pa.StringArray) -> tuple[pa.StringArray, np.ndarray]:
+    """The words of all texts, and where each text's begin among them; nothing of the text is left out or copied."""
+    at = np.frombuffer(texts.buffers()[1], "i4")[texts.offset : texts.offset + len(texts) + 1].astype("i8")
+    data = np.frombuffer(texts.buffers()[2] or b"", "u1")[at[0] : at[-1]]
+    at = at - at[0]
+    begins = np.zeros(len(data) + 1, bool)
+    k = 3 + np.flatnonzero(data[3:-1] == 32)  # a space nearer to either end stays inside its word
+    begins[k] = ~(WHITE[data[k - 1]] | WHITE[data[k + 1]] | MAYBE_WHITE[data[k + 1]] | (data[k - 2] == 0xC2) | MAYBE_WHITE[data[k - 3]])
+    begins[at] = True
+    begins[-1] = False
+    starts = np.flatnonzero(begins)
+    offsets = np.append(starts, len(data)).astype("i4")
+    return pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(data)), np.searchsorted(starts, at).astype("i4")
+
+
+def word_counts(docs: DataFrame, text_col="text") -> DataFrame:
+    """(word, n): what each slice of the texts holds; a word has a row for every slice that has it."""
 
+    def each(batches):
+        for batch in batches:
+            for b in _parts(batch, "_text"):
+                values, counts = _words(b.column("_text"))[0].value_counts().flatten()
+                yield pa.RecordBatch.from_arrays([values, counts], ["word", "n"])
 
-def _lookup(entries: DataFrame, n: int) -> Lookup:
-    """The dictionary, at most its parameter's size, as a literal."""
-    entry = F.concat("piece", F.lit(VALUE), "ids", F.lit(ENTRY))
-    table = [ENTRY] * n
-    for r in entries.groupBy(place(F.col("piece"), n).alias("at")).agg(F.array_join(F.sort_array(F.collect_list(entry)), "").alias("all")).toLocalIterator():
-        table[r["at"]] += r["all"]
-    return Lookup(table)
+    return docs.select(_text(text_col)).mapInArrow(each, "word string, n long")
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], id_col="doc_id", text_col="text", carry=(), size=DICTIONARY_SIZE) -> tuple[DataFrame, Coder]:
-    """One row per row of docs: doc_id, what carry names, and ids joined by spaces; and the coder."""
-    coder = Coder(ranks)
-    known = _lookup(dictionary(docs, coder, text_col, size), BUCKETS)
-    d = docs.select(F.col(id_col).alias("doc_id"), *carry, pieces(F.col(text_col)).alias("_pieces"))
-    names = [c for c in d.columns if c != "_pieces"]
-    one = lambda table, found, p: _let(known.get(found, p), lambda ids: F.when(ids != "", ids).otherwise(coder.fold(table, p)))
-    ids = coder.bound(lambda table: _let(known.table, lambda found: F.array_join(F.transform("_pieces", lambda p: one(table, found, p)), " ")))
-    return d.select(*names, ids.alias("ids")), coder
+def _text(text_col: str) -> Column:
+    return F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text")
+
+
+def dictionary(docs: DataFrame, coder: Coder, text_col="text", size=DICTIONARY_SIZE) -> DataFrame:
+    """(piece, ids) of the most frequent distinct pieces: all that are above a level of frequency, size at most."""
+    each = word_counts(docs, text_col).select(F.explode(pieces(F.col("word"))).alias("piece"), "n").groupBy("piece").agg(F.sum("n").alias("n"))
+    level = F.floor(F.log2("n") * 8).cast("int")
+    counted = staged(each.filter((F.col("n") > 1) & (F.length("piece") <= ENTRY_CHARS)).select("piece", level.alias("level")), "pieces")
+    least, total = 1 << 10, 0
+    for r in counted.groupBy("level").agg(F.count("*").alias("n")).orderBy(F.desc("level")).collect():  # 8 levels a doubling: 504 rows at most
+        total += r["n"]
+        if total > size:
+            break
+        least = r["level"]
+    frequent = counted.filter(F.col("level") >= least).repartition(FOLD_TASKS, "piece")
+    return frequent.select("piece", coder.bound(lambda table: coder.fold(table, F.col("piece"))).alias("ids"))
+
+
+def merged(ranks: dict[bytes, int], piece: bytes) -> str:
+    """Small helper: the ids of one piece that the dictionary lacks."""
+    if piece in ranks:
+        return str(ranks[piece])
+    n, of = len(piece), ranks.get
+    part = [piece[k : k + 1] for k in range(n)]
+    if n > 200:  # a search per merge would take n squared
+        return " ".join(str(ranks[p]) for p in _merged_by_heap(ranks, part))
+    rank = [of(piece[k : k + 2], NONE) for k in range(n - 1)]
+    while rank and (least := min(rank)) < NONE:
+        k = rank.index(least)
+        part[k : k + 2] = [joined := part[k] + part[k + 1]]
+        del rank[k]
+        if k:
+            rank[k - 1] = of(part[k - 1] + joined, NONE)
+        if k < len(rank):
+            rank[k] = of(joined + part[k + 1], NONE)
+    return " ".join([str(ranks[p]) for p in part])
+
+
+def _merged_by_heap(ranks: dict[bytes, int], part: list) -> list[bytes]:
+    n = len(part)
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    heap = [(r, k, t) for k in range(n - 1) if (r := ranks.get(t := part[k] + part[k + 1])) is not None]
+    heapq.heapify(heap)
+    while heap:
+        _, k, token = heapq.heappop(heap)
+        j = after[k]
+        if part[k] is None or j >= n or part[k] + part[j] != token:
+            continue
+        part[k], part[j], after[k] = token, None, after[j]
+        if after[j] < n:
+            before[after[j]] = k
+        for left, right in ((before[k], k), (k, after[k])):
+            if left >= 0 and right < n and (r := ranks.get(t := part[left] + part[right])) is not None:
+                heapq.heappush(heap, (r, left, t))
+    return [p for p in part if p is not None]
+
+
+def _parts(batch: pa.RecordBatch, column: str) -> list[pa.RecordBatch]:
+    """The batch in slices of about AT_ONCE bytes of a column; one row is never cut."""
+    cuts, held = [0], 0
+    for k, w in enumerate(pc.binary_length(batch.column(column)).to_pylist()):
+        if held and held + w > AT_ONCE:
+            cuts.append(k)
+            held = 0
+        held += w
+    return [batch.slice(a, b - a) for a, b in zip(cuts, [*cuts[1:], batch.num_rows], strict=True) if b > a]
+
+
+def encode(docs: DataFrame, ranks: dict[bytes, int], id_col="doc_id", text_col="text", carry=(), size=DICTIONARY_SIZE) -> DataFrame:
+    """One row per row of docs: doc_id, what carry names, and ids joined by spaces."""
+    known = {r["piece"]: r["ids"] for r in dictionary(docs, Coder(ranks), text_col, size).collect()}  # bounded by size and ENTRY_CHARS
+    d = docs.select(F.col(id_col).alias("doc_id"), *carry, _text(text_col))
+    names = [c for c in d.columns if c != "_text"]
+
+    def each(batches):
+        import regex
+
+        split, seen = regex.compile(PATTERN).findall, {}
+        for batch in batches:
+            for b in _parts(batch, "_text"):
+                words, starts = _words(b.column("_text"))
+                found = words.dictionary_encode()
+                if len(seen) > REMEMBERED:
+                    seen = {}
+                ids = []
+                for w in found.dictionary.to_pylist():
+                    if (of := seen.get(w)) is None:
+                        of = " ".join([known.get(p) or merged(ranks, p.encode()) for p in split(w)])
+                        if len(w) <= ENTRY_CHARS:
+                            seen[w] = of
+                    ids.append(of)
+                line = pc.binary_join(pa.ListArray.from_arrays(pa.array(starts), pa.array(ids, pa.string()).take(found.indices)), " ")
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), line], [*names, "ids"])
+
+    return d.mapInArrow(each, d.select(*names).schema.add("ids", "string"))
+
+
+def decode(encoded: DataFrame, ranks: dict[bytes, int], ids_col="ids") -> DataFrame:
+    """encoded with its column of ids, joined by spaces, and a further column decoded: their bytes."""
+    names = encoded.columns
+
+    def each(batches):
+        by_rank = {r: t for t, r in ranks.items()}
+        tokens = pa.array([by_rank.get(k, b"") for k in range(max(by_rank) + 1)], pa.binary())
+        for batch in batches:
+            for b in _parts(batch, ids_col):
+                split = pc.split_pattern(b.column(ids_col), " ")
+                numbers = pc.if_else(pc.equal(split.flatten(), ""), None, split.flatten()).cast(pa.int32())
+                found = pc.fill_null(tokens.take(numbers), b"")
+                whole = pc.binary_join(pa.ListArray.from_arrays(pc.subtract(split.offsets, split.offsets[0]), found), b"")
+                yield pa.RecordBatch.from_arrays([*b.columns, whole], [*names, "decoded"])
+
+    return encoded.mapInArrow(each, StructType([*encoded.schema, StructField("decoded", BinaryType())]))
 
 
 def digests(docs: DataFrame, ranks: dict[bytes, int], id_col="doc_id", text_col="text", size=DICTIONARY_SIZE) -> DataFrame:
     """One row per row of docs: doc_id, n_tokens, ids_sha256, decoded_sha256 (of the bytes decoded from the ids)."""
-    e, coder = encode(docs, ranks, id_col, text_col, size=size)
+    e = decode(encode(docs, ranks, id_col, text_col, size=size), ranks)
     n = F.when(F.col("ids") == "", 0).otherwise(F.length("ids") - F.length(F.replace("ids", F.lit(" "), F.lit(""))) + 1)
-    return e.select("doc_id", n.cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(coder.decode(F.col("ids")), 256).alias("decoded_sha256"))
+    return e.select("doc_id", n.cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

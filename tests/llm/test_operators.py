@@ -180,8 +180,9 @@ def test_bpe(docs, small):
     import tiktoken
 
     enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=entry.ranks(), special_tokens={})
-    d = docs.filter("length(coalesce(text, '')) < 1000").select("doc_id", "text").unionByName(small.select("doc_id", "text").limit(20))
-    for size in (10, 1000):
+    long = docs.sparkSession.createDataFrame([(90, "abcde" * 3000), (91, "ab" * 40 + "é" * 150), (92, "a b a b a b")], "doc_id long, text string")
+    d = docs.select("doc_id", "text").unionByName(small.select("doc_id", "text")).unionByName(long)
+    for size in (10, 100_000):
         want = Counter((i, len(t := enc.encode_ordinary(x)), hashlib.sha256(" ".join(map(str, t)).encode()).hexdigest(), hashlib.sha256(x.encode()).hexdigest()) for i, x in pairs(d))
         assert Counter((r["doc_id"], r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in rows(bpe.digests(d, entry.ranks(), size=size))) == want
 
