@@ -5,7 +5,7 @@ each two neighbours in a literal rank map (an array of hash buckets, so that a l
 access), takes the least rank, leftmost first, and joins those two. Higher-order functions fold
 this over the distinct pieces that are most frequent in the whole corpus, dictionary_size at most.
 Documents then look their pieces up in that dictionary, distinct words of an Arrow batch at a time;
-what it lacks is merged where it stands by the same rule (merged()). Both ways give the same ids, so
+what it lacks is merged where it stands by the same rule, all lacking pieces at once (Merger). Both ways give the same ids, so
 dictionary_size is a matter of speed alone. No text is shuffled, only counts of pieces are.
 
 Words are cut before a single space between characters that are not white space: no match of the
@@ -36,9 +36,9 @@ SPACE = r"\x09-\x0D\x20\x85\xA0  -     　"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 
 #: Most entries of the dictionary, and most characters of one: together they bound what tasks receive.
-DICTIONARY_SIZE, ENTRY_CHARS = 1 << 18, 48
+DICTIONARY_SIZE, ENTRY_CHARS = 1 << 16, 48
 #: Tasks that fold the dictionary: few, since each is sent the rank map.
-FOLD_TASKS = 24
+FOLD_TASKS = 12
 #: Bytes of text that a task handles at once (one text is never cut), and most words whose ids it keeps for the next.
 AT_ONCE, REMEMBERED = 1 << 24, 1 << 18
 # Bytes that are white space, and those that begin a character that may be.
@@ -179,24 +179,63 @@ def dictionary(docs: DataFrame, coder: Coder, text_col="text", size=DICTIONARY_S
     return frequent.select("piece", coder.bound(lambda table: coder.fold(table, F.col("piece"))).alias("ids"))
 
 
-def merged(ranks: dict[bytes, int], piece: bytes) -> str:
-    """Small helper: the ids of one piece that the dictionary lacks."""
-    if piece in ranks:
-        return str(ranks[piece])
-    n, of = len(piece), ranks.get
-    part = [piece[k : k + 1] for k in range(n)]
-    if n > 200:  # a search per merge would take n squared
-        return " ".join(str(ranks[p]) for p in _merged_by_heap(ranks, part))
-    rank = [of(piece[k : k + 2], NONE) for k in range(n - 1)]
-    while rank and (least := min(rank)) < NONE:
-        k = rank.index(least)
-        part[k : k + 2] = [joined := part[k] + part[k + 1]]
-        del rank[k]
-        if k:
-            rank[k - 1] = of(part[k - 1] + joined, NONE)
-        if k < len(rank):
-            rank[k] = of(joined + part[k + 1], NONE)
-    return " ".join([str(ranks[p]) for p in part])
+class Merger:
+    """The ids of pieces that the dictionary lacks, by numpy over all of them: one merge a round in each piece."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.ranks = ranks
+        self.single = np.array([ranks[bytes([k])] for k in range(256)], "i8")
+        pairs = {ranks[t[:k]] << 32 | ranks[t[k:]]: r for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks}
+        self.keys = np.array(sorted(pairs), "i8")
+        self.to = np.array([pairs[k] for k in self.keys.tolist()], "i8")
+
+    def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = left << 32 | right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.to[at], NONE)
+
+    def merge(self, pieces: list[bytes]) -> list[str]:
+        long = [k for k, p in enumerate(pieces) if len(p) > 200]  # a round per merge would take n squared
+        out = self._merge([p if len(p) <= 200 else b"." for p in pieces])
+        for k in long:
+            out[k] = " ".join(str(self.ranks[p]) for p in _merged_by_heap(self.ranks, [pieces[k][i : i + 1] for i in range(len(pieces[k]))]))
+        for k, p in enumerate(pieces):
+            if p in self.ranks:
+                out[k] = str(self.ranks[p])
+        return out
+
+    def _merge(self, pieces: list[bytes]) -> list[str]:
+        if not pieces:
+            return []
+        size, piece = np.array([len(p) for p in pieces]), np.arange(len(pieces))
+        token, of = self.single[np.frombuffer(b"".join(pieces), "u1")], np.repeat(piece, size)
+        rank = np.append(np.where(of[1:] == of[:-1], self._rank(token[:-1], token[1:]), NONE), NONE)
+        ended = []
+        while len(piece):
+            least = np.minimum.reduceat(rank, np.cumsum(size) - size)
+            each = np.repeat(least, size)
+            if not (more := least < NONE).all():  # pieces that are through leave the arrays
+                on = each < NONE
+                ended.append((of[~on], token[~on]))
+                piece, size, least, token, of, rank, each = piece[more], size[more], least[more], token[on], of[on], rank[on], each[on]
+                if not len(piece):
+                    break
+            at = np.flatnonzero(rank == each)
+            at = at[np.append(True, np.diff(of[at]) > 0)]  # the leftmost of each piece
+            token[at] = rank[at]
+            size -= 1
+            stays = np.ones(len(token), bool)
+            stays[at + 1] = False
+            token, of, rank = token[stays], of[stays], rank[stays]
+            at = at - np.arange(len(at))
+            for left in (at, at[at > 0] - 1):
+                right = np.minimum(left + 1, len(token) - 1)
+                rank[left] = np.where((right > left) & (of[left] == of[right]), self._rank(token[left], token[right]), NONE)
+        of, token = (np.concatenate(x) for x in zip(*ended, strict=True))
+        order = np.argsort(of, kind="stable")
+        token, starts = token[order], np.searchsorted(of[order], np.arange(len(pieces)))
+        offsets = np.append(starts, len(token)).astype("i4")
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets), pa.array(token).cast(pa.string())), " ").to_numpy(zero_copy_only=False).tolist()
 
 
 def _merged_by_heap(ranks: dict[bytes, int], part: list) -> list[bytes]:
@@ -232,6 +271,7 @@ def _parts(batch: pa.RecordBatch, column: str) -> list[pa.RecordBatch]:
 def encode(docs: DataFrame, ranks: dict[bytes, int], id_col="doc_id", text_col="text", carry=(), size=DICTIONARY_SIZE) -> DataFrame:
     """One row per row of docs: doc_id, what carry names, and ids joined by spaces."""
     known = {r["piece"]: r["ids"] for r in dictionary(docs, Coder(ranks), text_col, size).collect()}  # bounded by size and ENTRY_CHARS
+    merger = Merger(ranks)
     d = docs.select(F.col(id_col).alias("doc_id"), *carry, _text(text_col))
     names = [c for c in d.columns if c != "_text"]
 
@@ -239,19 +279,19 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], id_col="doc_id", text_col="
         import regex
 
         split, seen = regex.compile(PATTERN).findall, {}
+        cut = lambda w: [w] if w[w[:1] == " " :].isalpha() else split(w)  # noqa: E731  letters alone are one piece
         for batch in batches:
             for b in _parts(batch, "_text"):
                 words, starts = _words(b.column("_text"))
                 found = words.dictionary_encode()
-                if len(seen) > REMEMBERED:
-                    seen = {}
-                ids = []
-                for w in found.dictionary.to_pylist():
-                    if (of := seen.get(w)) is None:
-                        of = " ".join([known.get(p) or merged(ranks, p.encode()) for p in split(w)])
-                        if len(w) <= ENTRY_CHARS:
-                            seen[w] = of
-                    ids.append(of)
+                distinct = found.dictionary.to_numpy(zero_copy_only=False).tolist()
+                new = {w: cut(w) for w in distinct if w not in seen}
+                lack = list({p for of in new.values() for p in of if p not in known})
+                merged = dict(zip(lack, merger.merge([p.encode() for p in lack]), strict=True))
+                new = {w: " ".join([known.get(p) or merged[p] for p in of]) for w, of in new.items()}
+                ids = [new.get(w) or seen[w] for w in distinct]
+                if len(seen) < REMEMBERED:
+                    seen |= {w: of for w, of in new.items() if len(w) <= ENTRY_CHARS}
                 line = pc.binary_join(pa.ListArray.from_arrays(pa.array(starts), pa.array(ids, pa.string()).take(found.indices)), " ")
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), line], [*names, "ids"])
 
