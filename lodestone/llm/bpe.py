@@ -4,12 +4,14 @@ A piece of text is an array of hex strings, one per token. A merge looks up the
 each two neighbours in a literal rank map (an array of hash buckets, so that a look-up is one array
 access), takes the least rank, leftmost first, and joins those two. Higher-order functions fold
 this over the distinct pieces that are most frequent in the whole corpus, dictionary_size at most.
-Documents then look their pieces up in that dictionary, distinct words of an Arrow batch at a time;
+Documents then look their pieces up in that dictionary, distinct pieces of an Arrow batch at a time;
 what it lacks is merged where it stands by the same rule, all lacking pieces at once (Merger). Both ways give the same ids, so
 dictionary_size is a matter of speed alone. No text is shuffled, only counts of pieces are.
 
-Words are cut before a single space between characters that are not white space: no match of the
-splitting pattern crosses such a place, so that each distinct word is split into pieces once.
+Texts are cut into pieces by the classes of their bytes, a batch at once. Words with an apostrophe
+or with characters whose class is not plain from their first byte are cut by the pattern itself; a
+word begins at a single space between characters that are not white space, which no match of the
+pattern crosses.
 
 Decoding takes each id's bytes and concatenates them.
 
@@ -39,14 +41,22 @@ PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{
 DICTIONARY_SIZE, ENTRY_CHARS = 1 << 16, 48
 #: Tasks that fold the dictionary: few, since each is sent the rank map.
 FOLD_TASKS = 12
-#: Bytes of text that a task handles at once (one text is never cut), and most words whose ids it keeps for the next.
+#: Bytes of text that a task handles at once (one text is never cut), and most pieces whose ids it keeps for the next.
 AT_ONCE, REMEMBERED = 1 << 24, 1 << 18
 # Bytes that are white space, and those that begin a character that may be.
 WHITE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 MAYBE_WHITE = np.isin(np.arange(256), [0xC2, 0xE1, 0xE2, 0xE3])
+# Class of a byte: white space, letter, digit, other. U+00C0 to U+024F, which begin with the bytes
+# C3 to C9, are letters but for U+00D7 and U+00F7.
+BYTE = np.arange(256)
+KIND = np.select([WHITE, np.isin(BYTE | 32, np.arange(97, 123)) & (BYTE < 128) | (BYTE > 127), (BYTE > 47) & (BYTE < 58)], [0, 1, 2], 3).astype("u1")
+# Bytes that leave a word to the pattern.
+HARD = (BYTE == 39) | (BYTE == 0xC2) | (BYTE > 0xC9)
 BUCKETS = 1 << 16
 #: Above any rank.
 NONE = 1 << 30
+# Places of the merger's table of pairs, a power of two.
+SLOTS = 1 << 19
 # Separators inside a literal table.
 ENTRY, VALUE, BUCKET = "\x01", "\x02", "\x03"
 
@@ -129,35 +139,74 @@ class Coder:
         return _let(F.hex(F.encode(piece, "UTF-8")), whole)
 
 
-def pieces(text: Column) -> Column:
-    return F.regexp_extract_all(F.coalesce(text.cast("string"), F.lit("")), F.lit(PATTERN), F.lit(0))
-
-
-def _words(texts: pa.StringArray) -> tuple[pa.StringArray, np.ndarray]:
-    """The words of all texts, and where each text's begin among them; nothing of the text is left out or copied."""
+def _word_starts(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Where words begin. at: where texts begin, and the end."""
+    begins = np.zeros(len(data) + 1, bool)
+    k = 3 + np.flatnonzero(data[3:-1] == 32)  # a space nearer to either end stays inside its word
+    begins[k] = ~(WHITE[data[k - 1]] | WHITE[data[k + 1]] | MAYBE_WHITE[data[k + 1]] | (data[k - 2] == 0xC2) | MAYBE_WHITE[data[k - 3]])
+    begins[at] = True
+    begins[-1] = False
+    return np.flatnonzero(begins)
+
+
+def _cut_by_pattern(begins: np.ndarray, data: np.ndarray, at: np.ndarray, hard: np.ndarray) -> None:
+    """Set where pieces begin in the words that have the bytes at places hard."""
+    import regex
+
+    split = regex.compile(PATTERN).findall
+    starts = _word_starts(data, at)
+    which = np.searchsorted(starts, hard, "right") - 1
+    which = which[np.append(True, np.diff(which) > 0)]
+    ends = np.append(starts, len(data))
+    inside = np.zeros(len(data) + 1, "i1")
+    np.add.at(inside, starts[which], 1)
+    np.subtract.at(inside, ends[which + 1], 1)
+    begins &= ~np.cumsum(inside, dtype="i1").astype(bool)
+    words = pa.StringArray.from_buffers(len(starts), pa.py_buffer(ends.astype("i4")), pa.py_buffer(data)).take(pa.array(which)).dictionary_encode()
+    sizes = pa.array([[len(x.encode()) for x in split(w)] for w in words.dictionary.to_pylist()], pa.list_(pa.int32())).take(words.indices)
+    size, n = sizes.flatten().to_numpy(), pc.list_value_length(sizes).to_numpy()
+    before = np.cumsum(size) - size
+    first = np.cumsum(n) - n
+    begins[np.repeat(starts[which] - before[first], n) + before] = True
+
+
+def _pieces(texts: pa.StringArray) -> tuple[pa.StringArray, np.ndarray]:
+    """The pieces of all texts, and where each text's begin among them; nothing of the text is left out or copied."""
     at = np.frombuffer(texts.buffers()[1], "i4")[texts.offset : texts.offset + len(texts) + 1].astype("i8")
     data = np.frombuffer(texts.buffers()[2] or b"", "u1")[at[0] : at[-1]]
     at = at - at[0]
+    kind = KIND[data]
     begins = np.zeros(len(data) + 1, bool)
-    k = 3 + np.flatnonzero(data[3:-1] == 32)  # a space nearer to either end stays inside its word
-    begins[k] = ~(WHITE[data[k - 1]] | WHITE[data[k + 1]] | MAYBE_WHITE[data[k + 1]] | (data[k - 2] == 0xC2) | MAYBE_WHITE[data[k - 3]])
+    begins[1:-1] = kind[1:] != kind[:-1]
     begins[at] = True
+    white = np.flatnonzero(kind[:-1] == 0)
+    last = white[kind[white + 1] != 0]  # white space before another character of its text stands alone, or with it if a space
+    text_starts = np.zeros(len(data) + 1, bool)
+    text_starts[at] = True
+    last = last[~text_starts[last + 1]]
+    begins[last] = True
+    begins[last[data[last] == 32] + 1] = False
+    hard = HARD[data]
+    hard[1:] |= (data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7))
+    if len(hard := np.flatnonzero(hard)):
+        _cut_by_pattern(begins, data, at, hard)
     begins[-1] = False
     starts = np.flatnonzero(begins)
     offsets = np.append(starts, len(data)).astype("i4")
     return pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(data)), np.searchsorted(starts, at).astype("i4")
 
 
-def word_counts(docs: DataFrame, text_col="text") -> DataFrame:
-    """(word, n): what each slice of the texts holds; a word has a row for every slice that has it."""
+def piece_counts(docs: DataFrame, text_col="text") -> DataFrame:
+    """(piece, n): what each slice of the texts holds; a piece has a row for every slice that has it."""
 
     def each(batches):
         for batch in batches:
             for b in _parts(batch, "_text"):
-                values, counts = _words(b.column("_text"))[0].value_counts().flatten()
-                yield pa.RecordBatch.from_arrays([values, counts], ["word", "n"])
+                values, counts = _pieces(b.column("_text"))[0].value_counts().flatten()
+                short = pc.less_equal(pc.utf8_length(values), ENTRY_CHARS)
+                yield pa.RecordBatch.from_arrays([values.filter(short), counts.filter(short)], ["piece", "n"])
 
-    return docs.select(_text(text_col)).mapInArrow(each, "word string, n long")
+    return docs.select(_text(text_col)).mapInArrow(each, "piece string, n long")
 
 
 def _text(text_col: str) -> Column:
@@ -166,9 +215,9 @@ def _text(text_col: str) -> Column:
 
 def dictionary(docs: DataFrame, coder: Coder, text_col="text", size=DICTIONARY_SIZE) -> DataFrame:
     """(piece, ids) of the most frequent distinct pieces: all that are above a level of frequency, size at most."""
-    each = word_counts(docs, text_col).select(F.explode(pieces(F.col("word"))).alias("piece"), "n").groupBy("piece").agg(F.sum("n").alias("n"))
+    each = piece_counts(docs, text_col).groupBy("piece").agg(F.sum("n").alias("n"))
     level = F.floor(F.log2("n") * 8).cast("int")
-    counted = staged(each.filter((F.col("n") > 1) & (F.length("piece") <= ENTRY_CHARS)).select("piece", level.alias("level")), "pieces")
+    counted = staged(each.filter("n > 1").select("piece", level.alias("level")), "pieces")
     least, total = 1 << 10, 0
     for r in counted.groupBy("level").agg(F.count("*").alias("n")).orderBy(F.desc("level")).collect():  # 8 levels a doubling: 504 rows at most
         total += r["n"]
@@ -186,13 +235,27 @@ class Merger:
         self.ranks = ranks
         self.single = np.array([ranks[bytes([k])] for k in range(256)], "i8")
         pairs = {ranks[t[:k]] << 32 | ranks[t[k:]]: r for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks}
-        self.keys = np.array(sorted(pairs), "i8")
-        self.to = np.array([pairs[k] for k in self.keys.tolist()], "i8")
+        # open addressing; a free place has key -1
+        self.keys, self.to = np.full(SLOTS + len(pairs), -1, "i8"), np.full(SLOTS + len(pairs), NONE, "i8")
+        for key, slot in zip(pairs, self._slot(np.array(list(pairs), "i8")).tolist(), strict=True):
+            while self.keys[slot] >= 0:
+                slot += 1
+            self.keys[slot], self.to[slot] = key, pairs[key]
+
+    @staticmethod
+    def _slot(key: np.ndarray) -> np.ndarray:
+        return ((key.view("u8") * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOTS.bit_length() + 1)).astype("i8")
 
     def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left << 32 | right
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.to[at], NONE)
+        slot = self._slot(key)
+        found = self.keys[slot]
+        on = np.flatnonzero((found != key) & (found >= 0))
+        while len(on):
+            slot[on] += 1
+            found = self.keys[slot[on]]
+            on = on[(found != key[on]) & (found >= 0)]
+        return np.where(self.keys[slot] == key, self.to[slot], NONE)
 
     def merge(self, pieces: list[bytes]) -> list[str]:
         long = [k for k, p in enumerate(pieces) if len(p) > 200]  # a round per merge would take n squared
@@ -270,38 +333,42 @@ def _parts(batch: pa.RecordBatch, column: str) -> list[pa.RecordBatch]:
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], id_col="doc_id", text_col="text", carry=(), size=DICTIONARY_SIZE) -> DataFrame:
     """One row per row of docs: doc_id, what carry names, and ids joined by spaces."""
-    known = {r["piece"]: r["ids"] for r in dictionary(docs, Coder(ranks), text_col, size).collect()}  # bounded by size and ENTRY_CHARS
-    merger = Merger(ranks)
     d = docs.select(F.col(id_col).alias("doc_id"), *carry, _text(text_col))
+    each = _encoder(d, ranks, size)
+    return d.mapInArrow(each, d.drop("_text").schema.add("ids", "string"))
+
+
+def _encoder(d: DataFrame, ranks: dict[bytes, int], size: int):
+    """What makes of batches with a column _text batches with ids in its place, as the last column."""
+    known = {r["piece"]: r["ids"] for r in dictionary(d, Coder(ranks), "_text", size).collect()}  # bounded by size and ENTRY_CHARS
+    merger = Merger(ranks)
     names = [c for c in d.columns if c != "_text"]
 
     def each(batches):
-        import regex
-
-        split, seen = regex.compile(PATTERN).findall, {}
-        cut = lambda w: [w] if w[w[:1] == " " :].isalpha() else split(w)  # noqa: E731  letters alone are one piece
+        seen = {}
         for batch in batches:
             for b in _parts(batch, "_text"):
-                words, starts = _words(b.column("_text"))
-                found = words.dictionary_encode()
+                pieces, starts = _pieces(b.column("_text"))
+                found = pieces.dictionary_encode()
                 distinct = found.dictionary.to_numpy(zero_copy_only=False).tolist()
-                new = {w: cut(w) for w in distinct if w not in seen}
-                lack = list({p for of in new.values() for p in of if p not in known})
-                merged = dict(zip(lack, merger.merge([p.encode() for p in lack]), strict=True))
-                new = {w: " ".join([known.get(p) or merged[p] for p in of]) for w, of in new.items()}
-                ids = [new.get(w) or seen[w] for w in distinct]
-                if len(seen) < REMEMBERED:
-                    seen |= {w: of for w, of in new.items() if len(w) <= ENTRY_CHARS}
+                ids = [known.get(p) or seen.get(p) for p in distinct]
+                lack = [k for k, of in enumerate(ids) if of is None]
+                for k, of in zip(lack, merger.merge([distinct[k].encode() for k in lack]), strict=True):
+                    ids[k] = of
+                    if len(seen) < REMEMBERED and len(distinct[k]) <= ENTRY_CHARS:
+                        seen[distinct[k]] = of
                 line = pc.binary_join(pa.ListArray.from_arrays(pa.array(starts), pa.array(ids, pa.string()).take(found.indices)), " ")
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), line], [*names, "ids"])
 
-    return d.mapInArrow(each, d.select(*names).schema.add("ids", "string"))
+    return each
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int], ids_col="ids") -> DataFrame:
     """encoded with its column of ids, joined by spaces, and a further column decoded: their bytes."""
-    names = encoded.columns
+    return encoded.mapInArrow(_decoder(ranks, ids_col), StructType([*encoded.schema, StructField("decoded", BinaryType())]))
+
 
+def _decoder(ranks: dict[bytes, int], ids_col: str):
     def each(batches):
         by_rank = {r: t for t, r in ranks.items()}
         tokens = pa.array([by_rank.get(k, b"") for k in range(max(by_rank) + 1)], pa.binary())
@@ -311,13 +378,26 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], ids_col="ids") -> DataFr
                 numbers = pc.if_else(pc.equal(split.flatten(), ""), None, split.flatten()).cast(pa.int32())
                 found = pc.fill_null(tokens.take(numbers), b"")
                 whole = pc.binary_join(pa.ListArray.from_arrays(pc.subtract(split.offsets, split.offsets[0]), found), b"")
-                yield pa.RecordBatch.from_arrays([*b.columns, whole], [*names, "decoded"])
+                yield pa.RecordBatch.from_arrays([*b.columns, whole], [*b.schema.names, "decoded"])
 
-    return encoded.mapInArrow(each, StructType([*encoded.schema, StructField("decoded", BinaryType())]))
+    return each
 
 
 def digests(docs: DataFrame, ranks: dict[bytes, int], id_col="doc_id", text_col="text", size=DICTIONARY_SIZE) -> DataFrame:
-    """One row per row of docs: doc_id, n_tokens, ids_sha256, decoded_sha256 (of the bytes decoded from the ids)."""
-    e = decode(encode(docs, ranks, id_col, text_col, size=size), ranks)
-    n = F.when(F.col("ids") == "", 0).otherwise(F.length("ids") - F.length(F.replace("ids", F.lit(" "), F.lit(""))) + 1)
-    return e.select("doc_id", n.cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    """One row per row of docs: doc_id, n_tokens, ids_sha256, decoded_sha256 (of the bytes decoded from the ids).
+
+    Encodes, decodes and hashes in one pass, so that neither ids nor decoded bytes leave the task.
+    """
+    d = docs.select(F.col(id_col).alias("doc_id"), _text(text_col))
+    encoder, decoder = _encoder(d, ranks, size), _decoder(ranks, "ids")
+
+    def each(batches):
+        from hashlib import sha256
+
+        for b in decoder(encoder(batches)):
+            ids = b.column("ids")
+            n = pc.if_else(pc.equal(ids, ""), 0, pc.add(pc.count_substring(ids, " "), 1)).cast(pa.int64())
+            hashed = [pa.array([sha256(x.as_buffer()).hexdigest() for x in c], pa.string()) for c in (ids, b.column("decoded"))]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), n, *hashed], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return d.mapInArrow(each, d.select("doc_id").schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string"))
