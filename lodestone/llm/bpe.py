@@ -42,7 +42,7 @@ DICTIONARY_SIZE, ENTRY_CHARS = 1 << 16, 48
 #: Tasks that fold the dictionary: few, since each is sent the rank map.
 FOLD_TASKS = 12
 #: Bytes of text that a task handles at once (one text is never cut), and most pieces whose ids it keeps for the next.
-AT_ONCE, REMEMBERED = 1 << 24, 1 << 18
+AT_ONCE, REMEMBERED = 1 << 22, 1 << 17
 # Bytes that are white space, and those that begin a character that may be.
 WHITE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 MAYBE_WHITE = np.isin(np.arange(256), [0xC2, 0xE1, 0xE2, 0xE3])
