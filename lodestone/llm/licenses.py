@@ -1,7 +1,8 @@
 """License scans by sentence rules.
 
-Sentences are normalised (lower case, letters and digits only) and looked up in a literal map of
-known licence sentences; a text becomes the sequence of the identifiers found. Rules, in order of
+Texts are normalised (lower case, letters and digits only) and cut where a sentence or line ends.
+A known licence sentence is found where it equals one piece or several that follow each other, the
+longest first; a text becomes the sequence of the identifiers found. Rules, in order of
 rank, match identifier sequences; the first that matches names the licence, all that match are
 listed. Everything happens in the row, so texts never move.
 
@@ -43,6 +44,13 @@ SENTENCES = {
     "this is free and unencumbered software released into the public domain": "unlicense",
 }
 
+# Sentences of the full licences that go on past the known text, and their identifiers.
+LONGER = {
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions": "mit-grant",
+    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement": "as-is",
+}
+KNOWN = SENTENCES | LONGER
+
 # Rules by rank: licence, family, and the identifiers that must follow each other (others may stand between).
 RULES = (
     ("Apache-2.0", "permissive", ("apache-notice", "apache-compliance", "apache-basis")),
@@ -69,28 +77,29 @@ RULES = (
 BREAKS = r"[\n\r]+|[.;:!?](?=[ \t\n\r]|\z)"
 
 
-def normalised(sentence: Column) -> Column:
-    return F.btrim(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " "), F.lit(" "))
+def pieces(text: Column) -> Column:
+    """The normalised pieces of a text, each between line ends."""
+    t = F.regexp_replace(F.lower(F.regexp_replace(text, BREAKS, "\n")), "[^a-z0-9\n]+", " ")
+    return F.concat(F.lit("\n"), F.regexp_replace(t, " ?\n[ \n]*|^ | $", "\n"), F.lit("\n"))
 
 
-def sentence_ids(text: Column, known=SENTENCES) -> Column:
-    """Identifiers of the known sentences of a text, in order. Sentences split over lines are also tried joined to the next."""
-    lengths = sorted({len(s) for s in known})
+def sentence_ids(text: Column, known=KNOWN) -> Column:
+    """Identifiers of the known sentences of a text, in order; a sentence may be cut by breaks between any words."""
     table = F.create_map(*[F.lit(x) for kv in known.items() for x in kv])
-    lines = F.transform(F.split(text, BREAKS), normalised)
-    fit = F.filter(lines, lambda s: F.length(s).isin(lengths))
-    return F.filter(F.transform(fit, lambda s: F.try_element_at(table, s)), lambda x: x.isNotNull())
+    ways = "|".join(s.replace(" ", "[ \n]") for s in sorted(known, key=len, reverse=True))
+    hits = F.regexp_extract_all(pieces(text), F.lit(f"\n({ways})(?=\n)"), F.lit(1))
+    return F.transform(hits, lambda s: F.try_element_at(table, F.translate(s, "\n", " ")))
 
 
 def _pattern(ids) -> str:
     return r"(?s)(?:^|,)" + r"(?:,.*)?,".join(f"{i}(?=,)" for i in ids)
 
 
-def scan(docs: DataFrame, id_col="doc_id", text_col="text", known=SENTENCES, rules=RULES) -> DataFrame:
+def scan(docs: DataFrame, id_col="doc_id", text_col="text", known=KNOWN, rules=RULES) -> DataFrame:
     """One row per row of docs: doc_id, n_found, ids (comma-joined), license, family, licenses (all that match, by rank), null or empty where none."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    # only words that some known sentence holds can start one: a cheap test before splitting
-    likely = F.lower(text).rlike("licen[sc]e|copyright|permi|redistribut|warrant|free software|public domain|applicable law")
+    # every known sentence holds one of these, whole on one line: a cheap test before splitting
+    likely = F.lower(text).rlike("licen[sc]e|copyright|permi|redistribut|warrant|unencumbered")
     ids = F.when(likely, sentence_ids(text, known)).otherwise(F.array().cast("array<string>"))
     d = docs.select(F.col(id_col).alias("doc_id"), ids.alias("_ids"))
     d = d.select("doc_id", F.size("_ids").cast("long").alias("n_found"), F.array_join("_ids", ",").alias("ids"))
