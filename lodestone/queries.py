@@ -170,8 +170,7 @@ def motif_chain(spark, sf_dir):
 
 
 def motif_counts(spark, sf_dir):
-    g = graph_e(spark, sf_dir, ("purchase", "error"))
-    return motifs.counts_by_type(motifs.all_motifs(g, 0.5, max_depth=2))
+    return motifs.counts_by_type(motifs.all_motifs(graph_e(spark, sf_dir), 0.5))
 
 
 def conversation_traces(spark, sf_dir):
