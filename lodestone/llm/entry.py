@@ -56,7 +56,7 @@ def op9_warc(spark, sf_dir):
 
 def op10_image_copies(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
-    return images.find_copies(vectors, "vec_id", "embedding", images.draw_vector, lambda i: i % 20 == 0, images.crop_and_brighten)
+    return images.find_copies(vectors, "vec_id", "embedding", images.draw_vector, lambda i: i % 20 == 0, images.one_of_the_edits)
 
 
 QUERIES = (op1_class_model, op2_secret_scans, op3_repeats, op4_license_scans, op5_quality_rules, op6_simhash, op7_byte_bpe, op8_mixing, op9_warc, op10_image_copies)
