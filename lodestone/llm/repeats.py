@@ -1,11 +1,20 @@
-"""Removal of repeated 200-byte strings by content-defined phrases.
+"""Removal of repeated 200-byte strings by prefix-free parsing.
 
 Rolling hashes trigger phrase borders: of the short grams in each 200-byte window the one with the
-least hash is its trigger, so equal windows have equal triggers and consecutive windows with one
-trigger form a phrase (with its context). Phrases are matched across the corpus by the half window
-left or right of the trigger, which every window of that half contains. A phrase that occurs again
-whole is repeated whole. Where phrases share a half but differ elsewhere, their single windows are
-counted. Strings are compared by 64-bit polynomial hashes.
+least hash is its trigger, so equal windows have equal triggers, at equal places, and consecutive
+windows with one trigger form a phrase (with its context). No window is a proper prefix of another,
+so phrases can be put in order by themselves: the parse is the table of phrases by hash, with the
+texts they stand in, and the dictionary has each different phrase once.
+
+A phrase that the parse has twice is repeated whole. Of the others only those matter whose half
+window beside the trigger (which every window of that half contains) stands elsewhere too. Their
+bytes form the dictionary, dealt out by that half: parts between which no two suffixes have 200 bytes
+in common. A suffix array of each part puts its windows in corpus order; a window whose neighbour has
+200 common bytes, or whose phrase the parse has twice, is repeated. A trigger with very many different
+phrases is no part of bounded size: its windows are dealt out singly and counted by two hashes.
+
+Phrases are counted by two 64-bit polynomial hashes, of the half window and of the whole; all other
+comparisons are of bytes.
 
 Defined results: null text is empty; texts below the width have nothing to remove; repeated rows
 are texts of their own, and so are removed wholly; null ids are carried; an empty table gives no
@@ -28,6 +37,8 @@ WIDTH, GRAM = 200, 8
 #: Bytes hashed together; bounds a task's memory.
 CHUNK = 1 << 20
 LOW = (1 << 26) - 1
+#: Windows put in suffix order together, and contexts of a key beyond which its windows are dealt out singly instead.
+PART, MOST_CONTEXTS = 1 << 16, 2048
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -146,41 +157,117 @@ def _times() -> Column:
     return F.shiftright("at", 48).cast("int")
 
 
-def _windows(docs: DataFrame, width: int) -> DataFrame:
-    """(h, n, at): every window in the spans (p0, p1, times) of each text."""
+def _spans(docs: DataFrame, opened: DataFrame) -> DataFrame:
+    """(n, text, spans) of the texts whose windows in spans (key, p0, p1, times) are looked at singly."""
+    spans = opened.groupBy(F.col("n").alias("m")).agg(F.collect_list(F.struct("key", "p0", "p1", "times")).alias("spans"))
+    return docs.join(spans, F.col("n") == F.col("m")).select("n", "text", "spans")
+
+
+def _dictionary(spans: DataFrame, width: int) -> DataFrame:
+    """(key, n, p0, times, phrase): the phrases with their contexts, each once."""
+
+    def each(batches):
+        for b in batches:
+            for k in range(0, len(b), 64):
+                part = b.slice(k, 64)
+                rows = [(s["key"], n, s["p0"], s["times"], text[s["p0"] : s["p1"] + width]) for n, text, spans in zip(part.column("n").to_pylist(), _encoded(part.column("text")), part.column("spans").to_pylist(), strict=True) for s in spans]
+                cols = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["key", "n", "p0", "times", "phrase"])
+
+    return spans.mapInArrow(each, "key long, n long, p0 int, times int, phrase binary")
+
+
+def suffix_order(phrases: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Suffix array of phrases, cut at width bytes: of the suffixes that long, in order, the phrase, the place in it, and the first and last of those equal to it."""
+    size = np.array([len(p) for p in phrases])
+    n, data = size - width + 1, np.frombuffer(b"".join(phrases), "u1")
+    of = np.repeat(np.arange(len(phrases)), n)
+    place = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+    start = (np.cumsum(size) - size)[of] + place
+    windows = np.lib.stride_tricks.sliding_window_view(data, width)[start].view(f"V{width}").ravel()
+    order = np.argsort(windows, kind="stable")
+    ranked = windows[order]
+    new = np.append(True, ranked[1:] != ranked[:-1])
+    first = np.nonzero(new)[0]
+    group = np.cumsum(new) - 1
+    return of[order], place[order], first[group], np.append(first[1:], len(order))[group] - 1
+
+
+def _neighbours(dictionary: DataFrame, width: int) -> DataFrame:
+    """The dictionary (dealt by key and sorted by it) to (n, p0, p1): windows that have an equal neighbour in suffix order, or whose phrase stands elsewhere.
+
+    Equal windows have equal keys, so the dictionary falls into parts between which no neighbour has
+    width bytes in common; whole parts are put in order together.
+    """
+
+    def found(rows):
+        _, n, p0, times, phrases = zip(*rows, strict=True)
+        of, place, first, last = suffix_order(phrases, width)
+        total = np.append(0, np.cumsum(np.array(times)[of]))
+        again = total[last + 1] - total[first] > 1
+        of, place = of[again], place[again]
+        order = np.lexsort((place, of))
+        of, place = of[order], place[order]
+        if not len(of):
+            return None
+        new = np.append(True, (of[1:] != of[:-1]) | (place[1:] != place[:-1] + 1))
+        head = np.nonzero(new)[0]
+        tail = np.append(head[1:], len(of)) - 1
+        base = np.array(p0)[of[head]]
+        return pa.RecordBatch.from_arrays([pa.array(np.array(n)[of[head]]), pa.array((base + place[head]).astype("i4")), pa.array((base + place[tail]).astype("i4"))], ["n", "p0", "p1"])
+
+    def each(batches):
+        rows, size = [], 0
+        for b in batches:
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if size > PART and row[0] != rows[-1][0]:
+                    if (out := found(rows)) is not None:
+                        yield out
+                    rows, size = [], 0
+                rows.append(row)
+                size += len(row[4]) - width + 1
+        if rows and (out := found(rows)) is not None:
+            yield out
+
+    return dictionary.repartition("key").sortWithinPartitions("key").mapInArrow(each, "n long, p0 int, p1 int")
+
+
+def _windows(spans: DataFrame, width: int) -> DataFrame:
+    """(g, h, n, at): every window of the spans, by two hashes."""
 
     def each(batches):
         for b in batches:
             for n, text, spans in zip(b.column("n").to_pylist(), _encoded(b.column("text")), b.column("spans").to_pylist(), strict=True):
                 for s in spans:
-                    data = np.frombuffer(text[s["p0"] : s["p1"] + width], "u1")
-                    h = Hasher(data).of(np.arange(s["p1"] - s["p0"] + 1), width).view("i8")
-                    yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(len(h), n)), pa.array(np.arange(s["p0"], s["p1"] + 1) | s["times"] << 48)], ["h", "n", "at"])
+                    data, at = np.frombuffer(text[s["p0"] : s["p1"] + width], "u1"), np.arange(s["p1"] - s["p0"] + 1)
+                    g, h = (Hasher(x).of(at, width).view("i8") for x in (data ^ np.uint8(0x5A), data))
+                    yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(h), pa.array(np.full(len(h), n)), pa.array((at + s["p0"]) | s["times"] << 48)], ["g", "h", "n", "at"])
 
-    return docs.mapInArrow(each, "h long, n long, at long")
+    return spans.mapInArrow(each, "g long, h long, n long, at long")
 
 
-def repeated_windows(docs: DataFrame, width=WIDTH) -> DataFrame:
+def repeated_windows(docs: DataFrame, width=WIDTH, most=MOST_CONTEXTS) -> DataFrame:
     """docs (n, text) to (n, p0, p1): ranges of starts of windows that start elsewhere too."""
     w, wc = W.partitionBy("key"), W.partitionBy("key", "context")
     r = _phrase_rows(docs, width).withColumn("all", F.sum(_times()).over(w)).withColumn("mixed", F.min("context").over(w) != F.max("context").over(w))
     r = r.filter("all > 1").withColumn("whole", F.sum(_times()).over(wc)).withColumn("one", F.row_number().over(wc.orderBy("n", "at")) == 1)
-    r = staged(r.select("n", _first().alias("p0"), _last().alias("p1"), (F.col("whole") > 1).alias("again"), (F.col("mixed") & F.col("one")).alias("open"), F.least("whole", F.lit(2)).cast("int").alias("times")), "phrases")
-    spans = r.filter("open").groupBy(F.col("n").alias("m")).agg(F.collect_list(F.struct("p0", "p1", "times")).alias("spans"))
-    singles = _windows(docs.join(spans, F.col("n") == F.col("m")).select("n", "text", "spans"), width)
-    singles = singles.withColumn("all", F.sum(_times()).over(W.partitionBy("h"))).filter("all > 1").select("n", _first().alias("p0"), _last().alias("p1"))
-    return r.filter("again").select("n", "p0", "p1").unionByName(singles)
+    r = r.withColumn("open", F.col("mixed") & F.col("one"))
+    r = r.withColumn("wide", F.sum(F.col("open").cast("int")).over(w) > most)
+    r = staged(r.select("n", _first().alias("p0"), _last().alias("p1"), (F.col("whole") > 1).alias("again"), "open", "wide", F.when(F.col("open"), F.col("key")).alias("key"), F.least("whole", F.lit(2)).cast("int").alias("times")), "phrases")
+    narrow = _neighbours(_dictionary(_spans(docs, r.filter("open AND NOT wide")), width), width)
+    singles = _windows(_spans(docs, r.filter("open AND wide")), width)
+    singles = singles.withColumn("all", F.sum(_times()).over(W.partitionBy("g", "h"))).filter("all > 1").select("n", _first().alias("p0"), _last().alias("p1"))
+    return r.filter("again").select("n", "p0", "p1").unionByName(narrow).unionByName(singles)
 
 
-def remove_repeats(docs: DataFrame, id_col="doc_id", text_col="text", width=WIDTH, from_files=False) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col="doc_id", text_col="text", width=WIDTH, most=MOST_CONTEXTS) -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, kept (the remaining bytes), n_removed, n_spans, kept_sha256.
 
-    Texts are read more than once and meet by row numbers. from_files: docs is read straight from
-    files, whose rows keep their numbers; otherwise the numbered texts are written once first.
+    Texts are read more than once and meet by row numbers, so the numbered texts are written once first.
     """
     d = docs.select(F.monotonically_increasing_id().alias("n"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    d = d if from_files else staged(d, "texts")
-    found = repeated_windows(d, width).groupBy(F.col("n").alias("m")).agg(F.collect_list(F.struct("p0", "p1")).alias("spans"))
+    d = staged(d, "texts")
+    found = repeated_windows(d, width, most).groupBy(F.col("n").alias("m")).agg(F.collect_list(F.struct("p0", "p1")).alias("spans"))
     kind = d.schema["doc_id"].dataType.simpleString()
 
     def each(batches):
