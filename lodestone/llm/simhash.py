@@ -1,8 +1,8 @@
 """SimHash near-dedup by tiled exact comparison.
 
 Fingerprints are 64 majority bits over XXH64 values of word shingles. Different fingerprints are
-dealt into tiles by population count, since two that differ in r bits have counts at most r apart:
-only tiles whose counts are that near are compared, each pair of tiles as one numpy exclusive-or
+dealt into tiles of like size by population count, since two that differ in r bits have counts at most
+r apart: only tiles whose counts are that near are compared, each pair of tiles as one numpy exclusive-or
 with bit counts. A pair of tiles reports a spanning forest of its links, so that a group of copies
 costs one link a member; components are then joined by star contraction in Spark.
 
@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from .common import staged
 
 WIDTH, RADIUS = 4, 4
-#: Fingerprints in a tile; a pair of tiles is one task's work of 2^30 comparisons.
-TILE = 32768
+#: Fingerprints in a tile; a pair of tiles is one task's work of 2^26 comparisons.
+TILE = 8192
 
 
 def fingerprint(text: str | None, width: int = WIDTH) -> int:
@@ -79,13 +79,20 @@ def _forest(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.ndarra
 def links(nodes: DataFrame, radius=RADIUS, tile=TILE) -> DataFrame:
     """(u, v) links between the different fingerprints of nodes (fp) that connect all within radius."""
     n = {r["ones"]: r["n"] for r in nodes.groupBy(F.bit_count("fp").alias("ones")).agg(F.count("*").alias("n")).collect()}  # 65 rows at most
-    tiles = [-(-n.get(k, 0) // tile) for k in range(65)]
-    first = np.concatenate([[0], np.cumsum(tiles)]).tolist()
+    shelves: list[list[int]] = []  # counts that share tiles: lowest, highest, number of fingerprints
+    for k in range(65):
+        if shelves and shelves[-1][2] + n.get(k, 0) <= tile:
+            shelves[-1][1:] = [k, shelves[-1][2] + n.get(k, 0)]
+        else:
+            shelves.append([k, k, n.get(k, 0)])
+    parts = [max(1, -(-total // tile)) for _, _, total in shelves]
+    first = np.cumsum([0, *parts]).tolist()
+    of = [next(g for g, (_, high, _) in enumerate(shelves) if k <= high) for k in range(65)]
     at = lambda values: F.get(F.array(*[F.lit(int(x)) for x in values]), F.col("ones"))
     d = nodes.select("fp", F.bit_count("fp").alias("ones"))
-    d = d.select("fp", "ones", (at(first) + F.pmod(F.xxhash64("fp"), F.greatest(at(tiles), F.lit(1))).cast("int")).alias("tile"))
-    low = [first[max(0, k - radius)] for k in range(65)]
-    high = [first[min(65, k + radius + 1)] - 1 for k in range(65)]
+    d = d.select("fp", "ones", (at([first[g] for g in of]) + F.pmod(F.xxhash64("fp"), at([parts[g] for g in of])).cast("int")).alias("tile"))
+    low = [first[of[max(0, shelves[g][0] - radius)]] for g in of]
+    high = [first[of[min(64, shelves[g][1] + radius)] + 1] - 1 for g in of]
     d = d.select("fp", "tile", F.explode(F.sequence(at(low), at(high))).alias("other"))
     d = d.select("fp", F.least("tile", "other").alias("a"), F.greatest("tile", "other").alias("b"), (F.col("tile") > F.col("other")).alias("right"))
 
@@ -104,9 +111,11 @@ def components(edges: DataFrame) -> DataFrame:
     seen = e.select(mark.alias("m")).first()
     while seen["m"][0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # staged, so that the join may split a node of many links over tasks
+        least = staged(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = staged(large, "links")
+        least = staged(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = staged(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "links")
         if (now := e.select(mark.alias("m")).first()) == seen:
@@ -120,7 +129,7 @@ def grouped(found: DataFrame, radius=RADIUS) -> DataFrame:
     nodes = staged(found.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "fingerprints")
     roots = components(links(nodes, radius))
     n = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "first_id")
-    ids = n.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    ids = staged(n.groupBy("root").agg(F.min("first_id").alias("component_id")), "components")
     return n.join(ids, "root").select("fp", "root", "component_id")
 
 
