@@ -1,23 +1,25 @@
 """Class-based bigram language model.
 
 Exchange clustering: words move to the class that raises the likelihood of the class bigrams most.
-Counts of each word with the classes beside it come from a pass over all training texts; the moves
-are made on that matrix, whose size is set by exchange_words and classes, not by the data; then
-the counts are taken again. Words past exchange_words take one of rule_classes by their ending.
+First the most frequent words are exchanged one by one on a matrix of fixed size; then all others are
+placed, and all are exchanged again, in blocks: rows of (word, class beside it, count) are dealt out
+by word, tasks find each word's best class against the classes x classes matrix, and the classes of the
+other blocks stand still meanwhile. A block's moves that would lower the likelihood are taken back.
+Words past frequent_words are placed in the same way, as rows of a table that stays in Spark. The
+driver holds the matrix and one class for each of the frequent words, however large the input.
 A text's probability is the product of class transitions and word emissions, both smoothed.
 
 Counts of all words come from a shuffle. The frequent_words most frequent ones are known to every
-task; occurrences of the others are joined with the counts. Both parts of a text's score are sums,
-so the split changes no result.
+task; occurrences of the others are joined with the counts and classes.
 
 Defined results: a null or empty text is its end token alone; the end token is the empty word and
 stands before each text too; a null id counts as an empty one (held out); repeated rows are scored
-one by one; an empty table gives no rows; without training texts all counts are 0.
+one by one; a word that training never saw has a class of its own; further columns are not looked at;
+an empty table gives no rows; without training texts all counts are 0.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
 
 import numpy as np
@@ -27,8 +29,11 @@ from pyspark.sql import functions as F
 
 from .common import staged
 
-CLASSES, RULE_CLASSES, EXCHANGE_WORDS, FREQUENT_WORDS, PASSES, ADD, PRIOR = 64, 16, 4096, 1 << 18, 3, 0.1, 50.0
-FLUSH = 400_000
+CLASSES, LEADING_WORDS, FREQUENT_WORDS, PASSES, BLOCKS, ADD, PRIOR = 64, 4096, 1 << 18, 3, 4, 0.1, 50.0
+#: Rows or words that a task holds before it passes them on.
+FLUSH, CHUNK = 400_000, 256
+#: Classes after the exchanged ones: words not placed yet, words that training never saw, the end.
+WAITING, UNSEEN, END, MORE = 0, 1, 2, 3
 
 
 def held_out(doc_id):
@@ -39,10 +44,6 @@ def _words(text) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
-def _rule(word: bytes, n: int) -> int:
-    return zlib.crc32(word[-2:]) % n
-
-
 def word_counts(docs: DataFrame) -> DataFrame:
     """(word, c): how often each word and the end (an empty word) stand in docs (text)."""
 
@@ -61,57 +62,182 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(each, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def _coded(docs: DataFrame, index, m: int, rules: int) -> DataFrame:
-    """Each text as int32 numbers: frequent words by rank, others by their rule, the end last; and the other words."""
+def _coded(docs: DataFrame, index, m: int) -> DataFrame:
+    """Each text as int32 numbers: frequent words by rank, m for any other (listed in rare, in order), the end last."""
 
     def each(batches):
         known = index.value
+        end = known.get(b"", m + 1)
         for b in batches:
             ids, rare = [], []
             for x in b.column("text"):
                 words = _words(x.as_py())
-                got = [known.get(w, -1) for w in [*words, b""]]
-                left = [(k, w) for k, (w, i) in enumerate(zip(words, got, strict=False)) if i < 0]
-                for k, w in left:
-                    got[k] = m + _rule(w, rules)
-                if got[-1] < 0:
-                    got[-1] = m + rules
-                ids.append(np.array(got, "<i4").tobytes())
-                rare.append([w for _, w in left])
+                got = [known.get(w, m) for w in words]
+                rare.append([w for w, i in zip(words, got, strict=True) if i == m])
+                ids.append(np.array([*got, end], "<i4").tobytes())
             yield pa.RecordBatch.from_arrays([b.column("n"), b.column("doc_id"), b.column("held_out"), pa.array(ids, pa.binary()), pa.array(rare, pa.list_(pa.binary()))], ["n", "doc_id", "held_out", "ids", "rare"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("n", "doc_id", "held_out", "text").mapInArrow(each, f"n long, doc_id {kind}, held_out boolean, ids binary, rare array<binary>")
 
 
-def _neighbours(coded: DataFrame, of: np.ndarray, words: int, classes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Over the training texts: left[w, c], right[w, c] of exchange words and all class bigrams; matrices of fixed size."""
-    end, shape = classes - 1, words * classes
+def _joined(column) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of a batch of texts one after the other, and where each text starts."""
+    parts = [np.frombuffer(x.as_py(), "<i4") for x in column]
+    return np.concatenate([np.zeros(0, "<i4"), *parts]), np.cumsum([0, *map(len, parts)])[:-1]
+
+
+def _beside(c: np.ndarray, starts: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """Classes before and after each place; the end stands around every text."""
+    before, after = np.append(end, c[:-1]), np.append(c[1:], end)
+    before[starts] = end
+    after[starts[1:] - 1] = end
+    return before, after
+
+
+def _added(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    k, back = np.unique(np.concatenate(keys), return_inverse=True)
+    return k, np.bincount(back, weights=np.concatenate(counts), minlength=len(k)).astype("i8")
+
+
+def class_pairs(coded: DataFrame, of: np.ndarray, classes: int) -> np.ndarray:
+    """How often a class follows another in the training texts; a matrix of fixed size. Where coded has them, classes of rare words are in the column placed."""
+    a, end, wide = classes + MORE, classes + END, "placed" in coded.columns
 
     def each(batches):
-        total = np.zeros(2 * shape + classes * classes, "i8")
+        total = np.zeros(a * a, "i8")
         for b in batches:
-            for x in b.column(0):
-                ids = np.frombuffer(x.as_py(), "<i4")
-                c = of[ids]
-                before, after = np.append(end, c[:-1]), np.append(c[1:], end)
-                mine = ids < words
-                np.add.at(total, ids[mine] * classes + before[mine], 1)
-                np.add.at(total, shape + ids[mine] * classes + after[mine], 1)
-                np.add.at(total, 2 * shape + before * classes + c, 1)
+            if not len(b):
+                continue
+            ids, starts = _joined(b.column(0))
+            c = of[ids]
+            if wide:
+                c[ids == len(of) - 2] = np.concatenate([np.zeros(0, "<i4"), *(np.frombuffer(x.as_py() or b"", "<i4") for x in b.column(1))])
+            before, _ = _beside(c, starts, end)
+            total += np.bincount(before * a + c, minlength=a * a)
         at = np.nonzero(total)[0]
-        for k in range(0, len(at), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(at[k : k + (1 << 16)]), pa.array(total[at[k : k + (1 << 16)]])], ["at", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["at", "n"])
 
-    rows = coded.filter("not held_out").select("ids").mapInArrow(each, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
-    total = np.zeros(2 * shape + classes * classes)
+    rows = coded.filter("not held_out").select("ids", *["placed"] * wide).mapInArrow(each, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    total = np.zeros(a * a)
     total[rows.column("at").to_numpy()] = rows.column("n").to_numpy()
-    return total[:shape].reshape(words, classes), total[shape : 2 * shape].reshape(words, classes), total[2 * shape :].reshape(classes, classes)
+    return total.reshape(a, a)
+
+
+def neighbours(coded: DataFrame, of: np.ndarray, classes: int, block: int, blocks: int, leading: int = 0) -> DataFrame:
+    """(word, at, n) over the training texts: how often class at (or, from classes + MORE on, after it) stands before word; of the words of a block, or of the leading ones only."""
+    a, end, known = classes + MORE, classes + END, len(of) - 2
+
+    def each(batches):
+        keys, counts, held = [], [], 0
+        rows = lambda k, n: pa.RecordBatch.from_arrays([pa.array((k // (2 * a)).astype("i4")), pa.array((k % (2 * a)).astype("i4")), pa.array(n)], ["word", "at", "n"])
+        for b in batches:
+            if not len(b):
+                continue
+            ids, starts = _joined(b.column(0))
+            before, after = _beside(of[ids], starts, end)
+            mine = ids < leading if leading else (ids < known) & (ids % blocks == block)
+            w = ids[mine].astype("i8") * (2 * a)
+            k, n = np.unique(np.concatenate([w + before[mine], w + a + after[mine]]), return_counts=True)
+            keys, counts, held = [*keys, k], [*counts, n], held + len(k)
+            if held > 10 * FLUSH:
+                k, n = _added(keys, counts)
+                keys, counts, held = [k], [n], len(k)
+                if held > 5 * FLUSH:
+                    yield rows(k, n)
+                    keys, counts, held = [], [], 0
+        if held:
+            yield rows(*_added(keys, counts))
+
+    return coded.filter("not held_out").select("ids").mapInArrow(each, "word int, at int, n long")
+
+
+def rare_neighbours(coded: DataFrame, of: np.ndarray, classes: int) -> DataFrame:
+    """The same for words that are not among the frequent ones: word binary."""
+    a, end, known = classes + MORE, classes + END, len(of) - 2
+
+    def each(batches):
+        for b in batches:
+            if not len(b):
+                continue
+            ids, starts = _joined(b.column(0))
+            before, after = _beside(of[ids], starts, end)
+            mine = ids == known
+            words = b.column(1).flatten()
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([words, words]), pa.array(np.append(before[mine], a + after[mine]).astype("i4"))], ["word", "at"])
+
+    rows = coded.filter("not held_out and size(rare) > 0").select("ids", "rare").mapInArrow(each, "word binary, at int")
+    return rows.groupBy("word", "at").agg(F.count("*").alias("n"))
+
+
+def _f(x: np.ndarray) -> np.ndarray:
+    return x * np.log(np.maximum(x, 1))
+
+
+def likelihood(pairs: np.ndarray) -> float:
+    """Of the class bigrams, up to what does not depend on classes."""
+    return float(_f(pairs).sum() - _f(pairs.sum(0)).sum() - _f(pairs.sum(1)).sum())
+
+
+def _twice(x: np.ndarray, l: np.ndarray, r: np.ndarray) -> np.ndarray:  # noqa: E741
+    """What a class followed by itself adds where a word brings it neighbours on both sides."""
+    return _f(x + l + r) - _f(x + l) - _f(x + r) + _f(x)
+
+
+def gains(left: np.ndarray, right: np.ndarray, own: np.ndarray, pairs: np.ndarray, classes: int) -> np.ndarray:
+    """(words, classes): what the likelihood gains where a word, taken out of its own class, joins a class."""
+    out, same = np.zeros((len(own), classes)), np.arange(classes)
+    for k in range(0, len(own), CHUNK):
+        l, r, o = left[k : k + CHUNK], right[k : k + CHUNK], own[k : k + CHUNK]  # noqa: E741
+        p = np.repeat(pairs[None], len(o), 0)
+        i = np.arange(len(o))
+        p[i, :, o] -= l
+        p[i, o, :] -= r
+        p = np.maximum(p, 0)  # a word beside itself is counted on both sides
+        cols, rows = p[:, :, :classes], p[:, :classes, :]
+        came, went, n = cols.sum(1) + r[:, :classes], rows.sum(2) + l[:, :classes], l.sum(1)[:, None]  # the words beside it stay
+        gain = (_f(cols + l[:, :, None]) - _f(cols)).sum(1) + (_f(rows + r[:, None, :]) - _f(rows)).sum(2)
+        gain += _twice(p[:, same, same], l[:, :classes], r[:, :classes])
+        out[k : k + CHUNK] = gain - (_f(came + n) - _f(came)) - (_f(went + n) - _f(went))
+    return out
+
+
+def best_classes(rows: DataFrame, of: np.ndarray | None, pairs: np.ndarray, classes: int) -> DataFrame:
+    """rows (word, at, n) to (word, class): each word's best class, its own (of, else none) where no other is better. Words are dealt out; a task holds few at once."""
+    a = classes + MORE
+
+    def found(word, at, n):
+        code = word.dictionary_encode()
+        count = np.zeros((len(code.dictionary), 2 * a))
+        np.add.at(count, (code.indices.to_numpy(), at), n)
+        own = of[code.dictionary.to_numpy()] if of is not None else np.full(len(count), classes + WAITING)
+        g = gains(count[:, :a], count[:, a:], own, pairs, classes)
+        new = g.argmax(1)
+        i = np.nonzero(own < classes)[0]
+        stay = i[g[i, new[i]] <= g[i, own[i]] + 1e-9]
+        new[stay] = own[stay]
+        return pa.RecordBatch.from_arrays([code.dictionary, pa.array(new.astype("i4"))], ["word", "class"])
+
+    def each(batches):
+        rest = None
+        for b in batches:
+            t = pa.Table.from_batches([*([rest] if rest else []), b]).combine_chunks()
+            if not len(t):
+                continue
+            word = t.column("word").combine_chunks()
+            last = word.index(word[-1]).as_py() if len(word) else 0
+            if last:
+                yield found(word.slice(0, last), t.column("at").to_numpy()[:last], t.column("n").to_numpy()[:last])
+            rest = t.slice(last).to_batches()[0]
+        if rest is not None:
+            yield found(rest.column("word"), rest.column("at").to_numpy(), rest.column("n").to_numpy())
+
+    kind = rows.schema["word"].dataType.simpleString()
+    return rows.repartition("word").sortWithinPartitions("word").mapInArrow(each, f"word {kind}, class int")
 
 
 def exchange(left: np.ndarray, right: np.ndarray, pairs: np.ndarray, of: np.ndarray, movable: np.ndarray, classes: int) -> int:
     """Move each word to its best class, in order of frequency; changes of and pairs; returns the number of moves."""
-    f = lambda x: x * np.log(np.maximum(x, 1))
     moves = 0
     for w in movable:
         l, r, n, old = left[w], right[w], left[w].sum(), of[w]  # noqa: E741
@@ -120,9 +246,10 @@ def exchange(left: np.ndarray, right: np.ndarray, pairs: np.ndarray, of: np.ndar
         pairs[:, old] -= l
         pairs[old, :] -= r
         cols, rows = pairs[:, :classes], pairs[:classes, :]
-        gain = (f(cols + l[:, None]) - f(cols)).sum(0) + (f(rows + r[None, :]) - f(rows)).sum(1)
-        came, went = cols.sum(0), rows.sum(1)
-        gain -= f(came + n) - f(came) + f(went + n) - f(went)
+        gain = (_f(cols + l[:, None]) - _f(cols)).sum(0) + (_f(rows + r[None, :]) - _f(rows)).sum(1)
+        gain += _twice(pairs.diagonal()[:classes], l[:classes], r[:classes])
+        came, went = cols.sum(0) + r[:classes], rows.sum(1) + l[:classes]  # the words beside it stay
+        gain -= _f(came + n) - _f(came) + _f(went + n) - _f(went)
         new = int(np.argmax(gain))
         if gain[new] <= gain[old] + 1e-9:
             new = old
@@ -132,7 +259,50 @@ def exchange(left: np.ndarray, right: np.ndarray, pairs: np.ndarray, of: np.ndar
     return moves
 
 
-def score(docs: DataFrame, id_col="doc_id", text_col="text", classes=CLASSES, rule_classes=RULE_CLASSES, exchange_words=EXCHANGE_WORDS, frequent_words=FREQUENT_WORDS, passes=PASSES) -> DataFrame:
+def cluster(coded: DataFrame, m: int, stop: int, classes=CLASSES, leading=LEADING_WORDS, passes=PASSES, blocks=BLOCKS, told: list | None = None) -> np.ndarray:
+    """The class of each of m frequent words; two more entries stand for words that are not among them and for an end that training lacks. stop: the end's place. told: gets the likelihood after each step."""
+    moving = min(leading, m)
+    of = np.full(m + 2, classes + WAITING, "i8")
+    of[:moving] = np.arange(moving) % classes
+    of[[stop, m + 1]] = classes + END
+    movable = np.array([i for i in range(moving) if i != stop], "i8")
+    a = classes + MORE
+    for _ in range(passes):
+        rows = neighbours(coded, of, classes, 0, 1, moving).groupBy("word", "at").agg(F.sum("n").alias("n")).toArrow()  # of fixed size
+        count = np.zeros((moving, 2 * a))
+        count[rows.column("word").to_numpy(), rows.column("at").to_numpy()] = rows.column("n").to_numpy()
+        pairs = class_pairs(coded, of, classes)
+        if told is not None:
+            told.append(likelihood(pairs))
+        if not len(movable) or not exchange(count[:, :a], count[:, a:], pairs.copy(), of, movable, classes):
+            break
+    pairs = class_pairs(coded, of, classes)
+    for block in range(blocks):
+        r = best_classes(neighbours(coded, of, classes, block, blocks), of, pairs, classes).toArrow()  # a row for each frequent word of the block
+        w, c = r.column("word").to_numpy(), r.column("class").to_numpy()
+        new = of.copy()
+        new[w[w != stop]] = c[w != stop]
+        after = class_pairs(coded, new, classes)
+        placing = (of[w] == classes + WAITING).any()  # before it is placed, a word belongs to a class that is none
+        if placing or likelihood(after) >= likelihood(pairs):
+            of, pairs = new, after
+        if told is not None:
+            told.append(likelihood(pairs))
+    return of
+
+
+def tables(pairs: np.ndarray, in_class: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """log10 of the transitions between classes, and of what a word's count + ADD is divided by in its class."""
+    chance = in_class + 1
+    chance[len(in_class) - MORE + WAITING] = 0
+    chance = chance / chance.sum()
+    with np.errstate(divide="ignore"):
+        moves = np.log10((pairs + PRIOR * chance[None, :]) / (pairs.sum(1) + PRIOR)[:, None])
+        below = np.log10(in_class + ADD * kinds)
+    return moves, below
+
+
+def score(docs: DataFrame, id_col="doc_id", text_col="text", classes=CLASSES, leading_words=LEADING_WORDS, frequent_words=FREQUENT_WORDS, passes=PASSES, blocks=BLOCKS) -> DataFrame:
     """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 probabilities)."""
     spark = docs.sparkSession
     d = docs.select(F.monotonically_increasing_id().alias("n"), F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).cast("string").alias("text"))
@@ -143,59 +313,55 @@ def score(docs: DataFrame, id_col="doc_id", text_col="text", classes=CLASSES, ru
     words, c = [bytes(x) for x in top.column("word").to_pylist()], top.column("c").to_numpy().astype(float)
     for r in counts.filter(is_end).collect():  # the end is always among the known words
         words, c = [*words, b""], np.append(c, r["c"])
-    m, rules, all_classes, end = len(words), rule_classes, classes + rule_classes + 1, classes + rule_classes
+    m, a = len(words), classes + MORE
+    stop = m - 1 if m and words[-1] == b"" else m + 1
     index = spark.sparkContext.broadcast({w: i for i, w in enumerate(words)})
-    coded = staged(_coded(d, index, m, rules), "coded")
+    coded = staged(_coded(d, index, m), "coded")
+    del words, top
+    of = cluster(coded, m, stop, classes, leading_words, passes, blocks)
+    pairs = class_pairs(coded, of, classes)
 
-    moving = min(exchange_words, m)
-    of = np.array([*(i % classes for i in range(moving)), *(classes + _rule(w, rules) for w in words[moving:]), *range(classes, classes + rules + 1)], "i8")
-    stop = words.index(b"") if b"" in words else m + rules
-    of[stop] = end
-    movable = np.array([i for i in range(moving) if i != stop], "i8")
-    for _ in range(passes):
-        left, right, pairs = _neighbours(coded, of, moving, all_classes)
-        if not exchange(left, right, pairs, of, movable, classes):
-            break
-    pairs = _neighbours(coded, of, 0, all_classes)[2]
-
-    kinds = np.bincount(of[:m], minlength=all_classes).astype(float)  # distinct words of each class; past the frequent ones by rule
-    in_class = np.bincount(of[:m], weights=c, minlength=all_classes)
+    kinds, in_class = np.bincount(of[:m], minlength=a).astype(float), np.bincount(of[:m], weights=c, minlength=a)
     if total["v"] > m:
+        rare = best_classes(rare_neighbours(coded, of, classes), None, pairs, classes).withColumnRenamed("word", "_word")
+        rare = staged(counts.join(rare, F.col("word") == F.col("_word")).select("word", "c", "class"), "rare-words")
+        for r in rare.groupBy("class").agg(F.count("*").alias("v"), F.sum("c").alias("c")).collect():  # a row a class
+            kinds[r["class"]] += r["v"]
+            in_class[r["class"]] += r["c"]
+        at = coded.select("n", F.posexplode("rare").alias("k", "word")).join(rare.withColumnRenamed("word", "_word"), F.col("word") == F.col("_word"), "left")
+        at = at.groupBy(F.col("n").alias("_n")).agg(F.array_sort(F.collect_list(F.struct("k", F.coalesce("class", F.lit(classes + UNSEEN)).alias("class"), F.coalesce("c", F.lit(0)).alias("c")))).alias("at"))
+        coded = coded.drop("rare").join(at, F.col("n") == F.col("_n"), "left").drop("_n")
+    else:
+        unseen = F.transform("rare", lambda w, k: F.struct(k.alias("k"), F.lit(classes + UNSEEN).alias("class"), F.lit(0).cast("long").alias("c")))
+        coded = coded.withColumn("at", unseen).drop("rare")
+
+    def filled(batches):
+        for b in batches:
+            at = b.column("at").to_pylist()
+            of_rare = [np.array([x["class"] for x in v or ()], "<i4").tobytes() for v in at]
+            counted = [np.array([x["c"] for x in v or ()], "<i8").tobytes() for v in at]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), b.column("ids"), pa.array(of_rare, pa.binary()), pa.array(counted, pa.binary())], ["doc_id", "held_out", "ids", "placed", "counted"])
 
-        def by_rule(batches):
-            known = index.value
-            for b in batches:
-                rest = [(_rule(w, rules), n) for w, n in zip(b.column("word").to_pylist(), b.column("c").to_pylist(), strict=True) if w not in known]
-                yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in rest], pa.int32()), pa.array([n for _, n in rest], pa.int64())], ["rule", "c"])
-
-        for r in counts.mapInArrow(by_rule, "rule int, c long").groupBy("rule").agg(F.count("*").alias("v"), F.sum("c").alias("c")).collect():
-            kinds[classes + r["rule"]] += r["v"]
-            in_class[classes + r["rule"]] += r["c"]
-
-    chance = (in_class + 1) / (in_class.sum() + all_classes)
-    moves = np.log10((pairs + PRIOR * chance[None, :]) / (pairs.sum(1) + PRIOR)[:, None])
-    below = np.log10(in_class + ADD * (kinds + 1))  # what an emission is divided by
+    kind = d.schema["doc_id"].dataType.simpleString()
+    coded = staged(coded.select("doc_id", "held_out", "ids", "at").mapInArrow(filled, f"doc_id {kind}, held_out boolean, ids binary, placed binary, counted binary"), "placed")
+    moves, below = tables(class_pairs(coded, of, classes), in_class, kinds)
     base_below = float(np.log10(total["n"] + ADD * (total["v"] + 1)))
-    own = np.append(np.log10(c + ADD), np.zeros(rules + 1))  # others come from the join
-    own[m + rules] = np.log10(ADD)  # an end that training never saw
-    known_flag = np.append(c > 0, np.zeros(rules + 1, bool))
+    c = np.append(c, [0, 0])
+    unseen, end = classes + UNSEEN, classes + END
 
     def each(batches):
         for b in batches:
             out = []
-            for x in b.column("ids"):
+            for x, p, q in zip(b.column("ids"), b.column("placed"), b.column("counted"), strict=True):
                 ids = np.frombuffer(x.as_py(), "<i4")
-                k = of[ids]
-                emitted = own[ids].sum()
-                out.append((len(ids), int(known_flag[ids].sum()), emitted - len(ids) * base_below, moves[np.append(end, k[:-1]), k].sum() + emitted - below[k].sum()))
+                k, n, other = of[ids], c[ids], ids == m
+                k[other], n[other] = np.frombuffer(p.as_py(), "<i4"), np.frombuffer(q.as_py(), "<i8")
+                own = np.log10(n + ADD)
+                emitted = np.where(n > 0, own - below[k], 0)  # what training never saw is all of its class
+                before = np.append(end, k[:-1])
+                out.append((len(ids), int((n > 0).sum()), own.sum() - len(ids) * base_below, moves[before, k].sum() + emitted.sum()))
             cols = list(zip(*out, strict=True)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([b.column("n"), b.column("doc_id"), b.column("held_out"), *(pa.array(v, t) for v, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True))], ["n", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), *(pa.array(v, t) for v, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True))], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
-    kind = d.schema["doc_id"].dataType.simpleString()
-    part = coded.select("n", "doc_id", "held_out", "ids").mapInArrow(each, f"n long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
-    rare = coded.select("n", F.explode("rare").alias("word"))
-    rest = rare.join(counts.withColumnRenamed("word", "_word"), F.col("word") == F.col("_word"), "left").groupBy(F.col("n").alias("_n"))
-    rest = rest.agg(F.sum(F.log10(F.coalesce("c", F.lit(0)) + F.lit(ADD))).alias("_own"), F.count("c").alias("_known"))
-    whole = part.join(rest, F.col("n") == F.col("_n"), "left")
-    more = F.coalesce("_own", F.lit(0.0))
-    return whole.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("_known", F.lit(0))).alias("n_known"), F.lit(int(total["n"])).cast("long").alias("train_tokens"), (F.col("base_score") + more).alias("base_score"), (F.col("score") + more).alias("score"))
+    found = coded.mapInArrow(each, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(total["n"])).cast("long").alias("train_tokens"), "base_score", "score")

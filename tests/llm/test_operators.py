@@ -231,7 +231,7 @@ def test_warc(spark):
         assert r["record_type"] == "revisit" or body[:n].endswith(bytes(r["payload"]))
 
 
-def test_class_model(docs, small):
+def test_scores_of_the_class_model(docs, small):
     for d in (docs, small):
         data = [(i, [w.lower() for w in (t.encode()).split()] + [b""]) for i, t in pairs(d)]
         held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0
@@ -239,25 +239,103 @@ def test_class_model(docs, small):
         n, v = sum(c.values()), len(c)
         want = Counter((i, held(i), len(ws), sum(c[w] > 0 for w in ws), n, round(sum(np.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws), 4)) for i, ws in data)
         for m in (20, 1 << 18):
-            got = rows(brown.score(d, frequent_words=m, exchange_words=15, classes=5))
+            got = rows(brown.score(d, frequent_words=m, leading_words=15, classes=5))
             assert Counter((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 4)) for r in got) == want
+            assert all(np.isfinite(r["score"]) for r in got)
     final = rows(brown.score(small))
     total = lambda k: sum(r[k] for r in final if r["held_out"])
     assert total("score") > total("base_score")
 
 
-def test_class_model_is_a_distribution():
-    left = np.array([[0, 4.0], [4, 0], [0, 1]])
-    of, pairs_ = np.array([0, 0, 1]), np.array([[4.0, 5], [4, 1]])
-    assert brown.exchange(left, left.copy(), pairs_, of, np.arange(3), 2) >= 0 and set(of) <= {0, 1}
+def model(spark, texts, classes=4, m=1000):
+    """The clustering of brown.score over all texts: words, classes, likelihoods by step, class bigrams."""
+    count = Counter(w for t in texts for w in t.split())
+    words = [w.encode() for w, _ in sorted(count.items(), key=lambda x: (-x[1], x[0]))][:m] + [b""]
+    d = spark.createDataFrame([(k, k, False, t) for k, t in enumerate(texts)], "n long, doc_id long, held_out boolean, text string").repartition(3)
+    coded = brown._coded(d, spark.sparkContext.broadcast({w: i for i, w in enumerate(words)}), len(words)).persist()
+    told = []
+    of = brown.cluster(coded, len(words), len(words) - 1, classes, 24, 8, 2, told)
+    pairs = brown.class_pairs(coded, of, classes)
+    return words, of, told, pairs, np.array([count[w.decode()] for w in words[:-1]] + [len(texts)], float)
+
+
+def test_class_model(spark):
+    """Words that stand in like places share a class, no step lowers the likelihood once all are placed, and probabilities sum to 1."""
+    rng = np.random.default_rng(3)
+    kinds = [[f"{k}{i}" for i in range(12)] for k in "abc"]
+    texts = [" ".join(kinds[j % 3][rng.integers(12)] for j in range(rng.integers(3, 20))) for _ in range(300)]
+    words, of, told, pairs, c = model(spark, texts)
+    kind_of = [[w.decode()[0] for w, k in zip(words[:-1], of, strict=False) if k == c] for c in range(4)]
+    assert sum(max(Counter(x).values(), default=0) for x in kind_of) >= 0.85 * 36
+    assert told[-2] <= told[-1] + 1e-6 and told[0] <= told[-1]
+    a = len(pairs)
+    in_class, n_kinds = np.bincount(of[: len(words)], weights=c, minlength=a), np.bincount(of[: len(words)], minlength=a).astype(float)
+    moves, below = brown.tables(pairs, in_class, n_kinds)
+    emission = np.log10(c + brown.ADD) - below[of[: len(words)]]
+    unseen = 4 + brown.UNSEEN
+    for before in {int(k) for k in of[: len(words)]}:
+        one = (10 ** (moves[before, of[: len(words)]] + emission)).sum() + 10 ** moves[before, unseen] + sum(10 ** moves[before, k] for k in range(4) if not n_kinds[k])
+        assert abs(one - 1) < 1e-9
+
+
+def test_gains_are_those_of_the_likelihood(spark):
+    """gains() and exchange() against the likelihood of class bigrams counted anew."""
+    rng = np.random.default_rng(5)
+    ids, classes = rng.integers(0, 9, 400), 3
+    a, of = classes + brown.MORE, np.append(rng.integers(0, 3, 9), [3, 5])
+    count = lambda of: (lambda c: np.bincount(np.append(a - 1, c[:-1]) * a + c, minlength=a * a).reshape(a, a).astype(float))(np.append(of[ids], a - 1))
+    w = 4
+    keep = ids[np.append(True, (ids[1:] != w) | (ids[:-1] != w))]  # no word beside itself
+    ids = keep
+    pairs, c = count(of), np.append(of[ids], a - 1)
+    at = np.nonzero(ids == w)[0]
+    left, right = np.bincount(np.append(a - 1, c)[at], minlength=a).astype(float), np.bincount(c[at + 1], minlength=a).astype(float)
+    g = brown.gains(left[None], right[None], of[[w]], pairs, classes)[0]
+    exact = [brown.likelihood(count(np.where(np.arange(len(of)) == w, k, of))) for k in range(classes)]
+    assert np.allclose(g - g[0], np.array(exact) - exact[0])
 
 
 def test_image_copies(spark):
-    v = spark.read.parquet(f"{SF}/embeddings.parquet").limit(120)
-    v = v.unionByName(v.filter("vec_id % 40 = 0").withColumn("vec_id", F.col("vec_id") + 100_001)).unionByName(spark.createDataFrame([(None, None, None)], v.schema))
-    got = rows(images.find_copies(v, "vec_id", "embedding", images.draw_vector, lambda i: i % 20 == 0, images.crop_and_brighten))
-    queries = [r for r in got if r["copies"] is not None]
-    found = sum(any(c["class_id"] == r["class_id"] for c in r["copies"]) for r in queries)
-    assert len(got) == v.count() and found >= 0.9 * len(queries)
-    assert sum(len(r["copies"]) for r in queries) <= 1.2 * len(queries)
-    assert all(r["class_id"] == r["id"] - 100_001 for r in got if r["id"] and r["id"] > 100_000)
+    """Recall of each edit over all queries; near copies share a group, exact ones a class."""
+    v = spark.read.parquet(f"{SF}/embeddings.parquet").withColumn("class", F.lit("clash")).limit(80)
+    v = v.unionByName(v.filter("vec_id % 40 = 0").withColumn("vec_id", F.col("vec_id") + 100_001)).unionByName(v.limit(1).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in v.schema]))
+    got = rows(images.find_copies(v, "vec_id", "embedding", images.draw_vector, lambda i: i % 20 == 0, images.one_of_the_edits))
+    assert len(got) == v.count() and all(r["class_id"] == r["id"] - 100_001 for r in got if r["id"] and r["id"] > 100_000)
+    none = [r for r in got if r["id"] is None]
+    assert none[0]["copies"] is None and none[0]["n_copies"] is None
+    for edit in images.EDITS.values():
+        got = rows(images.find_copies(v, "vec_id", "embedding", images.draw_vector, lambda i: i % 4 == 0, lambda x, _, edit=edit: edit(x)))
+        queries = [r for r in got if r["copies"] is not None]
+        found = sum(any(c["group_id"] == r["group_id"] for c in r["copies"]) for r in queries)
+        assert found >= 0.9 * len(queries) and sum(len(r["copies"]) for r in queries) <= 1.3 * len(queries)
+    assert rows(images.find_copies(v.limit(0), "vec_id", "embedding", images.draw_vector, lambda i: i % 20 == 0)) == []
+
+
+def test_hamming_join_and_votes_equal_brute_force(spark):
+    x = np.array(spark.read.parquet(f"{SF}/embeddings.parquet").limit(6).toPandas()["embedding"].tolist(), "f4")
+    images_ = np.stack([images.draw_vector(v) for v in x])
+    n, place, w = images.describe(images_)
+    q_n, q_place, q_w = images.describe(np.stack([images.EDITS["smaller"](i) for i in images_[:3]]), images.SEARCHED, images.OFFSETS)
+    frame = lambda n, p, w: spark.createDataFrame([(int(a), int(b), *map(int, c)) for a, b, c in zip(n, p, w, strict=True)], "class long, place long, w0 long, w1 long, w2 long")
+    pairs = images.near(frame(q_n, q_place, q_w), frame(n, place, w)).persist()
+    got = Counter((r["q_class"], r["q_place"], r["class"], r["place"]) for r in pairs.collect())
+    apart = sum(np.bitwise_count((q_w[:, None, k] ^ w[None, :, k]).view("u8")).astype(int) for k in range(3))
+    shared = sum((q_w.copy().view("u4")[:, None, k] == w.copy().view("u4")[None, :, k]) for k in range(6)) > 0
+    want = Counter((int(q_n[i]), int(q_place[i]), int(n[j]), int(place[j])) for i, j in zip(*np.nonzero(shared & (apart <= images.RADIUS)), strict=True))
+    assert got == want and shared[apart <= images.EXACT].all()
+
+    def where(place, octaves):
+        x, y = (place >> images.X) / 8 - images.MIDDLE, (place >> images.Y & (1 << 20) - 1) / 8 - images.MIDDLE
+        return x, y, 2.0 ** octaves[place >> images.SCALE & 255], (place & images.FINE - 1) * 2 * np.pi / images.FINE
+
+    votes = {}
+    for (q, q_p, c, p), _ in want.items():
+        (qx, qy, qs, qt), (x, y, s, t) = where(q_p, images.SEARCHED), where(p, images.STORED)
+        zoom, turn = qs / s, qt - t
+        v = [np.log2(zoom) * 2, turn * 8 / (2 * np.pi) % 8, (qx - zoom * (np.cos(turn) * x - np.sin(turn) * y)) / 12, (qy - zoom * (np.sin(turn) * x + np.cos(turn) * y)) / 12]
+        for bins in np.stack(np.meshgrid(*[[np.floor(k) * 2, (np.floor(k + 0.5) % 8 if j == 1 else np.floor(k + 0.5)) * 2 + 1] for j, k in enumerate(v)], indexing="ij"), -1).reshape(-1, 4):
+            votes.setdefault((q, c, *bins), set()).add((x // 4, y // 4))
+    most = {}
+    for (q, c, *_), corners in votes.items():
+        most[q, c] = max(len(corners), most.get((q, c), 0))
+    assert {(r["query"], r["class"]): r["votes"] for r in images.consensus(pairs).collect()} == {k: n for k, n in most.items() if n >= images.MIN_VOTES}
