@@ -98,8 +98,8 @@ def _pattern(ids) -> str:
 def scan(docs: DataFrame, id_col="doc_id", text_col="text", known=KNOWN, rules=RULES) -> DataFrame:
     """One row per row of docs: doc_id, n_found, ids (comma-joined), license, family, licenses (all that match, by rank), null or empty where none."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    # every known sentence holds one of these, whole on one line: a cheap test before splitting
-    likely = F.lower(text).rlike("licen[sc]e|copyright|permi|redistribut|warrant|unencumbered")
+    # a cheap test before splitting: every known sentence holds its own longest word whole
+    likely = F.lower(text).rlike("|".join(sorted({max(x.split(), key=len) for x in known})))
     ids = F.when(likely, sentence_ids(text, known)).otherwise(F.array().cast("array<string>"))
     d = docs.select(F.col(id_col).alias("doc_id"), ids.alias("_ids"))
     d = d.select("doc_id", F.size("_ids").cast("long").alias("n_found"), F.array_join("_ids", ",").alias("ids"))

@@ -43,7 +43,7 @@ MIN_WORDS, MOST_REPEATED_PERCENT = 50, 50
 
 #: The method's table: what a text must keep to, besides the base rules.
 RULES = (
-    Rule("length", "n_words", None, 50, 1_000_000),
+    Rule("length", "n_words", None, 50, None),
     Rule("word_length", "word_chars", "n_words", 2.0, 15.0),
     Rule("symbols", "n_symbols", "n_words", None, 0.2),
     Rule("shouts", "n_shouts", "n_words", None, 0.3),

@@ -1,7 +1,8 @@
 """Secret scans: candidates by pattern, weighed by corpus-wide ownership frequency.
 
 Each candidate's value is hashed; hashes are counted by distinct repositories and owners. A value
-that more than max_owners owners have is a widely copied example; the others look live. Base kinds
+that more than max_owners owners have, or more than max_repositories repositories, is a widely copied
+example; the others look live. Base kinds
 (assign, access, hex) are always reported; opaque tokens (mixed letters and digits, standing for no
 base kind) are reported where ownership says that they look live.
 
@@ -27,8 +28,8 @@ KINDS = (
 )
 OPAQUE = ("opaque", r"[A-Za-z0-9+/_=-]{20,}+", 20)
 
-#: A value that more distinct owners have is an example.
-MAX_OWNERS = 2
+#: A value that more distinct owners have, or more distinct repositories, is an example.
+MAX_OWNERS, MAX_REPOSITORIES = 2, 4
 
 CANDIDATE = "array<struct<start:int,`end`:int,rank:int,kind:string,value:string>>"
 
@@ -77,25 +78,27 @@ def ownership(found: DataFrame) -> DataFrame:
     return per_owner.groupBy("value").agg(F.sum("n").alias("n_repositories"), F.count("*").alias("n_owners"))
 
 
-def scan(docs: DataFrame, text_col="text", owner_col="source", repository_cols=("source", "lang"), carry=(), max_owners=MAX_OWNERS) -> DataFrame:
-    """One row per row of docs: what carry names, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example, and _spans."""
+def scan(docs: DataFrame, text_col="text", owner_col="source", repository_cols=("source", "lang"), carry=(), max_owners=MAX_OWNERS, max_repositories=MAX_REPOSITORIES) -> DataFrame:
+    """One row per row of docs: what carry names, n_assign, n_access, n_hex, base_sha256, spans, owners and repositories (how many have each span's value), n_live, n_example, and _spans."""
     names = docs.select(*carry).columns
     found = staged(candidates(docs, text_col, owner_col, repository_cols, carry), "secrets")
-    known = ownership(found)
+    known = staged(ownership(found), "owners")  # so that the join may split a value with many copies over tasks
     counts = [f"n_{kind}" for kind, _, _ in KINDS]
     none = F.size("_base") + F.size("_opaque") == 0
-    nothing = F.array().cast("array<struct<start:int,`end`:int,rank:int,kind:string,live:boolean>>")
+    nothing = F.array().cast("array<struct<start:int,`end`:int,rank:int,kind:string,live:boolean,owners:bigint,repositories:bigint>>")
     plain = found.filter(none).select(*names, *counts, F.col("_base"), nothing.alias("_judged"))
     some = found.filter(~none)
     each = some.select("_n", F.explode(F.concat("_base", "_opaque")).alias("c")).select("_n", "c.*")
     judged = each.join(known.withColumnRenamed("value", "_value"), each["value"] == F.col("_value"), "left")
-    judged = judged.groupBy("_n").agg(F.array_sort(F.collect_list(F.struct("start", "end", "rank", "kind", (F.col("n_owners") <= max_owners).alias("live")))).alias("_judged"))
+    live = (F.col("n_owners") <= max_owners) & (F.col("n_repositories") <= max_repositories)
+    judged = judged.groupBy("_n").agg(F.array_sort(F.collect_list(F.struct("start", "end", "rank", "kind", live.alias("live"), F.col("n_owners").alias("owners"), F.col("n_repositories").alias("repositories")))).alias("_judged"))
     dealt = some.join(judged.withColumnRenamed("_n", "_m"), F.col("_n") == F.col("_m"), "left").select(*names, *counts, "_base", "_judged")
     out = plain.unionByName(dealt)
     spans = F.filter("_judged", lambda x: (x["rank"] < len(KINDS)) | x["live"])
     out = out.withColumn("_spans", spans)
-    live = lambda yes: F.size(F.filter("_spans", lambda x: x["live"] == yes)).cast("long")
-    return out.select(*names, *counts, F.sha2(_line(F.col("_base")), 256).alias("base_sha256"), _line(F.col("_spans")).alias("spans"), live(True).alias("n_live"), live(False).alias("n_example"), "_spans")
+    n_live = lambda yes: F.size(F.filter("_spans", lambda x: x["live"] == yes)).cast("long")
+    line = lambda name: F.array_join(F.transform("_spans", lambda x: x[name].cast("string")), ",")
+    return out.select(*names, *counts, F.sha2(_line(F.col("_base")), 256).alias("base_sha256"), _line(F.col("_spans")).alias("spans"), line("owners").alias("owners"), line("repositories").alias("repositories"), n_live(True).alias("n_live"), n_live(False).alias("n_example"), "_spans")
 
 
 def redact(docs: DataFrame, text_col="text", owner_col="source", repository_cols=("source", "lang"), mark="<secret>") -> DataFrame:

@@ -24,9 +24,22 @@ This program is distributed in the hope that it will be useful, but WITHOUT ANY
 http://www.apache.org/licenses/LICENSE-2.0
 
 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language.""",
+    "BSD-3-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.""",
+    "BSD-2-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.""",
+    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
-FOUND = {"MIT": "mit-grant,mit-notice-kept,as-is", "GPL-2.0-or-later": "gpl2-or-later,gpl-hope", "GPL-3.0-or-later": "gpl3-or-later,gpl-hope", "MPL-2.0": "mpl2-notice", "Apache-2.0": "apache-notice,apache-compliance,apache-copy,apache-basis", "Unlicense": "unlicense"}
+FOUND = {"MIT": "mit-grant,mit-notice-kept,as-is", "GPL-2.0-or-later": "gpl2-or-later,gpl-hope", "GPL-3.0-or-later": "gpl3-or-later,gpl-hope", "MPL-2.0": "mpl2-notice", "Apache-2.0": "apache-notice,apache-compliance,apache-copy,apache-basis", "BSD-3-Clause": "bsd-grant,bsd-source,bsd-binary,bsd-endorse", "BSD-2-Clause": "bsd-grant,bsd-source,bsd-binary", "ISC": "isc-grant", "Unlicense": "unlicense"}
 
 
 @pytest.mark.parametrize("width", [0, 30, 60, 76])
@@ -57,3 +70,10 @@ def test_equals_sql_on_tables(spark):
     names = [c[0] for c in cur.description]
     want = sorted(map(repr, cur.fetchall()))
     assert sorted(repr(tuple(r[c] for c in names)) for r in d.collect()) == want
+
+
+def test_own_sentences(spark):
+    """A table of sentences and rules of one's own; no word of it is in the fixed one."""
+    d = spark.createDataFrame([(1, "Do what\nyou like. Have fun!"), (2, "Have fun! Do what you like."), (3, None)], "doc_id long, text string")
+    got = {r["doc_id"]: (r["ids"], r["license"]) for r in licenses.scan(d, known={"do what you like": "a", "have fun": "b"}, rules=(("Fun", "own", ("a", "b")),)).collect()}
+    assert got == {1: ("a,b", "Fun"), 2: ("b,a", None), 3: ("", None)}
