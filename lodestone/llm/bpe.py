@@ -340,12 +340,16 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], id_col="doc_id", text_col="
 
 def _encoder(d: DataFrame, ranks: dict[bytes, int], size: int):
     """What makes of batches with a column _text batches with ids in its place, as the last column."""
-    known = {r["piece"]: r["ids"] for r in dictionary(d, Coder(ranks), "_text", size).collect()}  # bounded by size and ENTRY_CHARS
-    merger = Merger(ranks)
+    found = dictionary(d, Coder(ranks), "_text", size).select("piece", "ids").toArrow()  # bounded by size and ENTRY_CHARS
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, found.schema) as stream:
+        stream.write_table(found)
+    packed, merger = sink.getvalue().to_pybytes(), Merger(ranks)
     names = [c for c in d.columns if c != "_text"]
 
     def each(batches):
-        seen = {}
+        table, seen = pa.ipc.open_stream(packed).read_all(), {}
+        known = dict(zip(table.column("piece").to_pylist(), table.column("ids").to_pylist(), strict=True))
         for batch in batches:
             for b in _parts(batch, "_text"):
                 pieces, starts = _pieces(b.column("_text"))
