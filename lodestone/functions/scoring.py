@@ -28,13 +28,18 @@ def tool_names() -> list[str]:
 
 
 def accept(raw: DataFrame, max_length: int = MAX_LENGTH) -> DataFrame:
-    """raw (text, source, ...) normalised, with error_code (null if accepted), actual_length and max_length."""
+    """raw (text, source, ...) normalised, with error_code (null if accepted), actual_length and max_length.
+
+    Null texts and sources are blank; repeated rows are judged one by one; further columns are kept.
+    """
     if max_length <= 0:
         raise ValueError("max_length must be positive")
-    d = raw.withColumns({"text": normalise(F.coalesce("text", F.lit(""))), "source": strip(F.coalesce("source", F.lit("")))})
+    # the number of the task keeps Spark from copying the normalised text into each filter on error_code
+    d = raw.withColumns({"text": normalise(F.coalesce("text", F.lit(""))), "source": strip(F.coalesce("source", F.lit(""))), "_n": F.spark_partition_id()})
     n = F.length("text")
-    code = F.when(F.col("source") == "", "MissingSource").when(F.col("text") == "", "Empty").when(n > max_length, "MaxLength")
-    return d.withColumn("error_code", code).withColumn("actual_length", F.when(F.col("error_code") == "MaxLength", n)).withColumn("max_length", F.when(F.col("error_code") == "MaxLength", F.lit(max_length)))
+    code = F.when(F.col("_n") < 0, "").when(F.col("source") == "", "MissingSource").when(F.col("text") == "", "Empty").when(n > max_length, "MaxLength")
+    long = F.col("error_code") == "MaxLength"
+    return d.withColumn("error_code", code).withColumns({"actual_length": F.when(long, n), "max_length": F.when(long, F.lit(max_length))}).drop("_n")
 
 
 def accepted(judged: DataFrame) -> DataFrame:
@@ -73,17 +78,21 @@ def reason(packets: DataFrame) -> DataFrame:
 
 
 def evaluate(results: DataFrame) -> DataFrame:
-    """results (text, steps, confidence) with the five scores."""
+    """results (text, steps, confidence) with the five scores.
+
+    A null text has no words, and so is covered; null steps count as none.
+    """
     n = F.size("steps")
     count = F.when(n == 0, 0.0).otherwise(clamp(1 - F.abs(n - 4.0) / 4.0))
     coherence = F.when(n == 0, 0.0).otherwise(F.size(F.filter("steps", lambda s: strip(s) != "")) / n)
     alignment = clamp(1 - F.abs(F.col("confidence") - F.least(F.lit(1.0), F.length("text") / 120.0)))
-    d = results.withColumns({"_words": tokens(F.col("text")), "_known": F.array_distinct(tokens(F.array_join("steps", "\n")))})
+    # as in accept(): a filter on a score must not split the text anew for each word
+    d = results.withColumns({"_words": tokens(F.col("text")), "_known": F.array_distinct(tokens(F.array_join("steps", "\n"))), "_n": F.spark_partition_id()})
     covered = F.size(F.filter("_words", lambda x: F.array_contains(F.col("_known"), x)))
-    coverage = F.when(F.size("_words") == 0, 1.0).otherwise(covered / F.size("_words"))
+    coverage = F.when((F.size("_words") == 0) | (F.col("_n") < 0), 1.0).otherwise(covered / F.size("_words"))
     d = d.withColumns({"step_count_score": count, "coherence_score": coherence, "confidence_alignment_score": alignment, "input_coverage_score": coverage})
     total = F.col(SCORES[0]) + F.col(SCORES[1]) + F.col(SCORES[2]) + F.col(SCORES[3])
-    return d.withColumn("overall_score", total / 4).drop("_words", "_known")
+    return d.withColumn("overall_score", total / 4).drop("_words", "_known", "_n")
 
 
 def conclusion(steps: Column) -> Column:

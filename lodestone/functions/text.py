@@ -7,19 +7,20 @@ import uuid
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The 29 code points that count as white space.
+# The 29 code points that count as white space, as a pattern and as characters.
 WS = r"[\x{9}-\x{D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+WS_CHARS = "".join(map(chr, [*range(0x9, 0xE), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 # Key terms are capitalised runs, acronyms, hyphenated lower-case words.
 TERMS = (
-    r"\b[A-Z][a-zA-Z]+(?:[ \t\n\r\f\x0B]+[A-Z][a-zA-Z]+)+\b",
+    rf"\b[A-Z][a-zA-Z]+(?:{WS}+[A-Z][a-zA-Z]+)+\b",
     r"\b[A-Z]{2,}\b",
     r"\b[a-z]+-[a-z]+(?:-[a-z]+)*\b",
 )
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"^{WS}+|{WS}+\z", "")
+    return F.btrim(c, F.lit(WS_CHARS))
 
 
 def unix_lines(c: Column) -> Column:

@@ -23,22 +23,43 @@ def _pairs(keyed: DataFrame, link_type: str) -> DataFrame:
     return p.select(F.col("a.document_id").alias("source_document_id"), F.col("b.document_id").alias("target_document_id"), F.lit(link_type).alias("link_type"), F.col("a.hint").alias("hint"))
 
 
-def keyword_links(documents: DataFrame, *keywords: str) -> DataFrame:
+def by_keyword(documents: DataFrame, *keywords: str) -> DataFrame:
+    """(document_id, doc_pos, key, hint) of documents that hold a keyword."""
     if not keywords or any(not k.strip() for k in keywords):
         raise ValueError("keyword must not be blank")
     lower = [k.lower() for k in keywords]
     hits = F.filter(F.array(*[F.when(F.contains(F.lower("content"), F.lit(k)), F.lit(k)) for k in lower]), lambda x: x.isNotNull())
-    keyed = documents.select("document_id", "doc_pos", F.explode(hits).alias("key")).withColumn("hint", F.concat(F.lit("shared_keyword:"), "key"))
-    return _pairs(keyed, "keyword_related")
+    return documents.select("document_id", "doc_pos", F.explode(hits).alias("key")).withColumn("hint", F.concat(F.lit("shared_keyword:"), "key"))
 
 
-def metadata_links(documents: DataFrame, field: str, value: str | None = None) -> DataFrame:
+def keyword_links(documents: DataFrame, *keywords: str) -> DataFrame:
+    """All pairs of documents that hold a keyword: n² rows by nature; link_groups() says the same in n."""
+    return _pairs(by_keyword(documents, *keywords), "keyword_related")
+
+
+def by_metadata(documents: DataFrame, field: str, value: str | None = None) -> DataFrame:
+    """(document_id, doc_pos, key, hint) of documents with a value in a field of their metadata."""
     if not field.strip():
         raise ValueError("field must not be blank")
     keyed = documents.select("document_id", "doc_pos", F.try_element_at("metadata", F.lit(field)).alias("key")).filter("key <> ''")
     if value is not None:
         keyed = keyed.filter(F.col("key") == value)
-    return _pairs(keyed.withColumn("hint", F.concat(F.lit(f"shared_{field}:"), "key")), "metadata_related")
+    return keyed.withColumn("hint", F.concat(F.lit(f"shared_{field}:"), "key"))
+
+
+def metadata_links(documents: DataFrame, field: str, value: str | None = None) -> DataFrame:
+    """All pairs of documents with equal values: n² rows a value by nature; link_groups() says the same in n."""
+    return _pairs(by_metadata(documents, field, value), "metadata_related")
+
+
+def link_groups(keyed: DataFrame) -> DataFrame:
+    """keyed (key, hint, document_id, doc_pos) to a row per document and key: group_id, the first document of those that share the key, and n_links, how many it is linked with.
+
+    The same links as the pairs, at one row a document however large a group is: places and counts are
+    aggregated before they move, and a hot key's rows are only counted and joined with one row.
+    """
+    g = keyed.groupBy("hint").agg(F.min_by("document_id", "doc_pos").alias("group_id"), (F.count("*") - 1).alias("n_links"))
+    return keyed.join(kept(g, "groups").withColumnRenamed("hint", "_hint"), F.col("hint") == F.col("_hint")).select("document_id", "hint", "group_id", "n_links")
 
 
 def sequential_links(documents: DataFrame) -> DataFrame:
@@ -78,7 +99,8 @@ def justify(links: DataFrame, documents: DataFrame, ts, threshold: float = 0.5,
         F.lit("...\n\nProposed Link Type: "), "link_type", F.lit("\nHint: "), "hint",
         F.lit("\n\nJustify whether this link is valid and provide evidence."),
     )
-    d = j.select("source_document_id", "target_document_id", "link_type", "hint", missing.alias("_missing"), prompt.alias("text"), F.lit("link").alias("source"))
+    more = [c for c in links.columns if c not in ("source_document_id", "target_document_id", "link_type", "hint")]  # metadata and place, where candidates have them
+    d = j.select("source_document_id", "target_document_id", "link_type", "hint", *more, missing.alias("_missing"), prompt.alias("text"), F.lit("link").alias("source"))
     d = scoring.accept(d, max_length).withColumn("request_id", uuid5(NAMESPACE, F.concat_ws(":", F.lit("link"), "source_document_id", "target_document_id", "link_type", "hint")))
     d = scorer(reasoner(d.withColumn("ts", F.lit(ts).cast("timestamp"))))
     error = F.coalesce("_missing", "error_code")
@@ -87,10 +109,12 @@ def justify(links: DataFrame, documents: DataFrame, ts, threshold: float = 0.5,
 
 
 def edges_of(judged: DataFrame, created_at) -> DataFrame:
+    """Edges of accepted candidates, with the candidate's metadata (null where it has none) and its place pos as edge_pos."""
     e = judged.filter("outcome = 'edge'")
+    more = [(F.col("metadata") if "metadata" in judged.columns else F.lit(None).cast("map<string,string>")).alias("metadata"), *([F.col("pos").cast("long").alias("edge_pos")] if "pos" in judged.columns else [])]
     return e.select(
         uuid5(NAMESPACE, F.concat_ws(":", F.lit("edge"), "request_id")).alias("edge_id"), F.col("source_document_id").alias("source_id"), F.col("target_document_id").alias("target_id"),
-        F.col("link_type").alias("edge_type"), F.array_join("steps", " | ").alias("evidence"), F.col("request_id").alias("reasoning_trace_id"), F.col("overall_score").alias("confidence"), F.lit(created_at).cast("timestamp").alias("created_at"),
+        F.col("link_type").alias("edge_type"), F.array_join("steps", " | ").alias("evidence"), F.col("request_id").alias("reasoning_trace_id"), F.col("overall_score").alias("confidence"), F.lit(created_at).cast("timestamp").alias("created_at"), *more,
     )
 
 

@@ -6,6 +6,7 @@ import uuid
 
 from .functions.text import TERMS, WS
 from .operators.extract import CONCEPT_ROLES, VERBS
+from .operators.graph import NAMESPACE as NODES
 from .operators.links import NAMESPACE
 from .queries import EPS, LEMMAS, ROLES
 
@@ -57,7 +58,7 @@ v AS (SELECT *, (step_count_score + coherence_score + confidence_alignment_score
 
 
 LICENSED = "l AS (SELECT doc_id, text, source, row_number() OVER (ORDER BY doc_id) - 1 AS pos FROM documents WHERE contains(lower(text), 'license'))"
-SEQUENTIAL = LICENSED + ", s AS (SELECT a.doc_id AS a, b.doc_id AS b, a.pos FROM l a JOIN l b ON a.pos + 1 = b.pos)"
+SEQUENTIAL = "l AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS pos FROM documents), s AS (SELECT a.doc_id AS a, b.doc_id AS b, a.pos FROM l a JOIN l b ON a.pos + 1 = b.pos)"
 
 E = """
 o AS (SELECT *, lead(user_id) OVER (ORDER BY ts, event_id) AS next_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS pos FROM events),
@@ -66,6 +67,16 @@ e AS (SELECT event_id AS edge_id, pos AS edge_pos, user_id AS source_id, next_id
   repeat(props, 1 + event_id % 6) AS evidence, (event_id % 101) / 100.0::DOUBLE AS confidence FROM o WHERE next_id IS NOT NULL),
 n AS (SELECT DISTINCT user_id AS id FROM events)
 """
+#: Breadth-first trees from every node, level by level; the data's trees end before the last level, which is empty.
+LEVELS = 9
+_STEP = """y{k} AS (SELECT start, target_id AS at, r, edge_pos, path || ',' || target_id AS path, es || CASE WHEN es = '' THEN '' ELSE ',' END || edge_id AS es, row_number() OVER (PARTITION BY start, target_id ORDER BY r, edge_pos) AS k
+  FROM z{p} JOIN e ON source_id = at WHERE {new}),
+z{k} AS (SELECT start, at, row_number() OVER (PARTITION BY start ORDER BY r, edge_pos) AS r, path, es FROM y{k} WHERE k = 1)"""
+CHAINS = ", ".join(
+    ["z0 AS (SELECT id AS start, id AS at, 0 AS r, id::VARCHAR AS path, '' AS es FROM n)"]
+    + [_STEP.format(k=k, p=k - 1, new=" AND ".join(f"NOT EXISTS (SELECT 1 FROM z{j} WHERE z{j}.start = z{k - 1}.start AND z{j}.at = e.target_id)" for j in range(k))) for k in range(1, LEVELS)]
+    + ["chain AS (" + " UNION ALL ".join(f"SELECT path AS nodes, es AS edges, {k} AS depth FROM z{k}" for k in range(2, LEVELS)) + ")"]
+)
 ADJ = "adj AS (SELECT source_id AS u, target_id AS v FROM g WHERE source_id <> target_id UNION SELECT target_id, source_id FROM g WHERE source_id <> target_id)"
 PAIRS = "p AS (SELECT least(source_id, target_id) AS a, greatest(source_id, target_id) AS b, list_sort(list_distinct(list(lower(edge_type)))) AS types FROM e GROUP BY 1, 2)"
 WEAK = f"""
@@ -109,7 +120,7 @@ ORACLES = {
         FROM z JOIN documents a ON a.doc_id::VARCHAR = sa LEFT JOIN documents b ON b.doc_id::VARCHAR = sb), {scored("y", "NOT missing")}
       SELECT sa AS source_document_id, sb AS target_document_id, CASE WHEN overall_score >= 0.75 THEN 'edge' ELSE 'rejection' END AS outcome, round(overall_score, 9) AS overall_score FROM v
       UNION ALL SELECT sa, sb, 'failure', NULL FROM y WHERE missing""",
-    "plan_gap": f"""WITH {SEQUENTIAL}, d AS (SELECT id, count(*) AS n FROM (SELECT a AS id FROM s UNION ALL SELECT b FROM s) GROUP BY id), k AS (SELECT doc_id, source, coalesce(n, 0) AS n FROM documents LEFT JOIN d ON doc_id = id)
+    "plan_gap": f"""WITH d AS (SELECT id, count(*) AS n FROM (SELECT source_document_id::BIGINT AS id FROM edges UNION ALL SELECT target_document_id::BIGINT FROM edges) GROUP BY id), k AS (SELECT doc_id, source, coalesce(n, 0) AS n FROM documents LEFT JOIN d ON doc_id = id)
       SELECT {uuid5(planner_ns("documents"), "'gap:' || doc_id || ':' || doc_id || ':' || n")} AS action_id, 'investigate_gap' AS action_type, CASE WHEN n = 0 THEN 1.0 ELSE 0.8 END::DOUBLE AS priority, 'degree ' || n || ' of ''' || source || ':' || doc_id || '''' AS evidence FROM k WHERE n <= 1""",
     "plan_contradiction": f"""WITH {E}, {PAIRS} SELECT {uuid5(planner_ns("events"), "'contradiction:' || a || ':' || b || ':' || array_to_string(types, ',')")} AS action_id, 'resolve_contradiction' AS action_type,
       round(0.8 + 0.2 * least(1.0, len(types) / 4.0::DOUBLE), 9)::DOUBLE AS priority, 'Between ' || a || ' and ' || b || ': ' || array_to_string(types, ', ') AS evidence FROM p
@@ -122,17 +133,22 @@ ORACLES = {
     "motif_gap": f"""WITH {E}, g AS (SELECT * FROM e), {ADJ}, w AS (SELECT a.v AS x, b.v AS y, a.u AS s FROM adj a JOIN adj b ON a.u = b.u AND a.v < b.v),
       c AS (SELECT x, y, count(*) AS n, {joined("s", "s")} AS shared FROM w GROUP BY x, y HAVING count(*) >= 2)
       SELECT x || ',' || y || ',' || shared AS nodes, '' AS edges, round(least(1.0, n / 5.0::DOUBLE), 9)::DOUBLE AS confidence FROM c WHERE NOT EXISTS (SELECT 1 FROM adj WHERE u = x AND v = y)""",
-    "motif_cluster": f"""WITH {E}, g AS (SELECT * FROM e WHERE event_type IN ('purchase', 'error')), {ADJ},
+    "motif_cluster": f"""WITH {E}, g AS (SELECT * FROM e), {ADJ},
       t AS (SELECT a.u AS p, a.v AS q, b.v AS r FROM adj a JOIN adj b ON a.v = b.u JOIN adj c ON c.u = a.u AND c.v = b.v WHERE a.u < a.v AND b.u < b.v)
       SELECT p || ',' || q || ',' || r AS nodes, {joined("edge_id", "edge_pos")} AS edges, 1.0::DOUBLE AS confidence FROM t JOIN g ON source_id IN (p, q, r) AND target_id IN (p, q, r) GROUP BY p, q, r""",
-    "motif_hub": f"""WITH {E}, g AS (SELECT * FROM e WHERE event_type IN ('click', 'purchase', 'error')), i AS (SELECT source_id AS id, edge_pos, edge_id FROM g UNION ALL SELECT target_id, edge_pos, edge_id FROM g), m AS (SELECT count(*) AS n FROM n)
-      SELECT id::VARCHAR AS nodes, {joined("edge_id", "edge_pos")} AS edges, round(least(1.0, count(*) / any_value(m.n)::DOUBLE), 9)::DOUBLE AS confidence FROM i, m GROUP BY id HAVING count(*) >= greatest(3, any_value(m.n) // 2)""",
+    "motif_hub": f"""WITH {E}, g AS (SELECT * FROM e), i AS (SELECT source_id AS id, edge_pos, edge_id FROM g UNION ALL SELECT target_id, edge_pos, edge_id FROM g), m AS (SELECT count(*) AS n FROM n)
+      SELECT id::VARCHAR AS nodes, {joined("edge_id", "edge_pos")} AS edges, round(least(1.0, count(*) / any_value(m.n)::DOUBLE), 9)::DOUBLE AS confidence, '''user_' || id || ''' is a hub of ' || count(*) || ' links' AS description FROM i, m GROUP BY id HAVING count(*) >= greatest(3, any_value(m.n) // 2)""",
     "motif_contradiction": f"""WITH {E} SELECT least(source_id, target_id) || ',' || greatest(source_id, target_id) AS nodes, {joined("edge_id", "edge_pos")} AS edges, 1.0::DOUBLE AS confidence FROM e
       GROUP BY least(source_id, target_id), greatest(source_id, target_id) HAVING count(*) >= 2 AND bool_or(edge_type = 'supports') AND bool_or(edge_type = 'contradicts')""",
-    "motif_chain": f"""WITH {E}, a AS (SELECT source_id AS start, target_id AS x, min(edge_pos) AS r, arg_min(edge_id, edge_pos) AS e1 FROM e WHERE source_id % 10 = 0 AND source_id <> target_id GROUP BY 1, 2),
-      b AS (SELECT a.start, a.x, a.e1, e.target_id AS y, e.edge_id AS e2, row_number() OVER (PARTITION BY a.start, e.target_id ORDER BY a.r, e.edge_pos) AS k FROM a JOIN e ON e.source_id = a.x
-        WHERE e.target_id <> a.start AND NOT EXISTS (SELECT 1 FROM a z WHERE z.start = a.start AND z.x = e.target_id))
-      SELECT start || ',' || x || ',' || y AS nodes, e1 || ',' || e2 AS edges, 0.8::DOUBLE AS confidence FROM b WHERE k = 1""",
+    "motif_chain": f"WITH {E}, {CHAINS} SELECT nodes, edges, round(least(1.0, 0.5 + 0.1 * (depth + 1)), 9)::DOUBLE AS confidence FROM chain",
+    "motif_counts": f"""WITH {E}, {CHAINS}, g AS (SELECT * FROM e), {ADJ}, m AS (SELECT count(*) AS n FROM n),
+      gap AS (SELECT x, y, count(*) AS n FROM (SELECT a.v AS x, b.v AS y FROM adj a JOIN adj b ON a.u = b.u AND a.v < b.v) GROUP BY x, y HAVING count(*) >= 3),
+      hub AS (SELECT id, count(*) AS d FROM (SELECT source_id AS id FROM e UNION ALL SELECT target_id FROM e) GROUP BY id),
+      con AS (SELECT least(source_id, target_id) AS a FROM e GROUP BY least(source_id, target_id), greatest(source_id, target_id) HAVING count(*) >= 2 AND bool_or(edge_type = 'supports') AND bool_or(edge_type = 'contradicts')),
+      c AS (SELECT 'gap' AS hypothesis_type, count(*) AS n FROM gap WHERE NOT EXISTS (SELECT 1 FROM adj WHERE u = x AND v = y)
+        UNION ALL SELECT 'cluster', count(*) FROM adj a JOIN adj b ON a.v = b.u JOIN adj c ON c.u = a.u AND c.v = b.v WHERE a.u < a.v AND b.u < b.v
+        UNION ALL SELECT 'chain', count(*) FROM chain UNION ALL SELECT 'hub', count(*) FROM hub, m WHERE m.n >= 3 AND d >= greatest(3, m.n // 2) AND d / m.n::DOUBLE >= 0.5 UNION ALL SELECT 'contradiction', count(*) FROM con)
+      SELECT * FROM c WHERE n > 0""",
     "trace_replay": REPLAY,
     "trace_round_trip": REPLAY,
     "trace_versions": "SELECT user_id::VARCHAR AS request_id, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY user_id",
@@ -142,8 +158,8 @@ ORACLES = {
       c AS (SELECT label, dim, avg(x) AS m FROM u GROUP BY label, dim), q AS (SELECT u.vec_id, u.label, sum((x - m) * (x - m)) AS d2 FROM u JOIN c USING (label, dim) GROUP BY 1, 2),
       s AS (SELECT label, {joined("vec_id", "vec_id")} AS members, count(*) AS size, avg(p) AS mp FROM d GROUP BY label), b AS (SELECT label, arg_min(vec_id, d2) AS r, min(d2) AS least_d2 FROM q GROUP BY label)
       SELECT label AS cluster_id, members, r::VARCHAR AS representative_id, 'item ' || r AS representative_text, size, round(mp, 9) AS mean_probability, round(least_d2, 6) AS least_d2, 0.0::DOUBLE AS stability FROM s JOIN b USING (label)""",
-    "concept_edges": """WITH m AS (SELECT vec_id % 40 AS cluster_id, vec_id, row_number() OVER (PARTITION BY vec_id % 40 ORDER BY vec_id) - 1 AS k, count(*) OVER (PARTITION BY vec_id % 40) AS n FROM embeddings WHERE vec_id % 7 <> 0),
-      bad AS (SELECT cluster_id FROM m WHERE k < 4 AND vec_id = 1), p(t, least_n, most_n, a, b, c) AS (VALUES ('related_to', 2, 2, 0, 1, 0.95), ('related_to', 3, 1000000, 0, 1, 0.95), ('related_to', 3, 1000000, 1, 2, 0.95), ('related_to', 3, 1000000, 0, 2, 0.95), ('sequential', 4, 1000000, 0, 1, 1.0), ('sequential', 4, 1000000, 1, 2, 1.0), ('sequential', 4, 1000000, 2, 3, 1.0))
+    "concept_edges": """WITH m AS (SELECT vec_id // 25 AS cluster_id, vec_id, embedding[1] > -0.2::FLOAT AS known, row_number() OVER (PARTITION BY vec_id // 25 ORDER BY vec_id) - 1 AS k, count(*) OVER (PARTITION BY vec_id // 25) AS n FROM embeddings),
+      bad AS (SELECT cluster_id FROM m WHERE k < 4 AND NOT known), p(t, least_n, most_n, a, b, c) AS (VALUES ('related_to', 2, 2, 0, 1, 0.95), ('related_to', 3, 1000000, 0, 1, 0.95), ('related_to', 3, 1000000, 1, 2, 0.95), ('related_to', 3, 1000000, 0, 2, 0.95), ('sequential', 4, 1000000, 0, 1, 1.0), ('sequential', 4, 1000000, 1, 2, 1.0), ('sequential', 4, 1000000, 2, 3, 1.0))
       SELECT x.cluster_id, x.vec_id::VARCHAR AS source, y.vec_id::VARCHAR AS target, t AS edge_type, c::DOUBLE AS confidence FROM m x JOIN m y USING (cluster_id) JOIN p ON x.k = a AND y.k = b AND x.n BETWEEN least_n AND most_n WHERE x.cluster_id NOT IN (SELECT cluster_id FROM bad)""",
     "token_pool": "SELECT label AS id, dim::INTEGER AS dim, round(sum(CASE WHEN vec_id % 4 <> 0 THEN x ELSE 0 END) / greatest(1, count(*) FILTER (vec_id % 4 <> 0)), 9) AS x FROM (SELECT label, vec_id, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS dim FROM embeddings) GROUP BY label, dim",
     "role_softmax": f"""WITH x AS (SELECT vec_id, list_transform(embedding[1:{len(ROLES)}], lambda v: v::DOUBLE) AS l FROM embeddings), y AS (SELECT vec_id, list_position(l, list_max(l)) AS k, 1 / list_sum(list_transform(l, lambda v: exp(v - list_max(l)))) AS c FROM x)
@@ -152,7 +168,7 @@ ORACLES = {
       r(id, to_id) AS (SELECT id, id FROM x UNION SELECT r.id, l.v FROM r JOIN l ON r.to_id = l.u), c AS (SELECT id, min(to_id) AS label FROM r GROUP BY id), s AS (SELECT label, count(*) AS n FROM c GROUP BY label)
       SELECT id, CASE WHEN n >= 2 THEN label ELSE -1 END AS label FROM c JOIN s USING (label)""",
     "document_terms": f"SELECT doc_id, array_to_string({TERM_LIST}, '|') AS terms FROM documents",
-    "distinct_terms": f"WITH t AS (SELECT DISTINCT unnest({TERM_LIST}) AS term FROM documents), k AS (SELECT term, row_number() OVER (ORDER BY term) - 1 AS k FROM t) SELECT 'term_' || k AS id, term FROM k WHERE k < 200",
+    "distinct_terms": f"WITH t AS (SELECT DISTINCT unnest({TERM_LIST}) AS term FROM documents), k AS (SELECT term, row_number() OVER (ORDER BY term) - 1 AS k FROM t) SELECT 'term_' || k AS id, term FROM k",
     "sentence_spans": rf"""WITH a AS (SELECT doc_id, length(text) - length(regexp_replace(text, '^{WS}+', '')) AS lead, {strip("text")} AS t FROM documents),
       b AS (SELECT doc_id, lead, string_split(regexp_replace(t, '([.!?]){WS}+', '\1' || chr(1), 'g'), chr(1)) AS s, list_transform(regexp_extract_all(t, '[.!?]{WS}+'), lambda g: length(g) - 1) AS g FROM a WHERE t <> ''),
       c AS (SELECT doc_id, lead, unnest(s) AS x, unnest(g || [0]) AS gap, unnest(range(len(s))) AS k FROM b),
@@ -161,7 +177,30 @@ ORACLES = {
     "svo_relations": f"""WITH w AS (SELECT conv_id || ':' || turn AS doc_id, list_filter(string_split_regex(text, '[ \\t\\n\\r]+'), lambda x: x <> '') AS ws FROM conversations),
       t AS (SELECT doc_id, unnest(ws) AS text, unnest(range(len(ws))) AS i FROM w), p AS (SELECT *, coalesce(sum(length(text) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS idx FROM t),
       v AS (SELECT doc_id, i, CASE WHEN i % 10 = 2 THEN {LEMMAS}[1 + (i // 10) % {len(LEMMAS)}] ELSE lower(text) END AS lemma FROM p WHERE i % 5 = 2)
-      SELECT v.doc_id, v.i::INTEGER AS verb_i, {VERB_CASE} AS relation_type, s.text AS subject, s.idx::INTEGER AS subject_start, (s.idx + length(s.text))::INTEGER AS subject_end, o.text AS object, o.idx::INTEGER AS object_start, (o.idx + length(o.text))::INTEGER AS object_end, lemma AS predicate, 0.7::DOUBLE AS confidence, 'nsubj-VERB-dobj' AS pattern
+      SELECT v.doc_id, v.i::INTEGER AS verb_i, {VERB_CASE} AS relation_type, s.text AS subject, s.idx::INTEGER AS subject_start, (s.idx + length(s.text))::INTEGER AS subject_end, o.text AS object, o.idx::INTEGER AS object_start, (o.idx + length(o.text))::INTEGER AS object_end, lemma AS predicate, 0.7::DOUBLE AS confidence, 'nsubj-ROOT-dobj' AS pattern
       FROM v JOIN p s ON s.doc_id = v.doc_id AND s.i = v.i - 1 JOIN p o ON o.doc_id = v.doc_id AND o.i = v.i + 1""",
 }
 ORACLES["plan_top"] = f"WITH x0 AS ({ORACLES['plan_weak']}) SELECT action_id, action_type, priority, evidence FROM x0 JOIN events ON regexp_extract(evidence, 'edge ([0-9]+)', 1)::BIGINT = event_id ORDER BY priority DESC, action_type, CASE event_type WHEN 'click' THEN 'supports' WHEN 'purchase' THEN 'confirms' WHEN 'error' THEN 'contradicts' WHEN 'signup' THEN 'refutes' ELSE 'references' END, action_id LIMIT 10"
+ORACLES["plan_gap"] = f"WITH edges AS (SELECT * FROM ({ORACLES['link_outcomes']}) WHERE outcome = 'edge'), {ORACLES['plan_gap'].removeprefix('WITH ')}"
+TRACE = "conv_id, count(*) AS n_steps, arg_min(text, turn) AS text FROM conversations GROUP BY conv_id"
+ORACLES |= {
+    "link_keyword_groups": """WITH k AS (SELECT doc_id, unnest(list_filter(['license', 'copyright'], lambda w: contains(lower(text), w))) AS k FROM documents)
+      SELECT doc_id::VARCHAR AS document_id, 'shared_keyword:' || k AS hint, (min(doc_id) OVER w)::VARCHAR AS group_id, count(*) OVER w - 1 AS n_links FROM k WINDOW w AS (PARTITION BY k)""",
+    "link_metadata_groups": "SELECT doc_id::VARCHAR AS document_id, 'shared_source:' || source AS hint, (min(doc_id) OVER w)::VARCHAR AS group_id, count(*) OVER w - 1 AS n_links FROM documents WHERE source <> '' WINDOW w AS (PARTITION BY source)",
+    "packets_all": f"SELECT doc_id, length(t)::INTEGER AS n, md5(t) AS digest FROM (SELECT doc_id, {normal('text')} AS t FROM documents)",
+    "score_violations": f"WITH {ACCEPT}, {scored('a')} SELECT doc_id FROM v WHERE NOT overall_score BETWEEN 0.5 AND 0.9 OR NOT input_coverage_score BETWEEN 0.0 AND 0.5",
+    "tool_outputs": f"""WITH {ACCEPT}, {scored('a')} SELECT request_id, 'none' AS config, 4 AS n_steps, NULL::DOUBLE AS overall_score, NULL::VARCHAR AS outputs, NULL::VARCHAR AS error_type, NULL::VARCHAR AS message FROM v
+      UNION ALL SELECT request_id, 'calls', 4, round(overall_score, 9), 'letters=3,word_count=2', NULL, NULL FROM v UNION ALL SELECT request_id, 'fails', NULL, NULL, NULL, 'RuntimeError', 'no reasoner' FROM v""",
+    "edges_added": f"WITH {E} SELECT edge_id, edge_pos, source_id, target_id FROM e UNION ALL SELECT edge_id, edge_pos + (SELECT max(edge_pos) + 1 FROM e), target_id, source_id FROM e",
+    "document_nodes": f"SELECT {uuid5(NODES, "'corpus:node:' || doc_id")} AS node_id, doc_id AS node_pos, doc_id::VARCHAR AS document_id, source AS label FROM documents",
+    "endpoints_resolved": f"WITH {SEQUENTIAL} SELECT 'sequential_order:' || pos AS edge_id, {uuid5(NODES, "'corpus:node:' || a")} AS source_id, {uuid5(NODES, "'corpus:node:' || b")} AS target_id FROM s",
+    "trace_store": f"""WITH t AS (SELECT {TRACE}) SELECT conv_id::VARCHAR AS request_id, CASE WHEN conv_id % 3 = 0 THEN 'again' ELSE 'conversation' END AS source, n_steps::INTEGER AS n_steps,
+      row_number() OVER (ORDER BY conv_id % 3 = 0, conv_id::VARCHAR) - 1 AS place FROM t""",
+    "trace_lookup": f"SELECT conv_id::VARCHAR AS request_id, text FROM (SELECT {TRACE}) ORDER BY conv_id LIMIT 1",
+    "ingested_files": """WITH c AS (SELECT conv_id, row_number() OVER (ORDER BY conv_id::VARCHAR || '/') - 1 AS pos FROM (SELECT DISTINCT conv_id FROM conversations)),
+      k AS (SELECT CASE pos % 50 WHEN 49 THEN 'UnsupportedFormat' WHEN 48 THEN 'NoPages' WHEN 47 THEN 'FileNotFound' END AS error_type FROM c) SELECT error_type, count(*) AS n, count(*) AS files FROM k GROUP BY error_type""",
+    "parsed_items": f"""WITH c AS (SELECT DISTINCT conv_id FROM conversations), k AS (SELECT conv_id, CASE WHEN conv_id % 5 = 0 THEN 'InputNotAList' WHEN conv_id % 7 = 0 THEN 'InvalidJson' END AS e FROM c)
+      SELECT id, error_type, CASE WHEN error_type IS NOT NULL THEN 'items' END AS module, count(*) AS n FROM (SELECT turn::VARCHAR AS id, NULL AS error_type FROM conversations JOIN k USING (conv_id) WHERE e IS NULL AND {strip("coalesce(text, '')")} <> '' UNION ALL SELECT NULL, e FROM k WHERE e IS NOT NULL) GROUP BY ALL""",
+    "parsed_relations": """SELECT [NULL, 'EntitiesNotAList', 'InputNotAnObject', 'MissingText'][1 + doc_id % 4] AS error_type, count(*) AS n, CASE WHEN doc_id % 4 = 0 THEN count(*) END AS entities, CASE WHEN doc_id % 4 < 2 THEN sum(length(text)) END::BIGINT AS chars FROM documents GROUP BY doc_id % 4""",
+    "exported_scores": "SELECT vec_id, greatest(0.0, least(1.0, round(embedding[1]::DOUBLE * 4, 6)))::DOUBLE AS score, '{\"score\":0,\"vec_id\":0}' AS form FROM embeddings",
+}

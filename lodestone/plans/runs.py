@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -37,21 +37,51 @@ def run(raw: DataFrame, ts, calls: DataFrame | None = None, path: str | None = N
     return t.withColumn("conclusion", scoring.conclusion(F.col("reasoning.reasoning_steps")))
 
 
+ERROR = "struct<error_type:string,message:string>"
+
+
 def compare(packets: DataFrame, configs: DataFrame, reasoners: dict[str, Callable[[DataFrame], DataFrame]] | None = None) -> DataFrame:
-    """Every packet under every config (pos, name, reasoner, evaluate): (request_id, config, steps, confidence, overall_score, error). Of equal names the last wins."""
+    """Every packet under every config (pos, name, reasoner, evaluate, and maybe calls: array of name and input): (request_id, config, steps, confidence, overall_score, tool_calls, error). Of equal names the last wins.
+
+    Each reasoner in use runs once over the packets, however many configs share it. A reasoner that is
+    unknown, or that cannot be planned, leaves rows with an error of its type for its own configs only.
+    Unknown tools fall out; tool_calls is null where a config asks for none.
+    """
     ways = reasoners or {"default": scoring.reason}
     last = configs.withColumn("_k", F.row_number().over(W.partitionBy("name").orderBy(F.desc("pos")))).filter("_k = 1")
-    out = None
+    by_reasoner: dict[str, list] = {}
     for r in last.collect():  # the caller's own few configurations
-        if r["reasoner"] in ways:
-            d = scoring.evaluate(ways[r["reasoner"]](packets)) if r["evaluate"] else ways[r["reasoner"]](packets).withColumn("overall_score", F.lit(None).cast("double"))
-            d = d.select("request_id", F.lit(r["name"]).alias("config"), "steps", "confidence", "overall_score", F.lit(None).cast("string").alias("error"))
-        else:
-            d = packets.select("request_id", F.lit(r["name"]).alias("config"), F.lit(None).cast("array<string>").alias("steps"), F.lit(None).cast("double").alias("confidence"), F.lit(None).cast("double").alias("overall_score"), F.lit(f"unknown reasoner {r['reasoner']}").alias("error"))
+        by_reasoner.setdefault(r["reasoner"], []).append(r)
+    columns = ["steps", "confidence", "overall_score"]
+    out = None
+    for name, rows in by_reasoner.items():
+        error = None
+        try:
+            if name not in ways:
+                raise LookupError(f"unknown reasoner {name}")
+            d = ways[name](packets)
+            d = scoring.evaluate(d) if any(r["evaluate"] for r in rows) else d.withColumn("overall_score", F.lit(None).cast("double"))
+            d = d.select("request_id", *columns)
+        except Exception as e:  # noqa: BLE001  whatever a caller's reasoner raises concerns its own configs
+            error = F.struct(F.lit(type(e).__name__).alias("error_type"), F.lit(str(e)).alias("message"))
+            d = packets.select("request_id", *[F.lit(None).cast(t).alias(c) for c, t in zip(columns, ("array<string>", "double", "double"), strict=True)])
+        plan = F.array(*[F.struct(F.lit(r["name"]).alias("config"), F.lit(bool(r["evaluate"])).alias("scored"), _called(r["calls"] if "calls" in configs.columns and error is None else None).alias("tool_calls")) for r in rows])
+        d = d.select("*", F.explode(plan).alias("c"))
+        d = d.select("request_id", "c.config", "steps", "confidence", F.when(F.col("c.scored"), F.col("overall_score")).alias("overall_score"), "c.tool_calls", (error if error is not None else F.lit(None)).cast(ERROR).alias("error"))
         out = d if out is None else out.unionByName(d)
     return out
 
 
+def _called(calls) -> Column:
+    """A config's own tool calls as a column: known tools in order, null where none are asked for."""
+    kind = "array<struct<name:string,input:string,output:string>>"
+    if calls is None:
+        return F.lit(None).cast(kind)
+    known = [c for c in calls if c["name"] in scoring.TOOLS]
+    done = [F.struct(F.lit(c["name"]).alias("name"), F.lit(c["input"]).alias("input"), scoring.TOOLS[c["name"]](F.lit(c["input"])).cast("string").alias("output")) for c in known]
+    return (F.array(*done) if done else F.array()).cast(kind)
+
+
 def concept_motifs(spans: DataFrame, embed: Callable[[DataFrame], DataFrame], eps: float, min_confidence: float = 0.5, max_depth: int | None = None) -> DataFrame:
     """Scored role spans (span_text, role, confidence) to motifs of their concept graph. embed adds an embedding to (id, term)."""
     terms = extract.concept_spans(spans).select(F.explode(key_terms(F.col("span_text"))).alias("term"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import scoring
+from .functions.staging import folder, kept
 from .functions.text import key_terms, split_words, uuid5
 from .operators import clusters, extract, graph, links, motifs, planner
 from .plans import runs
@@ -31,8 +34,9 @@ def documents(spark, sf_dir):
     return d.select(F.col("doc_id").cast("string").alias("document_id"), F.col("doc_id").alias("doc_pos"), F.col("text").alias("content"), "source", F.lit("text").alias("format"), F.create_map(F.lit("source"), F.col("source"), F.lit("lang"), F.col("lang")).alias("metadata"))
 
 
-def licensed(spark, sf_dir):
-    return links.dense_positions(documents(spark, sf_dir).filter(F.contains(F.lower("content"), F.lit("license"))).withColumn("_n", F.col("doc_pos")).drop("doc_pos"), "_n")
+def in_order(spark, sf_dir):
+    """All documents with dense places in the order of their ids."""
+    return links.dense_positions(documents(spark, sf_dir).withColumn("_n", F.col("doc_pos")).drop("doc_pos"), "_n")
 
 
 def graph_e(spark, sf_dir, types=None):
@@ -53,12 +57,10 @@ def graph_e(spark, sf_dir, types=None):
 
 
 def graph_k(spark, sf_dir):
-    """All documents as nodes; those that mention licences linked in order."""
+    """All documents as nodes; of the links in order those that are justified as edges."""
     d = documents(spark, sf_dir)
     nodes = d.select(F.col("document_id").alias("node_id"), F.col("doc_pos").alias("node_pos"), "document_id", F.concat_ws(":", "source", "document_id").alias("label"), F.lit("document").alias("node_type"))
-    s = links.sequential_links(licensed(spark, sf_dir))
-    edges = s.select(F.concat_ws(">", "source_document_id", "target_document_id").alias("edge_id"), F.col("source_document_id").cast("long").alias("edge_pos"), F.col("source_document_id").alias("source_id"), F.col("target_document_id").alias("target_id"), F.col("link_type").alias("edge_type"), F.col("hint").alias("evidence"), F.lit(1.0).alias("confidence"))
-    return graph.Graph("documents", nodes, edges)
+    return graph.Graph("documents", nodes, links.edges_of(justified(spark, sf_dir), TS))
 
 
 def packets_accept(spark, sf_dir):
@@ -97,12 +99,28 @@ def link_metadata(spark, sf_dir):
 
 
 def link_sequential(spark, sf_dir):
-    return links.sequential_links(licensed(spark, sf_dir))
+    return links.sequential_links(in_order(spark, sf_dir))
+
+
+def link_keyword_groups(spark, sf_dir):
+    """The links of two keywords at a row a document: groups grow, rows do not square."""
+    return links.link_groups(links.by_keyword(documents(spark, sf_dir), "license", "copyright"))
+
+
+def link_metadata_groups(spark, sf_dir):
+    """The links of all sources at a row a document."""
+    return links.link_groups(links.by_metadata(documents(spark, sf_dir), "source"))
+
+
+def justified(spark, sf_dir):
+    """All links in order, justified; every seventh ends at no document."""
+    c = links.sequential_links(in_order(spark, sf_dir)).withColumn("pos", F.col("source_document_id").cast("long"))
+    c = c.withColumn("target_document_id", F.when(F.col("pos") % 7 == 0, "none").otherwise(F.col("target_document_id")))
+    return links.justify(c, documents(spark, sf_dir), TS, threshold=0.75)
 
 
 def link_outcomes(spark, sf_dir):
-    d = documents(spark, sf_dir)
-    j = links.justify(links.sequential_links(licensed(spark, sf_dir)).withColumn("target_document_id", F.when(F.col("source_document_id").cast("long") % 7 == 0, "none").otherwise(F.col("target_document_id"))), d, TS, threshold=0.75)
+    j = justified(spark, sf_dir)
     return j.select("source_document_id", "target_document_id", "outcome", F.when(F.col("outcome") != "failure", F.round("overall_score", 9)).alias("overall_score"))
 
 
@@ -143,9 +161,9 @@ def graph_identifiers(spark, sf_dir):
     return graph.identifiers(graph_k(spark, sf_dir))
 
 
-def _motif(d):
+def _motif(d, *more):
     line = lambda c: F.array_join(F.col(c).cast("array<string>"), ",")
-    return d.select(line("supporting_nodes").alias("nodes"), line("supporting_edges").alias("edges"), F.round("confidence", 9).alias("confidence"))
+    return d.select(line("supporting_nodes").alias("nodes"), line("supporting_edges").alias("edges"), F.round("confidence", 9).alias("confidence"), *more)
 
 
 def motif_gap(spark, sf_dir):
@@ -153,11 +171,12 @@ def motif_gap(spark, sf_dir):
 
 
 def motif_cluster(spark, sf_dir):
-    return _motif(motifs.clusters(graph_e(spark, sf_dir, ("purchase", "error"))))
+    return _motif(motifs.clusters(graph_e(spark, sf_dir)))
 
 
 def motif_hub(spark, sf_dir):
-    return _motif(motifs.hubs(graph_e(spark, sf_dir, ("click", "purchase", "error"))))
+    h = motifs.hubs(graph_e(spark, sf_dir))
+    return _motif(h.withColumn("_d", F.col("description")), "_d").withColumnRenamed("_d", "description")
 
 
 def motif_contradiction(spark, sf_dir):
@@ -165,8 +184,7 @@ def motif_contradiction(spark, sf_dir):
 
 
 def motif_chain(spark, sf_dir):
-    g = graph_e(spark, sf_dir)
-    return _motif(motifs.chains(g, max_depth=3, seeds=g.nodes.filter("node_id % 10 = 0")))
+    return _motif(motifs.chains(graph_e(spark, sf_dir)))
 
 
 def motif_counts(spark, sf_dir):
@@ -214,9 +232,9 @@ def cluster_summary(spark, sf_dir):
 
 
 def concept_edges(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").filter("vec_id % 7 <> 0")
-    c = e.groupBy((F.col("vec_id") % 40).alias("cluster_id")).agg(F.transform(F.array_sort(F.collect_list("vec_id")), lambda x: x.cast("string")).alias("member_ids"), F.lit(0.95).alias("stability"))
-    concepts = table(spark, sf_dir, "embeddings").filter("vec_id <> 1").select(F.col("vec_id").cast("string").alias("id"), F.concat(F.lit("term "), F.col("vec_id").cast("string")).alias("text"))
+    e = table(spark, sf_dir, "embeddings")
+    c = e.groupBy(F.floor(F.col("vec_id") / 25).alias("cluster_id")).agg(F.transform(F.array_sort(F.collect_list("vec_id")), lambda x: x.cast("string")).alias("member_ids"), F.lit(0.95).alias("stability"))
+    concepts = e.filter(F.get("embedding", F.lit(0)) > -0.2).select(F.col("vec_id").cast("string").alias("id"), F.concat(F.lit("term "), F.col("vec_id").cast("string")).alias("text"))
     g = graph.concept_graph(c, concepts, "doc")
     n = g.nodes.select("node_id", F.col("id"))
     a, b = n.withColumnsRenamed({"node_id": "_a", "id": "source"}), n.withColumnsRenamed({"node_id": "_b", "id": "target"})
@@ -278,15 +296,120 @@ def role_term_motifs(spark, sf_dir):
     s = extract.sentence_spans(table(spark, sf_dir, "documents"), "doc_id", "text")
     pick = F.get(F.array(*[F.lit(r) for r in ROLES]), F.pmod(F.crc32(F.col("span_text").cast("binary")), F.lit(len(ROLES))).cast("int"))
     spans = s.select("span_text", pick.alias("role"), (F.pmod(F.length("span_text"), F.lit(10)) / 10.0).alias("confidence"))
-    digest = lambda k: F.conv(F.substring(F.md5(F.substring("term", 1, 5)), 2 * k + 1, 2), 16, 10).cast("double") / 255
-    m = runs.concept_motifs(spans, lambda t: t.withColumn("embedding", F.array(*[digest(k) for k in range(4)])), 0.2, max_depth=3)
+    digest = lambda k: F.conv(F.substring(F.md5("term"), 2 * k + 1, 2), 16, 10).cast("double") / 255  # noqa: E731  stands for a model's embedding
+    m = runs.concept_motifs(spans, lambda t: t.withColumn("embedding", F.array(*[digest(k) for k in range(4)])), 0.05)
     return m.groupBy("hypothesis_type").agg(F.count("*").alias("n"))
 
 
+def packets_all(spark, sf_dir):
+    """Fail-fast packets: one rejected text would stop the job."""
+    return scoring.accept_all(raw_inputs(spark, sf_dir), 2**31 - 1).select("doc_id", F.length("text").alias("n"), F.md5("text").alias("digest"))
+
+
+def score_violations(spark, sf_dir):
+    return scoring.violations(score_documents(spark, sf_dir), overall_score=(0.5, 0.9), input_coverage_score=(0.0, 0.5)).select("doc_id")
+
+
+def tool_outputs(spark, sf_dir):
+    """Every accepted document under three configurations with tool calls, one of them a registered tool, one unknown, and a reasoner that fails."""
+    scoring.register_tool("letters", lambda c: F.length(c).cast("string"))
+    p = scoring.accepted(scoring.accept(raw_inputs(spark, sf_dir))).withColumn("ts", F.lit(TS).cast("timestamp"))
+    configs = spark.createDataFrame(
+        [(0, "none", "default", False, None), (1, "calls", "default", True, [("letters", "abc"), ("gone", "x"), ("word_count", "a b")]), (2, "fails", "broken", True, [("echo", "x")])],
+        "pos int, name string, reasoner string, evaluate boolean, calls array<struct<name:string,input:string>>",
+    )
+
+    def broken(packets):
+        raise RuntimeError("no reasoner")
+
+    c = runs.compare(p, configs, {"default": scoring.reason, "broken": broken})
+    told = F.array_join(F.transform("tool_calls", lambda x: F.concat_ws("=", x["name"], x["output"])), ",")
+    return c.select("request_id", "config", F.size("steps").alias("n_steps"), F.round("overall_score", 9).alias("overall_score"), told.alias("outputs"), "error.error_type", "error.message")
+
+
+def edges_added(spark, sf_dir):
+    """Graph E with its edges turned round appended."""
+    g = graph_e(spark, sf_dir)
+    back = g.edges.select("*", F.col("target_id").alias("_s"), F.col("source_id").alias("_t")).withColumns({"source_id": F.col("_s"), "target_id": F.col("_t")}).drop("_s", "_t")
+    return graph.add_edges(g, back, "both").edges.select("edge_id", "edge_pos", "source_id", "target_id")
+
+
+def document_nodes(spark, sf_dir):
+    return graph.from_documents(documents(spark, sf_dir), "corpus").select("node_id", "node_pos", "document_id", "label")
+
+
+def endpoints_resolved(spark, sf_dir):
+    """Edges between document ids, resolved to the nodes of the documents."""
+    d = in_order(spark, sf_dir)
+    e = links.sequential_links(d).select(F.col("hint").alias("edge_id"), F.col("source_document_id").alias("source_id"), F.col("target_document_id").alias("target_id"))
+    return graph.resolve_endpoints(e, graph.from_documents(d, "corpus"))
+
+
+def trace_store(spark, sf_dir):
+    """Traces stored, a third of them stored again later with other input, read back in the order of time."""
+    path = f"{folder(spark)}/traces-{uuid.uuid4().hex}"
+    t = conversation_traces(spark, sf_dir)
+    traces.store(t, path)
+    again = t.filter(F.col("request_id").cast("long") % 3 == 0)
+    traces.store(again.withColumns({"created_at": F.lit("2024-01-02 00:00:00").cast("timestamp"), "input": F.col("input").withField("source", F.lit("again"))}), path, seq=1)
+    r = traces.list_all(traces.read(spark, path)).select("request_id", F.col("input.source").alias("source"), F.size("reasoning.reasoning_steps").alias("n_steps"), F.monotonically_increasing_id().alias("_n"))
+    return links.dense_positions(r, "_n").select("request_id", "source", "n_steps", F.col("doc_pos").alias("place"))
+
+
+def trace_lookup(spark, sf_dir):
+    """The trace of the request with the least id, looked up in the store; then the store is cleared, and has none."""
+    path = f"{folder(spark)}/traces-{uuid.uuid4().hex}"
+    t = conversation_traces(spark, sf_dir)
+    traces.store(t, path)
+    least = t.agg(F.min(F.col("request_id").cast("long")).cast("string")).first()[0]
+    found = kept(traces.retrieve(spark, path, least).select("request_id", F.col("input.text").alias("text")), "found")
+    traces.clear(spark, path)
+    return found.unionByName(traces.retrieve(spark, path, least).select("request_id", F.col("input.text").alias("text")))
+
+
+def ingested_files(spark, sf_dir):
+    """Conversations written as one text file each, then ingested by a manifest with an unknown format, a missing file and a PDF without pages."""
+    path = f"{folder(spark)}/files-{uuid.uuid4().hex}"
+    c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "\n\n").alias("value"))
+    c.repartition("conv_id").write.partitionBy("conv_id").text(path)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(path).select("path")
+    m = links.dense_positions(files, "path").select(F.col("doc_pos").alias("pos"), "path", F.when(F.col("doc_pos") % 50 == 49, "docx").when(F.col("doc_pos") % 50 == 48, "pdf").otherwise("text").alias("format"))
+    m = m.withColumn("path", F.when(F.col("pos") % 50 == 47, F.concat("path", F.lit("-gone"))).otherwise(F.col("path")))
+    good, bad = ingest.ingest(spark, m, "corpus")
+    conv = F.regexp_extract("path", "conv_id=([0-9]+)", 1).cast("long").alias("conv_id")
+    good = good.withColumn("path", F.col("source")).select(conv, F.length("content").alias("n"), F.md5("content").alias("digest"), F.lit(None).cast("string").alias("error_type"))
+    return good.unionByName(bad.select(conv, F.lit(None).cast("int").alias("n"), F.lit(None).cast("string").alias("digest"), "error_type")).groupBy("error_type").agg(F.count("*").alias("n"), F.count_distinct("conv_id").alias("files"))
+
+
+def parsed_items(spark, sf_dir):
+    """Conversations as JSON lists, every fifth as an object instead, every seventh broken off."""
+    c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
+    items = F.to_json(F.transform("t", lambda x: F.struct(x["turn"].cast("string").alias("id"), x["text"].alias("text"))))
+    value = F.when(F.col("conv_id") % 5 == 0, F.concat(F.lit('{"items": '), items, F.lit("}"))).when(F.col("conv_id") % 7 == 0, F.substring(items, 1, 20)).otherwise(items)
+    return extract.parse_items(c.select(value.alias("value"))).groupBy("id", "error.error_type", "error.module").agg(F.count("*").alias("n"))
+
+
+def parsed_relations(spark, sf_dir):
+    """Documents as relation inputs, with entities that are a list, none or no list."""
+    d = table(spark, sf_dir, "documents")
+    entity = F.to_json(F.struct("text", F.array(F.struct(F.col("lang").alias("text"), F.lit(0).alias("start"), F.lit(2).alias("end"), F.lit("L").alias("type"))).alias("entities")))
+    value = F.when(F.col("doc_id") % 4 == 1, F.to_json(F.struct("text", F.col("lang").alias("entities")))).when(F.col("doc_id") % 4 == 2, F.to_json(F.array("lang"))).when(F.col("doc_id") % 4 == 3, F.to_json(F.struct(F.col("lang").alias("entities")))).otherwise(entity)
+    p = extract.parse_relation_input(d.select(value.alias("value")))
+    return p.groupBy(F.col("error.error_type").alias("error_type")).agg(F.count("*").alias("n"), F.sum(F.size("entities")).alias("entities"), F.sum(F.length("text")).cast("long").alias("chars"))
+
+
+def exported_scores(spark, sf_dir):
+    """Vectors as JSON rows with a score clamped to [0, 1]."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.round(F.get("embedding", F.lit(0)).cast("double") * 4, 6).alias("score"))
+    j = extract.export(e, "score")
+    return j.select(F.get_json_object("value", "$.vec_id").cast("long").alias("vec_id"), F.get_json_object("value", "$.score").cast("double").alias("score"), F.regexp_replace("value", "[0-9.E-]+", "0").alias("form"))
+
+
 QUERIES = (
     packets_accept, reject_counts, score_documents, run_conclusions, compare_configs, link_keyword, link_metadata, link_sequential, link_outcomes, plan_gap, plan_contradiction, plan_weak, plan_top,
     node_degrees, pair_types, dangling_edges, graph_identifiers, motif_gap, motif_cluster, motif_hub, motif_contradiction, motif_chain, motif_counts, trace_replay, trace_round_trip, trace_versions, page_assembly,
     cluster_summary, concept_edges, token_pool, role_softmax, eps_components, document_terms, distinct_terms, sentence_spans, svo_relations, role_term_motifs,
+    link_keyword_groups, link_metadata_groups, packets_all, score_violations, tool_outputs, edges_added, document_nodes, endpoints_resolved, trace_store, trace_lookup, ingested_files, parsed_items, parsed_relations, exported_scores,
 )
 
 

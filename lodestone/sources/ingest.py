@@ -27,24 +27,32 @@ def assemble_pages(pages: DataFrame, doc_col: str, page_col: str, text_col: str)
 
 
 def ingest(spark: SparkSession, manifest: DataFrame, corpus_id: str, pages: DataFrame | None = None, created_at=None) -> tuple[DataFrame, DataFrame]:
-    """manifest (pos, path, format) to documents and failures. pages (path, page_no, text) stands for extracted PDF pages."""
+    """manifest (pos, path, format) to documents and failures. pages (path, page_no, text) stands for extracted PDF pages; without it a PDF is a failure.
+
+    Each row of the manifest is in one of the two; a null path or format is a failure; repeated rows are
+    ingested one by one.
+    """
     bad = manifest.filter(~F.coalesce(F.col("format").isin(*FORMATS), F.lit(False))).select("pos", "path", F.lit("UnsupportedFormat").alias("error_type"))
-    wanted = manifest.filter("format = 'text'")
-    listed = [r["path"] for r in wanted.select("path").distinct().collect()]  # the caller's own list of files
-    for_reading = [p for p in listed if _exists(spark, p)]
-    if for_reading:
-        texts = read_texts(spark, *for_reading).withColumn("_key", F.regexp_replace("path", "^file:/*", "/")).drop("path")
-        texts = wanted.withColumn("_key", F.regexp_replace("path", "^file:/*", "/")).join(texts, "_key", "left").drop("_key")
+    wanted = manifest.filter("format = 'text'").withColumn("_key", F.regexp_replace("path", "^file:/*", "/"))
+    folders = [r["f"] for r in wanted.select(F.regexp_replace("_key", "/[^/]*$", "").alias("f")).distinct().filter("f IS NOT NULL").collect()]
+    folders = [f for f in folders if _exists(spark, f)]
+    nothing = {"content": F.lit(None).cast("string"), "metadata": F.lit(None).cast("map<string,string>"), "error_type": F.lit(None).cast("string")}
+    # folders are listed once, without reading; then only the wanted files that are there are read
+    there = [r["path"] for r in spark.read.format("binaryFile").load(folders).select("path").withColumn("_key", F.regexp_replace("path", "^file:/*", "/")).join(wanted, "_key", "left_semi").collect()] if folders else []
+    if there:
+        texts = read_texts(spark, *there).withColumn("_key", F.regexp_replace("path", "^file:/*", "/")).drop("path")
+        texts = wanted.join(texts, "_key", "left").drop("_key")
     else:
-        texts = wanted.withColumns({"content": F.lit(None).cast("string"), "metadata": F.lit(None).cast("map<string,string>"), "error_type": F.lit(None).cast("string")})
+        texts = wanted.drop("_key").withColumns(nothing)
     texts = texts.withColumn("error_type", F.when(F.col("metadata").isNull(), "FileNotFound").otherwise(F.col("error_type")))
-    found = texts
-    if pages is not None:
+    if pages is None:
+        pdf = manifest.filter("format = 'pdf'").withColumns(nothing | {"error_type": F.lit("NoPages")})
+    else:
         docs = assemble_pages(pages, "path", "page_no", "text").withColumnRenamed("doc", "path")
         docs = docs.withColumn("metadata", F.create_map(F.lit("page_count"), F.col("page_count").cast("string"), F.lit("extracted_pages"), F.col("extracted_pages").cast("string"))).drop("page_count", "extracted_pages")
         pdf = manifest.filter("format = 'pdf'").join(docs, "path", "left")
         pdf = pdf.withColumn("error_type", F.when(F.col("metadata").isNull(), "FileNotFound").otherwise(F.col("error_type")))
-        found = texts.unionByName(pdf)
+    found = texts.unionByName(pdf)
     good = found.filter("error_type IS NULL")
     good = good.select(F.sha1(F.concat_ws(":", F.lit(corpus_id), "path")).alias("document_id"), F.col("pos").cast("long").alias("doc_pos"), "content", F.col("path").alias("source"), "format", "metadata", F.lit(corpus_id).alias("corpus_id"), F.lit(created_at).cast("timestamp").alias("created_at"))
     return good, bad.unionByName(found.filter("error_type IS NOT NULL").select("pos", "path", "error_type"))

@@ -23,13 +23,16 @@ def judged(raw: DataFrame, ts) -> DataFrame:
 
 
 def start(raw: DataFrame, ts, out: str, rejects: str, checkpoint: str):
-    """New texts to traces (versions by batch) and rejects; stops when what is there has been read."""
+    """New texts to traces (versions by batch) and rejects; stops when what is there has been read.
+
+    A batch owns a folder in each, so one that is run again after a failure replaces what it wrote.
+    """
 
     def each(batch: DataFrame, n: int) -> None:
         batch = batch.persist()
         good = batch.filter("error_code IS NULL")
-        traces.build(good, ts).withColumn("seq", F.lit(n).cast("long")).write.mode("append").parquet(out)
-        batch.filter("error_code IS NOT NULL").select("source", "error_code", "actual_length").write.mode("append").parquet(rejects)
+        traces.build(good, ts).withColumn("seq", F.lit(n).cast("long")).write.mode("overwrite").parquet(f"{out}/batch={n}")
+        batch.filter("error_code IS NOT NULL").select("source", "error_code", "actual_length").write.mode("overwrite").parquet(f"{rejects}/batch={n}")
         batch.unpersist()
 
     return judged(raw, ts).writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
