@@ -69,12 +69,12 @@ n AS (SELECT DISTINCT user_id AS id FROM events)
 """
 #: Breadth-first trees from every node, level by level; the data's trees end before the last level, which is empty.
 LEVELS = 9
-_STEP = """y{k} AS (SELECT start, target_id AS at, r, edge_pos, path || ',' || target_id AS path, es || CASE WHEN es = '' THEN '' ELSE ',' END || edge_id AS es, row_number() OVER (PARTITION BY start, target_id ORDER BY r, edge_pos) AS k
-  FROM z{p} JOIN e ON source_id = at WHERE {new}),
-z{k} AS (SELECT start, at, row_number() OVER (PARTITION BY start ORDER BY r, edge_pos) AS r, path, es FROM y{k} WHERE k = 1)"""
+_STEP = """y{k} AS (SELECT start, target_id AS x, r, edge_pos, path || ',' || target_id AS path, es || CASE WHEN es = '' THEN '' ELSE ',' END || edge_id AS es, row_number() OVER (PARTITION BY start, target_id ORDER BY r, edge_pos) AS k
+  FROM z{p} JOIN e ON source_id = x WHERE {new}),
+z{k} AS (SELECT start, x, row_number() OVER (PARTITION BY start ORDER BY r, edge_pos) AS r, path, es FROM y{k} WHERE k = 1)"""
 CHAINS = ", ".join(
-    ["z0 AS (SELECT id AS start, id AS at, 0 AS r, id::VARCHAR AS path, '' AS es FROM n)"]
-    + [_STEP.format(k=k, p=k - 1, new=" AND ".join(f"NOT EXISTS (SELECT 1 FROM z{j} WHERE z{j}.start = z{k - 1}.start AND z{j}.at = e.target_id)" for j in range(k))) for k in range(1, LEVELS)]
+    ["z0 AS (SELECT id AS start, id AS x, 0 AS r, id::VARCHAR AS path, '' AS es FROM n)"]
+    + [_STEP.format(k=k, p=k - 1, new=" AND ".join(f"NOT EXISTS (SELECT 1 FROM z{j} v WHERE v.start = z{k - 1}.start AND v.x = e.target_id)" for j in range(k))) for k in range(1, LEVELS)]
     + ["chain AS (" + " UNION ALL ".join(f"SELECT path AS nodes, es AS edges, {k} AS depth FROM z{k}" for k in range(2, LEVELS)) + ")"]
 )
 ADJ = "adj AS (SELECT source_id AS u, target_id AS v FROM g WHERE source_id <> target_id UNION SELECT target_id, source_id FROM g WHERE source_id <> target_id)"

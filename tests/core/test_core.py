@@ -181,7 +181,7 @@ def value(v):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
-@pytest.mark.parametrize("name", sorted(set(oracle.ORACLES) - {"motif_cluster", "motif_chain"}))
+@pytest.mark.parametrize("name", sorted(oracle.ORACLES))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
     for t in ("events", "documents", "embeddings", "conversations"):
