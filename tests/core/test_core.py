@@ -12,6 +12,7 @@ from lodestone import oracle, queries
 from lodestone.functions import scoring, text
 from lodestone.operators import clusters, extract, links, motifs, planner
 from lodestone.operators.graph import Graph
+from lodestone.plans import runs
 from lodestone.sources import ingest, traces
 from lodestone.streaming import streams
 
@@ -141,9 +142,54 @@ def test_relations(spark):
 
 def test_json_inputs(spark):
     d = spark.createDataFrame([('[{"id": "a", "text": " t "}, {"id": "", "text": "x"}]',), ("{}",), ("no json",)], "value string")
-    assert sorted((r.id or "", r.error or "") for r in extract.parse_items(d).collect()) == [("", "InputNotAList"), ("", "InputNotAList"), ("a", "")]
-    d = spark.createDataFrame([('{"text": "t", "entities": []}',), ("[]",), ('{"text": "t", "entities": 1}',), ('{"entities": []}',)], "value string")
-    assert sorted(r.error or "" for r in extract.parse_relation_input(d).collect()) == ["", "EntitiesNotAList", "InputNotAnObject", "MissingText"]
+    kind = lambda r: r.error.error_type if r.error else ""
+    got = extract.parse_items(d.unionByName(spark.createDataFrame([(" ",), (None,)], "value string")), module="m", model="x").collect()
+    assert sorted((r.id or "", kind(r)) for r in got) == [("", "InputNotAList"), ("", "InvalidJson"), ("a", "")]
+    assert {(r.error.module, r.error.model) for r in got if r.error} == {("m", "x")} and all(r.error.error for r in got if r.error)
+    d = spark.createDataFrame([('{"text": "t", "entities": []}',), ("[]",), ('{"text": "t", "entities": 1}',), ('{"entities": []}',), ("",)], "value string")
+    assert sorted(kind(r) for r in extract.parse_relation_input(d).collect()) == ["", "EntitiesNotAList", "InputNotAnObject", "MissingText"]
+
+
+def test_relation_under_a_root_tag(spark):
+    t = spark.createDataFrame([("d", 0, "x", "x", "ROOT", "dep", 0, 0), ("d", 1, "a", "a", "N", "nsubj", 2, 2), ("d", 2, "use", "use", "VERB", "xcomp", 0, 4), ("d", 3, "b", "b", "N", "dobj", 2, 8)], "doc_id string, i int, text string, lemma string, pos string, dep string, head int, idx int")
+    e = spark.createDataFrame([("d", 0, "a", 2, 3), ("d", 1, "b", 8, 9)], "doc_id string, ord int, text string, start int, `end` int")
+    r = extract.relations(t, e).collect()
+    assert [(x.relation_type, x.pattern, round(x.confidence, 6)) for x in r] == [("USES", "nsubj-xcomp-dobj", 0.85)]
+
+
+def test_sentences_of_repeated_ids(spark):
+    d = spark.createDataFrame([(1, " One. Two!"), (1, "Three? Four."), (None, None), (2, "")], "doc_id long, text string")
+    got = sorted((r.span_text, r.k, r.start, r.end) for r in extract.sentence_spans(d, "doc_id", "text").collect())
+    assert got == [("Four.", 1, 7, 12), ("One.", 0, 1, 5), ("Three?", 0, 0, 6), ("Two!", 1, 6, 10)]
+
+
+def test_edges_keep_metadata_and_places(spark, documents):
+    c = spark.createDataFrame([("1", "2", 4, {"w": "x"}), ("2", "1", 9, None)], "source_document_id string, target_document_id string, pos int, metadata map<string,string>").withColumns({"link_type": F.lit("t"), "hint": F.lit("h")})
+    j = links.justify(c, documents, TS, scorer=lambda d: d.withColumn("overall_score", F.lit(0.8)))
+    assert sorted((r.source_id, r.edge_pos, r.metadata) for r in links.edges_of(j, TS).collect()) == [("1", 4, {"w": "x"}), ("2", 9, None)]
+
+
+def test_link_groups_say_what_pairs_say(spark, documents):
+    for keyed, pairs in ((links.by_metadata(documents, "author"), links.metadata_links(documents, "author")), (links.by_keyword(documents, "computing"), links.keyword_links(documents, "computing"))):
+        n = {}
+        for r in pairs.collect():
+            for k in (r.source_document_id, r.target_document_id):
+                n[k] = n.get(k, 0) + 1
+        got = links.link_groups(keyed).collect()
+        assert {r.document_id: r.n_links for r in got if r.n_links} == n and {r.group_id for r in got if r.n_links} == {min(n)}
+
+
+def test_comparison_isolates_failures_and_calls_tools(spark):
+    p = spark.createDataFrame([("r", "one two", TS)], "request_id string, text string, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+    rows = [(0, "a", "default", True, [("echo", "x"), ("none", "y")]), (1, "b", "bad", True, [("echo", "x")]), (2, "c", "gone", False, None), (3, "a", "default", False, [("none", "y")])]
+
+    def bad(packets):
+        raise RuntimeError("broken")
+
+    got = {r.config: r for r in runs.compare(p, spark.createDataFrame(rows, "pos int, name string, reasoner string, evaluate boolean, calls array<struct<name:string,input:string>>"), {"default": scoring.reason, "bad": bad}).collect()}
+    assert got["a"].tool_calls == [] and got["a"].overall_score is None and len(got["a"].steps) == 4 and got["a"].error is None
+    assert (got["b"].error.error_type, got["b"].error.message, got["b"].steps, got["b"].tool_calls) == ("RuntimeError", "broken", None, None)
+    assert got["c"].error.error_type == "LookupError"
 
 
 def test_ingest_traces_and_stream(spark, tmp_path):
@@ -152,12 +198,16 @@ def test_ingest_traces_and_stream(spark, tmp_path):
     (src / "a.txt").write_text("Hello\r\nWorld ")
     (src / "b.txt").write_text("  \n")
     (src / "c.txt").write_bytes(b"\xff\xfe\xfa")
-    m = spark.createDataFrame([(0, str(src / "a.txt"), "text"), (1, str(src / "b.txt"), "text"), (2, str(src / "c.txt"), "text"), (3, str(src / "gone.txt"), "text"), (4, "x", "docx")], "pos int, path string, format string")
+    m = spark.createDataFrame([(0, str(src / "a.txt"), "text"), (1, str(src / "b.txt"), "text"), (2, str(src / "c.txt"), "text"), (3, str(src / "gone.txt"), "text"), (4, "x", "docx"), (5, "y", "pdf"), (6, None, "text"), (7, "z", None)], "pos int, path string, format string")
     good, bad = ingest.ingest(spark, m, "corpus")
     assert [(r.content, r.metadata["file_size"]) for r in good.collect()] == [("Hello\nWorld", "13")]
-    assert {r.pos: r.error_type for r in bad.collect()} == {1: "EmptyDocument", 2: "UnicodeDecodeError", 3: "FileNotFound", 4: "UnsupportedFormat"}
+    assert {r.pos: r.error_type for r in bad.collect()} == {1: "EmptyDocument", 2: "UnicodeDecodeError", 3: "FileNotFound", 4: "UnsupportedFormat", 5: "NoPages", 6: "FileNotFound", 7: "UnsupportedFormat"}
     q = streams.start(streams.texts(spark, str(src)), TS, str(tmp_path / "out"), str(tmp_path / "rej"), str(tmp_path / "cp"))
     q.awaitTermination()
+    rejected = spark.read.parquet(str(tmp_path / "rej")).count()
+    again = streams.start(streams.texts(spark, str(src)), TS, str(tmp_path / "out"), str(tmp_path / "rej"), str(tmp_path / "cp2"))  # as if the batch had been lost
+    again.awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "rej")).count() == rejected > 0
     t = traces.read(spark, str(tmp_path / "out"))
     assert [r.input.text for r in t.collect() if r.input.text.startswith("Hello")] == ["Hello\nWorld"]
     rid = t.first().request_id
