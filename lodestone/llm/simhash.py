@@ -104,6 +104,12 @@ def links(nodes: DataFrame, radius=RADIUS, tile=TILE) -> DataFrame:
     return d.groupBy("a", "b").applyInArrow(compare, "u long, v long")
 
 
+def _met(links: DataFrame, least: DataFrame) -> DataFrame:
+    """links (u, v) with m of least (u, m). Both are dealt out anew, not as least was summed up: so Spark may split a node of many links over tasks."""
+    key = F.col("u").bitwiseXOR(F.lit(1))
+    return links.withColumn("_k", key).join(least.select(key.alias("_l"), "m"), F.col("_k") == F.col("_l")).drop("_k", "_l")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(u, v) links to (node, root), the least node reachable, by alternating star contraction; nodes without links are absent."""
     mark = F.struct(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")))
@@ -111,12 +117,10 @@ def components(edges: DataFrame) -> DataFrame:
     seen = e.select(mark.alias("m")).first()
     while seen["m"][0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        # staged, so that the join may split a node of many links over tasks
-        least = staged(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = staged(large, "links")
-        least = staged(large.groupBy("u").agg(F.min("v").alias("m")), "least")
-        small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = _met(both, least).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = _met(large, least).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = staged(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "links")
         if (now := e.select(mark.alias("m")).first()) == seen:
             break
