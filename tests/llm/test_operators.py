@@ -111,7 +111,18 @@ def test_repeats(docs, small):
                     gone[p : p + 200] = True
             runs = int((gone[1:] < gone[:-1]).sum())
             want[(i, len(x), int(gone.sum()), runs, hashlib.sha256(np.frombuffer(x, "u1")[~gone[:-1]].tobytes()).hexdigest())] += 1
-        assert Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in rows(repeats.remove_repeats(d))) == want
+        for most in (repeats.MOST_CONTEXTS, 1) if d is docs else (repeats.MOST_CONTEXTS,):  # 1: all by single windows
+            assert Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in rows(repeats.remove_repeats(d, most=most))) == want
+
+
+def test_suffix_order():
+    """In order of bytes, and with the places of equal suffixes."""
+    rng = np.random.default_rng(2)
+    phrases = [bytes(rng.integers(97, 99, n, "u1")) for n in (5, 9, 30, 31, 6)]
+    of, place, first, last = repeats.suffix_order(phrases, 5)
+    got = [phrases[i][p : p + 5] for i, p in zip(of, place, strict=True)]
+    assert got == sorted(p[k : k + 5] for p in phrases for k in range(len(p) - 4))
+    assert all(got[a] == got[b] == x and (a == 0 or got[a - 1] < x) and (b == len(got) - 1 or got[b + 1] > x) for x, a, b in zip(got, first, last, strict=True))
 
 
 def test_licenses(docs):
