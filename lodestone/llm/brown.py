@@ -31,7 +31,7 @@ from .common import staged
 
 CLASSES, LEADING_WORDS, FREQUENT_WORDS, PASSES, BLOCKS, ADD, PRIOR = 64, 4096, 1 << 18, 3, 4, 0.1, 50.0
 #: Rows or words that a task holds before it passes them on.
-FLUSH, CHUNK = 400_000, 256
+FLUSH, CHUNK, SHARE = 400_000, 256, 1e-5
 #: Classes after the exchanged ones: words not placed yet, words that training never saw, the end.
 WAITING, UNSEEN, END, MORE = 0, 1, 2, 3
 
@@ -203,15 +203,25 @@ def gains(left: np.ndarray, right: np.ndarray, own: np.ndarray, pairs: np.ndarra
 
 
 def best_classes(rows: DataFrame, of: np.ndarray | None, pairs: np.ndarray, classes: int) -> DataFrame:
-    """rows (word, at, n) to (word, class): each word's best class, its own (of, else none) where no other is better. Words are dealt out; a task holds few at once."""
-    a = classes + MORE
+    """rows (word, at, n) to (word, class): each word's best class, its own (of, else none) where no other is better. Words are dealt out; a task holds few at once.
+
+    Gains are those of the first order, against the matrix as it is; of words that make up more than SHARE of
+    all tokens, of which there are few at any size, the exact ones.
+    """
+    a, total = classes + MORE, pairs.sum()
+    log = lambda x: np.log(np.maximum(x, 1))
+    to_class, from_class = log(pairs[:, :classes]), log(pairs[:classes, :].T)
+    alone = log(pairs.sum(0)[:classes]) + log(pairs.sum(1)[:classes])
 
     def found(word, at, n):
         code = word.dictionary_encode()
         count = np.zeros((len(code.dictionary), 2 * a))
         np.add.at(count, (code.indices.to_numpy(), at), n)
         own = of[code.dictionary.to_numpy()] if of is not None else np.full(len(count), classes + WAITING)
-        g = gains(count[:, :a], count[:, a:], own, pairs, classes)
+        left, right = count[:, :a], count[:, a:]
+        g = (left @ to_class + right @ from_class) - left.sum(1)[:, None] * alone
+        heavy = np.nonzero(left.sum(1) > SHARE * total)[0]
+        g[heavy] = gains(left[heavy], right[heavy], own[heavy], pairs, classes)
         new = g.argmax(1)
         i = np.nonzero(own < classes)[0]
         stay = i[g[i, new[i]] <= g[i, own[i]] + 1e-9]
