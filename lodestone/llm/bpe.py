@@ -23,6 +23,8 @@ from __future__ import annotations
 
 import base64
 import heapq
+import pickle
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -228,6 +230,11 @@ def dictionary(docs: DataFrame, coder: Coder, text_col="text", size=DICTIONARY_S
     return frequent.select("piece", coder.bound(lambda table: coder.fold(table, F.col("piece"))).alias("ids"))
 
 
+@lru_cache(1)
+def _merger_of(packed: bytes) -> Merger:
+    return Merger(pickle.loads(packed))
+
+
 class Merger:
     """The ids of pieces that the dictionary lacks, by numpy over all of them: one merge a round in each piece."""
 
@@ -242,6 +249,10 @@ class Merger:
                 slot += 1
             self.keys[slot], self.to[slot] = key, pairs[key]
 
+    def __reduce__(self):
+        """Only the ranks travel to the workers; each builds its table once."""
+        return _merger_of, (pickle.dumps(self.ranks),)
+
     @staticmethod
     def _slot(key: np.ndarray) -> np.ndarray:
         return ((key.view("u8") * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOTS.bit_length() + 1)).astype("i8")
