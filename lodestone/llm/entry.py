@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, brown, images, licenses, mixing, quality_rules, repeats, secrets, simhash, warc
+from . import bpe, brown, conversations, images, licenses, mixing, quality_rules, ranked_search, repeats, secrets, simhash, token_counts, warc
 from .common import shared_path, table
 from .oracle import ORACLES
 
@@ -59,7 +59,24 @@ def op10_image_copies(spark, sf_dir):
     return images.find_copies(vectors, "vec_id", "embedding", images.draw_vector, lambda i: i % 20 == 0, images.one_of_the_edits)
 
 
-QUERIES = (op1_class_model, op2_secret_scans, op3_repeats, op4_license_scans, op5_quality_rules, op6_simhash, op7_byte_bpe, op8_mixing, op9_warc, op10_image_copies)
+def op11_token_counts(spark, sf_dir):
+    import public_tokenizers
+
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), token_counts.read_merges(public_tokenizers.path("word_bpe_49k.json")))
+
+
+def op12_ranked_search(spark, sf_dir):
+    return ranked_search.search(ranked_search.build_index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+
+
+def op13_conversation_repair(spark, sf_dir):
+    return conversations.summary(conversations.repair(conversations.damage(table(spark, sf_dir, "conversations"))), table(spark, sf_dir, "conversations"))
+
+
+QUERIES = (
+    op1_class_model, op2_secret_scans, op3_repeats, op4_license_scans, op5_quality_rules, op6_simhash, op7_byte_bpe, op8_mixing, op9_warc, op10_image_copies,
+    op11_token_counts, op12_ranked_search, op13_conversation_repair,
+)
 
 
 def queries():

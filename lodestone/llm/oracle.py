@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import licenses
+from . import licenses, ranked_search
 
 _WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
@@ -107,4 +107,4 @@ SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT
 FROM d LEFT JOIN g USING (n)
 """
 
-ORACLES = {"op2_secret_scans": secrets(), "op3_repeats": REPEATS, "op4_license_scans": licenses.oracle(), "op5_quality_rules": quality(), "op8_mixing": MIXING, "op9_warc": WARC}
+ORACLES = {"op2_secret_scans": secrets(), "op3_repeats": REPEATS, "op4_license_scans": licenses.oracle(), "op5_quality_rules": quality(), "op8_mixing": MIXING, "op9_warc": WARC, "op12_ranked_search": ranked_search.ORACLE}
