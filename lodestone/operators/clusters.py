@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.staging import kept as _kept
 from ..functions.text import clamp
+from .components import _root, components
 
 
 def pool(tokens: DataFrame) -> DataFrame:
@@ -33,61 +36,212 @@ def summarise(items: DataFrame, persistence: DataFrame | None = None) -> DataFra
     return g.select("cluster_id", "member_ids", F.col("r.id").alias("representative_id"), F.col("r.text").alias("representative_text"), "size", "mean_probability", "least_d2", clamp(F.coalesce("_p", F.lit(0.0))).alias("stability"))
 
 
-def links_within(items: DataFrame, eps: float, cell: int = 512) -> DataFrame:
-    """(u, v) pairs of items (id, embedding) at most eps apart, exact: blocks of cell rows compared as matrices in tasks.
+#: Rows of a block, as a power of two, and pivots by which pairs of blocks are ruled out.
+CELL_BITS, PIVOTS = 10, 6
 
-    Rows are ordered by their first coordinate in blocks; two blocks whose ranges are more than eps
-    apart in it are never compared.
+
+def _vectors(items: DataFrame) -> DataFrame:
+    """(id, e) of items with an embedding that can be measured: not null or empty, and without null or NaN in it."""
+    e = F.col("embedding").cast("array<double>")
+    ok = (F.size(e) > 0) & ~F.exists(e, lambda x: x.isNull() | F.isnan(x))
+    return items.filter(ok & F.col("id").isNotNull()).select("id", e.alias("e"))
+
+
+def _equal(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Different vectors, each with the least of its ids, and links of distance 0 between that and the others."""
+    first = _kept(vectors.groupBy("e").agg(F.min("id").alias("id")), "different-vectors")
+    pairs = vectors.join(first.withColumnRenamed("id", "u"), "e").filter("u <> id")
+    return first, pairs.select("u", F.col("id").alias("v"), F.lit(0.0).alias("distance")).distinct()
+
+
+def _blocks(rows: DataFrame, *order: str) -> DataFrame:
+    """rows with a block of at most 2**CELL_BITS rows that follow each other in the order."""
+    d = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_n", F.monotonically_increasing_id())
+    return _kept(d.withColumn("block", F.shiftright("_n", CELL_BITS)).drop("_n"), "blocks")
+
+
+def _near(at: DataFrame, pairs: DataFrame, eps: float) -> DataFrame:
+    """at (bucket, block, id, e), pairs (bucket, x, y) of its blocks, x <= y, to links (u, v, distance) of at most eps: of each pair of blocks a minimum spanning forest, not all pairs.
+
+    An edge that no forest of a pair of blocks holds is the longest of a cycle and is in no minimum
+    spanning forest of the whole, so components and forests of these links are those of all pairs.
     """
-    import math
-
-    import numpy as np
-    import pyarrow as pa
-
-    n = items.count()
-    if not n:
-        return items.select(F.col("id").alias("u"), F.col("id").alias("v")).limit(0)
-    blocks = max(1, math.ceil(n / cell))
-    d = items.select("id", F.col("embedding").cast("array<double>").alias("e"))
-    at = d.repartitionByRange(blocks, F.get("e", F.lit(0))).withColumn("block", F.spark_partition_id())
-    at = _kept(at)
-    ranges = at.groupBy("block").agg(F.min(F.get("e", F.lit(0))).alias("lo"), F.max(F.get("e", F.lit(0))).alias("hi"))
-    a, b = ranges.alias("a"), ranges.alias("b")
-    near = a.join(b, (F.col("a.block") <= F.col("b.block")) & (F.col("b.lo") - F.col("a.hi") <= eps)).select(F.col("a.block").alias("x"), F.col("b.block").alias("y"))
-    left = at.join(near, F.col("block") == F.col("x")).select("x", "y", "id", "e", F.lit(False).alias("other"))
-    right = at.join(near.filter("x <> y"), F.col("block") == F.col("y")).select("x", "y", "id", "e", F.lit(True).alias("other"))
-    kind = items.schema["id"].dataType.simpleString()
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    left = at.join(pairs, (at["bucket"] == pairs["bucket"]) & (at["block"] == pairs["x"])).select(pairs["bucket"], "x", "y", "id", "e", F.lit(False).alias("other"))
+    right = at.join(pairs.filter("x <> y"), (at["bucket"] == pairs["bucket"]) & (at["block"] == pairs["y"])).select(pairs["bucket"], "x", "y", "id", "e", F.lit(True).alias("other"))
+    kind, arrow = at.schema["id"].dataType.simpleString(), to_arrow_type(at.schema["id"].dataType)
 
     def compare(key, t):
-        e = np.array(t.column("e").to_pylist(), float)
-        ids, other = t.column("id").to_numpy(zero_copy_only=False), t.column("other").to_numpy(zero_copy_only=False)
-        p, q = (e, e) if key[0].as_py() == key[1].as_py() else (e[~other], e[other])
-        ip, iq = (ids, ids) if key[0].as_py() == key[1].as_py() else (ids[~other], ids[other])
-        u, v = [], []
-        for k in range(len(p)):
-            near = np.nonzero(((q - p[k]) ** 2).sum(1) <= eps * eps)[0]
-            u.append(np.full(len(near), ip[k]))
-            v.append(iq[near])
-        u, v = np.concatenate([*u, ids[:0]]), np.concatenate([*v, ids[:0]])
-        return pa.table({"u": u[u != v], "v": v[u != v]})
-
-    return left.unionByName(right).groupBy("x", "y").applyInArrow(compare, f"u {kind}, v {kind}").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-
-
-def threshold_clusters(items: DataFrame, eps: float) -> DataFrame:
-    """(id, label): single-linkage components within eps, labelled by their least id; single items are noise, label -1."""
-    e = _kept(links_within(items, eps))
-    both = _kept(e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))))
-    lab = _kept(items.select("id", F.col("id").alias("label")))
-    while True:
-        near = both.join(lab, F.col("v") == F.col("id")).groupBy("u").agg(F.min("label").alias("m"))
-        new = lab.join(near, F.col("id") == F.col("u"), "left").select("id", F.least("label", F.coalesce("m", "label")).alias("label"))
-        # jump: a label is itself a node, whose own label may be smaller
-        new = new.alias("n").join(new.select(F.col("id").alias("i"), F.col("label").alias("l")), F.col("n.label") == F.col("i"), "left").select("n.id", F.least("n.label", F.coalesce("l", "n.label")).alias("label"))
-        new = _kept(new)
-        changed = new.alias("a").join(lab.alias("b"), "id").filter("a.label <> b.label")
-        lab, done = new, changed.isEmpty()
-        if done:
-            break
-    size = lab.groupBy("label").agg(F.count("*").alias("n"))
-    return lab.join(size, "label").select("id", F.when(F.col("n") >= 2, F.col("label")).otherwise(F.lit(-1)).alias("label"))
+        e, other = t.column("e").combine_chunks(), t.column("other").to_numpy()
+        ids, size = np.array(t.column("id").to_pylist()), np.diff(e.offsets.to_numpy())
+        found = []
+        for n in np.unique(size):  # vectors of different length are never near
+            here = np.flatnonzero(size == n)
+            v = np.stack([e[int(k)].values.to_numpy() for k in here])
+            same = key[1].as_py() == key[2].as_py()
+            p, q = (np.arange(len(here)),) * 2 if same else (np.flatnonzero(~other[here]), np.flatnonzero(other[here]))
+            found += [(d, ids[here[a]], ids[here[b]]) for d, a, b in _close(v, p, q, eps)]
+        found = sorted((d, min(a, b), max(a, b)) for d, a, b in found)
+        parent, out = {}, []
+        for d, a, b in found:
+            r, s = _root(parent, a), _root(parent, b)
+            if r != s:
+                parent[r] = s
+                out.append((a, b, d))
+        return pa.table({"u": pa.array([x[0] for x in out], arrow), "v": pa.array([x[1] for x in out], arrow), "distance": pa.array([x[2] for x in out], pa.float64())})
+
+    return left.unionByName(right).groupBy("bucket", "x", "y").applyInArrow(compare, f"u {kind}, v {kind}, distance double")
+
+
+def _close(v: np.ndarray, p: np.ndarray, q: np.ndarray, eps: float):
+    """(distance, a, b) for a of p and b of q at most eps apart, different rows of v: first by products with a margin, then exactly."""
+    squares = (v * v).sum(1)
+    margin = 1e-9 * (1 + squares.max(initial=0))
+    for at in range(0, len(p), 64):
+        a = p[at : at + 64]
+        rough = squares[a][:, None] + squares[q][None, :] - 2 * (v[a] @ v[q].T)
+        i, j = np.nonzero(rough <= eps * eps + margin)
+        i, j = a[i], q[j]
+        i, j = i[i != j], j[i != j]
+        d = np.sqrt(((v[i] - v[j]) ** 2).sum(1))
+        yield from ((float(x), int(y), int(z)) for x, y, z in zip(d, i, j, strict=True) if x <= eps)
+
+
+def links_within(items: DataFrame, eps: float) -> DataFrame:
+    """items (id, embedding) to links (u, v, distance) of at most eps, enough of them that components and minimum spanning forests are those of all such pairs. Exact.
+
+    Equal vectors are linked to the first of them and compared once. Blocks follow the distances to a few
+    pivots, in steps of eps; a pair of blocks is compared unless a pivot's distances are more than eps
+    apart. Pairs of blocks meet by steps of the first pivot's distance. Where distances do not differ by
+    more than eps nothing is ruled out, and the work is quadratic in the number of different vectors;
+    near_links() is the form for such tables.
+    """
+    first, equal = _equal(_vectors(items))
+    pivots = [r.e for r in first.orderBy(F.xxhash64("e"), "e").limit(PIVOTS).collect()]
+    if not pivots:
+        return equal
+    away = [F.sqrt(F.aggregate(F.zip_with("e", F.array(*[F.lit(x) for x in p]), lambda a, b: (F.coalesce(a, F.lit(0.0)) - F.coalesce(b, F.lit(0.0))) ** 2), F.lit(0.0), lambda s, x: s + x)) for p in pivots]
+    names = [f"d{k}" for k in range(len(pivots))]
+    d = first.select("id", "e", *[a.alias(n) for a, n in zip(away, names, strict=True)])
+    d = d.select("*", F.lit(0).alias("bucket"), *[F.floor(F.col(n) / eps).alias(f"s{n}") for n in names], F.xxhash64("e").alias("_h"))
+    at = _blocks(d, *[f"s{n}" for n in names], "_h")
+    spread = at.groupBy("block").agg(*[f(n).alias(f"{g}{n}") for n in names for f, g in ((F.min, "lo"), (F.max, "hi"))])
+    spread = _kept(spread, "block-ranges")
+    steps = lambda more: F.explode(F.sequence(F.floor(F.col("lod0") / eps).cast("int") - more, F.floor(F.col("hid0") / eps).cast("int") + more)).alias("_s")
+    a, b = spread.select("*", steps(0)).alias("a"), spread.select("*", steps(1)).alias("b")
+    apart = [F.greatest(F.col(f"a.lo{n}") - F.col(f"b.hi{n}"), F.col(f"b.lo{n}") - F.col(f"a.hi{n}")) <= eps * (1 + 1e-9) for n in names]
+    on = (F.col("a._s") == F.col("b._s")) & (F.col("a.block") <= F.col("b.block"))
+    for x in apart:
+        on = on & x
+    pairs = a.join(b, on).select(F.lit(0).alias("bucket"), F.col("a.block").alias("x"), F.col("b.block").alias("y")).distinct()
+    return _near(at.select("bucket", "block", "id", "e"), pairs, eps).unionByName(equal)
+
+
+def near_links(items: DataFrame, eps: float, tables: int = 12, projections: int = 6, width: float = 4.0, seed: int = 7) -> DataFrame:
+    """Like links_within(), by an approximate index: of the pairs at most eps apart those that share a bucket in one of some tables.
+
+    A bucket is the cell of the vector's projections on random directions, width * eps wide, moved by a
+    random part of it. Every link is measured; a pair is missed if no table has it in one bucket. A bucket
+    of many rows is dealt out in blocks and all its pairs of blocks are compared. Each table moves each
+    different vector once, so rows moved grow as the table does.
+    """
+    first, equal = _equal(_vectors(items))
+
+    def hashed(batches):
+        for b in batches:
+            e = b.column(1)
+            out = []
+            for v in e:
+                v = v.values.to_numpy()
+                g = np.random.default_rng([seed, len(v)])
+                cells = np.floor((g.normal(size=(tables * projections, len(v))) @ v) / (width * eps) + g.random(tables * projections)).astype(np.int64)
+                out += [f"{len(v)}:{k}:" + ",".join(map(str, c)) for k, c in enumerate(cells.reshape(tables, -1))]
+            at = pa.array(np.repeat(np.arange(len(b)), tables))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), e.take(at), pa.array(out, pa.string())], ["id", "e", "bucket"])
+
+    kind = first.schema["id"].dataType.simpleString()
+    d = first.select("id", "e").mapInArrow(hashed, f"id {kind}, e array<double>, bucket string")
+    d = _kept(d.withColumn("_h", F.xxhash64("e")), "buckets")
+    full = d.groupBy("bucket").count().filter("count > 1").select("bucket")
+    at = _blocks(d.join(full, "bucket", "left_semi"), "bucket", "_h")
+    b = at.select("bucket", "block").distinct()
+    b = _kept(b, "bucket-blocks")
+    pairs = b.withColumnRenamed("block", "x").join(b.withColumnRenamed("block", "y"), "bucket").filter("x <= y")
+    return _near(at.select("bucket", "block", "id", "e"), pairs, eps).unionByName(equal)
+
+
+def threshold_clusters(items: DataFrame, eps: float, links=links_within) -> DataFrame:
+    """(id, label) of each different id: single-linkage components within eps, labelled by their least id.
+
+    Items near no other are noise, label -1, as are those whose embedding is null, empty or holds null or
+    NaN. Rows with one id are one item, near to whatever one of them is near to. No rows of none.
+    """
+    c = components(links(items, eps))
+    ids = items.select(F.col("id").alias("_i")).distinct()
+    return ids.join(c, F.col("_i") == F.col("id"), "left").select(F.col("_i").alias("id"), F.coalesce("label", F.lit(-1)).alias("label"))
+
+
+def hierarchy(forest: DataFrame, eps: float, levels: int = 8) -> tuple[DataFrame, DataFrame]:
+    """A minimum spanning forest (u, v, distance) of links up to eps to (id, label) and (label, value, size): the clusters that persist, by excess of mass, and how much.
+
+    Distances count as the next of the thresholds eps * k / levels, and 1/threshold is the density at
+    which things part. Going up the thresholds, components join: two or more clusters that join end there
+    and a new one begins, single items join the cluster as it is, single items alone begin one. A
+    cluster's stability is the sum over its items of the density at which they leave it, above that at
+    which it ends. It is taken unless the best of the clusters within it are worth more together. value
+    is its share of the most its items could have at the densest threshold in use. A cluster at the top
+    ends at 1/eps. Items of no taken cluster have no row; a label is the least id of a cluster.
+    """
+    density = lambda k: levels / (eps * k)
+    step = F.least(F.greatest(F.ceil(F.col("distance") / eps * levels - 1e-9), F.lit(1)), F.lit(levels)).cast("int")
+    work = _kept(forest.select("u", "v", step.alias("k")), "hierarchy")
+    kind = forest.schema["u"].dataType.simpleString()
+    spark = forest.sparkSession
+    # open clusters by component: born at step k under the label c; what they weigh, and the best within
+    state = spark.createDataFrame([], f"comp {kind}, k int, c {kind}, size long, mass double, within double")
+    closed, homes, used = [], [], [r.k for r in work.select("k").distinct().orderBy("k").collect()]
+    for k in used:
+        label = components(work.filter(F.col("k") == k))
+        j = _kept(label.join(state, F.col("id") == F.col("comp"), "left"), "joins")
+        alone = F.col("comp").isNull()
+        g = j.groupBy("label").agg(
+            F.count_if(~alone).alias("n_open"), F.count_if(alone).alias("n_alone"), F.coalesce(F.sum("size"), F.lit(0)).alias("held"), F.sum("mass").alias("mass"), F.sum("within").alias("within"),
+            F.first("k", True).alias("k"), F.first("c", True).alias("c"), F.sum(F.greatest(F.col("mass") - F.col("size") * density(k), "within")).alias("best"),
+        )
+        one, size = F.col("n_open") == 1, F.col("held") + F.col("n_alone")
+        g = _kept(g.select(
+            F.col("label").alias("comp"), F.when(one, F.col("k")).otherwise(F.lit(k)).alias("k"), F.when(one, F.col("c")).otherwise(F.col("label")).alias("c"), size.alias("size"),
+            F.when(one, F.col("mass") + F.col("n_alone") * density(k)).otherwise(size * density(k)).alias("mass"), F.when(one, F.col("within")).otherwise(F.coalesce("best", F.lit(0.0))).alias("within"), (F.col("n_open") > 1).alias("ends"),
+        ), "open")
+        up = g.select(F.col("comp").alias("label"), F.col("k").alias("pk"), F.col("c").alias("pc"), "ends")
+        closed.append(j.filter(~alone).join(up.filter("ends"), "label").select("k", "c", "size", (F.col("mass") - F.col("size") * density(k)).alias("stability"), "within", "pk", "pc"))
+        homes.append(j.filter(alone).join(up, "label").select("id", F.col("pk").alias("k"), F.col("pc").alias("c")))
+        rest = state.join(label, F.col("comp") == F.col("id"), "left_anti")
+        state = _kept(rest.unionByName(g.drop("ends")), "open")
+        moved = work.filter(F.col("k") > k)
+        for end in ("u", "v"):
+            moved = moved.join(label.select(F.col("id").alias("_i"), F.col("label").alias("_l")), F.col(end) == F.col("_i"), "left").withColumn(end, F.coalesce("_l", end)).drop("_i", "_l")
+        work = _kept(moved, "hierarchy")
+    if not used:
+        return state.select(F.col("comp").alias("id"), F.col("c").alias("label")), state.select(F.col("c").alias("label"), F.col("mass").alias("value"), "size")
+    none = [F.lit(None).cast("int").alias("pk"), F.lit(None).cast(kind).alias("pc")]
+    tree = state.select("k", "c", "size", (F.col("mass") - F.col("size") * density(levels)).alias("stability"), "within", *none)
+    for t in closed:
+        tree = tree.unionByName(t)
+    tree = _kept(tree.withColumn("own", F.col("stability") >= F.col("within")), "cluster-tree")
+    taken = tree.limit(0).select("k", "c", F.col("k").alias("tk"), F.col("c").alias("tc"))
+    for k in reversed(used):  # from the top: what a taken cluster holds belongs to it
+        above = taken.select(F.col("k").alias("pk"), F.col("c").alias("pc"), "tk", "tc")
+        t = tree.filter(F.col("k") == k).join(above, ["pk", "pc"], "left")
+        t = t.select("k", "c", *[F.coalesce(a, F.when(F.col("own"), F.col(b))).alias(a) for a, b in (("tk", "k"), ("tc", "c"))])
+        taken = _kept(taken.unionByName(t), "taken")
+    home = homes[0]
+    for h in homes[1:]:
+        home = home.unionByName(h)
+    of = home.join(taken.filter("tk IS NOT NULL"), ["k", "c"]).select("id", "tk", "tc")
+    of = _kept(of, "labels")
+    named = of.groupBy("tk", "tc").agg(F.min("id").alias("label"), F.count("*").alias("size"))
+    named = named.join(tree.select(F.col("k").alias("tk"), F.col("c").alias("tc"), "stability"), ["tk", "tc"])
+    named = _kept(named.select("tk", "tc", "label", (F.col("stability") / (F.col("size") * density(used[0]))).alias("value"), "size"), "persistence")
+    return of.join(named, ["tk", "tc"]).select("id", "label"), named.select("label", "value", "size")
