@@ -11,16 +11,16 @@ from pyspark.sql import functions as F
 from ..functions import scoring
 from ..functions.staging import kept
 from ..functions.text import uuid5
+from .pairs import pairs_within
 
 STRATEGIES = ("keyword_overlap", "metadata_match", "sequential")
 NAMESPACE = "6ba7b811-9dad-11d1-80b4-00c04fd430c8"
 
 
 def _pairs(keyed: DataFrame, link_type: str) -> DataFrame:
-    """keyed (key, hint, document_id, doc_pos): all pairs of a key, earlier document first. Only ids travel."""
-    a, b = keyed.alias("a"), keyed.alias("b")
-    p = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.doc_pos") < F.col("b.doc_pos")))
-    return p.select(F.col("a.document_id").alias("source_document_id"), F.col("b.document_id").alias("target_document_id"), F.lit(link_type).alias("link_type"), F.col("a.hint").alias("hint"))
+    """keyed (key, hint, document_id, doc_pos): all pairs of a key, earlier document first. Only ids travel; a hot key is dealt out in cells."""
+    p = pairs_within(keyed, "key", "doc_pos", "document_id", "hint")
+    return p.select(F.col("a_document_id").alias("source_document_id"), F.col("b_document_id").alias("target_document_id"), F.lit(link_type).alias("link_type"), F.col("a_hint").alias("hint"))
 
 
 def by_keyword(documents: DataFrame, *keywords: str) -> DataFrame:

@@ -188,7 +188,7 @@ def motif_chain(spark, sf_dir):
 
 
 def motif_counts(spark, sf_dir):
-    return motifs.counts_by_type(motifs.all_motifs(graph_e(spark, sf_dir), 0.5))
+    return motifs.motif_counts(graph_e(spark, sf_dir), 0.5)
 
 
 def conversation_traces(spark, sf_dir):
