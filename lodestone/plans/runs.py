@@ -9,6 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scoring
+from ..functions.plugins import ERROR, Plugin, call
+from ..functions.staging import kept
 from ..functions.text import key_terms
 from ..operators import clusters, extract, graph, motifs
 from ..sources import traces
@@ -37,14 +39,14 @@ def run(raw: DataFrame, ts, calls: DataFrame | None = None, path: str | None = N
     return t.withColumn("conclusion", scoring.conclusion(F.col("reasoning.reasoning_steps")))
 
 
-ERROR = "struct<error_type:string,message:string>"
-
-
-def compare(packets: DataFrame, configs: DataFrame, reasoners: dict[str, Callable[[DataFrame], DataFrame]] | None = None) -> DataFrame:
+def compare(packets: DataFrame, configs: DataFrame, reasoners: dict[str, Callable[[DataFrame], DataFrame] | Plugin] | None = None, isolate: bool = True) -> DataFrame:
     """Every packet under every config (pos, name, reasoner, evaluate, and maybe calls: array of name and input): (request_id, config, steps, confidence, overall_score, tool_calls, error). Of equal names the last wins.
 
-    Each reasoner in use runs once over the packets, however many configs share it. A reasoner that is
-    unknown, or that cannot be planned, leaves rows with an error of its type for its own configs only.
+    Each reasoner in use runs once over the packets, however many configs share it. A reasoner is a
+    function of the table, or a Plugin from text to struct<steps:array<string>,confidence:double>. One
+    that is unknown, or that fails, leaves rows with an error of its type for its own configs only: a
+    plug-in on the rows that it fails on, a function of the table on all of its configs' rows, for which
+    its result is written before it is used (isolate; without, only plans that fail are caught).
     Unknown tools fall out; tool_calls is null where a config asks for none.
     """
     ways = reasoners or {"default": scoring.reason}
@@ -55,19 +57,27 @@ def compare(packets: DataFrame, configs: DataFrame, reasoners: dict[str, Callabl
     columns = ["steps", "confidence", "overall_score"]
     out = None
     for name, rows in by_reasoner.items():
-        error = None
+        scored, broken = any(r["evaluate"] for r in rows), None
         try:
             if name not in ways:
                 raise LookupError(f"unknown reasoner {name}")
-            d = ways[name](packets)
-            d = scoring.evaluate(d) if any(r["evaluate"] for r in rows) else d.withColumn("overall_score", F.lit(None).cast("double"))
-            d = d.select("request_id", *columns)
+            way = ways[name]
+            if isinstance(way, Plugin):
+                d = packets.withColumn("_p", call(way, "text"))
+                d = d.withColumns({"steps": F.col("_p.value.steps"), "confidence": F.col("_p.value.confidence"), "error": F.col("_p.error").cast(ERROR)})
+            else:
+                d = way(packets).withColumn("error", F.lit(None).cast(ERROR))
+            d = scoring.evaluate(d) if scored else d.withColumn("overall_score", F.lit(None).cast("double"))
+            d = d.select("request_id", *columns, "error").withColumn("overall_score", F.when(F.col("error").isNull(), F.col("overall_score")))
+            if isolate and name in ways and ways[name] is not scoring.reason:
+                d = kept(d, "reasoned")
         except Exception as e:  # noqa: BLE001  whatever a caller's reasoner raises concerns its own configs
-            error = F.struct(F.lit(type(e).__name__).alias("error_type"), F.lit(str(e)).alias("message"))
-            d = packets.select("request_id", *[F.lit(None).cast(t).alias(c) for c, t in zip(columns, ("array<string>", "double", "double"), strict=True)])
-        plan = F.array(*[F.struct(F.lit(r["name"]).alias("config"), F.lit(bool(r["evaluate"])).alias("scored"), _called(r["calls"] if "calls" in configs.columns and error is None else None).alias("tool_calls")) for r in rows])
+            broken = F.struct(F.lit(type(e).__name__).alias("error_type"), F.lit(str(e).partition("\n")[0]).alias("message"))
+            d = packets.select("request_id", *[F.lit(None).cast(t).alias(c) for c, t in zip(columns, ("array<string>", "double", "double"), strict=True)], broken.cast(ERROR).alias("error"))
+        plan = F.array(*[F.struct(F.lit(r["name"]).alias("config"), F.lit(bool(r["evaluate"])).alias("scored"), _called(r["calls"] if "calls" in configs.columns and broken is None else None).alias("tool_calls")) for r in rows])
         d = d.select("*", F.explode(plan).alias("c"))
-        d = d.select("request_id", "c.config", "steps", "confidence", F.when(F.col("c.scored"), F.col("overall_score")).alias("overall_score"), "c.tool_calls", (error if error is not None else F.lit(None)).cast(ERROR).alias("error"))
+        calls = F.when(F.col("error").isNull(), F.col("c.tool_calls"))
+        d = d.select("request_id", "c.config", "steps", "confidence", F.when(F.col("c.scored"), F.col("overall_score")).alias("overall_score"), calls.alias("tool_calls"), "error")
         out = d if out is None else out.unionByName(d)
     return out
 
