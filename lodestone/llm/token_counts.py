@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Most words whose count a worker remembers, and most characters of one.
+#: Most words, and most strings between white space, whose count a worker remembers, and most characters of one.
 REMEMBERED, WORD_CHARS = 1 << 18, 48
 #: Tokens that a document may have.
 LIMIT = 2048
@@ -34,6 +34,8 @@ LIMIT = 2048
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+"
 #: Capital sigma, and letters whose lower case came after this Python's tables.
 NEWER = {0x03A3: 0x03C3, 0xA7CB: 0x0264, 0xA7DC: 0x019B}
+#: What str.split() takes for white space and Unicode does not.
+SPLIT_MORE = frozenset("\x1c\x1d\x1e\x1f")
 
 
 def read_merges(path: str) -> tuple[dict[int, int], list[int], list[int], list[str]]:
@@ -84,27 +86,36 @@ def count_word(word: bytes, table: dict[int, int], symbol: list[int], last_symbo
 
 
 class Counts(dict):
-    """Counts of the words met, short ones remembered."""
+    """Counts of the keys met, short ones remembered; count gives the others."""
 
-    def __init__(self, merges):
-        self.merges = merges[:3]
+    def __init__(self, count):
+        self.count = count
 
-    def __missing__(self, word: str) -> int:
-        n = count_word(word.encode(), *self.merges)
-        if len(word) <= WORD_CHARS:
+    def __missing__(self, key: str) -> int:
+        n = self.count(key)
+        if len(key) <= WORD_CHARS:
             if len(self) >= REMEMBERED:
                 self.clear()
-            self[word] = n
+            self[key] = n
         return n
 
 
+def _counting(merges) -> Counts:
+    """Counts of strings without white space: each is normalised and cut into words, whose counts are added. Neither crosses white space."""
+    import regex
+
+    word = Counts(lambda w: count_word(w.encode(), *merges[:3])).__getitem__
+    words = regex.compile(WORDS)
+    return Counts(lambda part: sum(map(word, words.findall(_lower(part)))))
+
+
 #: Of this worker, kept from task to task: the merges that came with the task, and counts under them.
 _held: list = [None, None]
 
 
 def _counts(merges) -> Counts:
     if _held[0] is not merges:
-        _held[:] = merges, Counts(merges)
+        _held[:] = merges, _counting(merges)
     return _held[1]
 
 
@@ -125,14 +136,14 @@ def token_count(docs: DataFrame, text: str, merges) -> Column:
     @F.arrow_udf("bigint")
     def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known = _counts(shared.value).__getitem__
-        marks, words = regex.compile(special), regex.compile(WORDS)
+        marks, gaps = regex.compile(special), regex.compile(r"\p{White_Space}+")
         for batch in batches:
             out = []
             for t in batch:
                 parts = marks.split(t.as_py() or "")
                 n = len(parts) - 1
                 for part in parts:
-                    n += sum(map(known, words.findall(_lower(part))))
+                    n += sum(map(known, part.split() if SPLIT_MORE.isdisjoint(part) else gaps.split(part)))
                 out.append(n)
             yield pa.array(out, pa.int64())
 
