@@ -8,7 +8,7 @@ from .functions.text import TERMS, WS
 from .operators.extract import CONCEPT_ROLES, VERBS
 from .operators.graph import NAMESPACE as NODES
 from .operators.links import NAMESPACE
-from .queries import EPS, LEMMAS, ROLES
+from .queries import EPS, FOREST_EPS, LEMMAS, MOST_CHARS, ROLES
 
 WORDS_BREAK = f"{WS}+"
 
@@ -188,7 +188,7 @@ ORACLES |= {
       SELECT doc_id::VARCHAR AS document_id, 'shared_keyword:' || k AS hint, (min(doc_id) OVER w)::VARCHAR AS group_id, count(*) OVER w - 1 AS n_links FROM k WINDOW w AS (PARTITION BY k)""",
     "link_metadata_groups": "SELECT doc_id::VARCHAR AS document_id, 'shared_source:' || source AS hint, (min(doc_id) OVER w)::VARCHAR AS group_id, count(*) OVER w - 1 AS n_links FROM documents WHERE source <> '' WINDOW w AS (PARTITION BY source)",
     "packets_all": f"SELECT doc_id, length(t)::INTEGER AS n, md5(t) AS digest FROM (SELECT doc_id, {normal('text')} AS t FROM documents)",
-    "score_violations": f"WITH {ACCEPT}, {scored('a')} SELECT doc_id FROM v WHERE NOT overall_score BETWEEN 0.5 AND 0.9 OR NOT input_coverage_score BETWEEN 0.0 AND 0.5",
+    "score_violations": f"WITH {ACCEPT}, {scored('a')} SELECT doc_id FROM v WHERE NOT confidence BETWEEN 0.85 AND 1.0 OR NOT input_coverage_score BETWEEN 0.005 AND 0.2",
     "tool_outputs": f"""WITH {ACCEPT}, {scored('a')} SELECT request_id, 'none' AS config, 4 AS n_steps, NULL::DOUBLE AS overall_score, NULL::VARCHAR AS outputs, NULL::VARCHAR AS error_type, NULL::VARCHAR AS message FROM v
       UNION ALL SELECT request_id, 'calls', 4, round(overall_score, 9), 'letters=3,word_count=2', NULL, NULL FROM v UNION ALL SELECT request_id, 'fails', NULL, NULL, NULL, 'RuntimeError', 'no reasoner' FROM v""",
     "edges_added": f"WITH {E} SELECT edge_id, edge_pos, source_id, target_id FROM e UNION ALL SELECT edge_id, edge_pos + (SELECT max(edge_pos) + 1 FROM e), target_id, source_id FROM e",
@@ -197,10 +197,44 @@ ORACLES |= {
     "trace_store": f"""WITH t AS (SELECT {TRACE}) SELECT conv_id::VARCHAR AS request_id, CASE WHEN conv_id % 3 = 0 THEN 'again' ELSE 'conversation' END AS source, n_steps::INTEGER AS n_steps,
       row_number() OVER (ORDER BY conv_id % 3 = 0, conv_id::VARCHAR) - 1 AS place FROM t""",
     "trace_lookup": f"SELECT conv_id::VARCHAR AS request_id, text FROM (SELECT {TRACE}) ORDER BY conv_id LIMIT 1",
-    "ingested_files": """WITH c AS (SELECT conv_id, row_number() OVER (ORDER BY conv_id::VARCHAR || '/') - 1 AS pos FROM (SELECT DISTINCT conv_id FROM conversations)),
-      k AS (SELECT CASE pos % 50 WHEN 49 THEN 'UnsupportedFormat' WHEN 48 THEN 'NoPages' WHEN 47 THEN 'FileNotFound' END AS error_type FROM c) SELECT error_type, count(*) AS n, count(*) AS files FROM k GROUP BY error_type""",
+    "ingested_files": f"""WITH c AS (SELECT conv_id, {normal("string_agg(text, chr(10) || chr(10) ORDER BY turn) || chr(10)")} AS content FROM conversations GROUP BY conv_id),
+      k AS (SELECT *, row_number() OVER (ORDER BY conv_id::VARCHAR || '/') - 1 AS pos FROM c), e AS (SELECT *, CASE pos % 50 WHEN 49 THEN 'UnsupportedFormat' WHEN 48 THEN 'NoPages' WHEN 47 THEN 'FileNotFound' END AS error_type FROM k)
+      SELECT conv_id, CASE WHEN error_type IS NULL THEN length(content) END::INTEGER AS n, CASE WHEN error_type IS NULL THEN md5(content) END AS digest, error_type FROM e""",
     "parsed_items": f"""WITH c AS (SELECT DISTINCT conv_id FROM conversations), k AS (SELECT conv_id, CASE WHEN conv_id % 5 = 0 THEN 'InputNotAList' WHEN conv_id % 7 = 0 THEN 'InvalidJson' END AS e FROM c)
-      SELECT id, error_type, CASE WHEN error_type IS NOT NULL THEN 'items' END AS module, count(*) AS n FROM (SELECT turn::VARCHAR AS id, NULL AS error_type FROM conversations JOIN k USING (conv_id) WHERE e IS NULL AND {strip("coalesce(text, '')")} <> '' UNION ALL SELECT NULL, e FROM k WHERE e IS NOT NULL) GROUP BY ALL""",
+      SELECT turn::VARCHAR AS id, md5({strip("text")}) AS digest, NULL AS error_type, NULL AS module FROM conversations JOIN k USING (conv_id) WHERE e IS NULL AND {strip("coalesce(text, '')")} <> ''
+      UNION ALL SELECT NULL, NULL, e, 'items' FROM k WHERE e IS NOT NULL""",
     "parsed_relations": """SELECT [NULL, 'EntitiesNotAList', 'InputNotAnObject', 'MissingText'][1 + doc_id % 4] AS error_type, count(*) AS n, CASE WHEN doc_id % 4 = 0 THEN count(*) END AS entities, CASE WHEN doc_id % 4 < 2 THEN sum(length(text)) END::BIGINT AS chars FROM documents GROUP BY doc_id % 4""",
     "exported_scores": "SELECT vec_id, greatest(0.0, least(1.0, round(embedding[1]::DOUBLE * 4, 6)))::DOUBLE AS score, '{\"score\":0,\"vec_id\":0}' AS form FROM embeddings",
 }
+
+#: Sentences, their digits and what a softmax makes of them.
+SPANS = f"""{ORACLES["sentence_spans"].partition("SELECT doc_id, k::INTEGER")[0].replace("WITH a AS", "a AS")},
+  m AS (SELECT *, length(x) > {MOST_CHARS} AS failed, list_transform(range(1, {len(ROLES) + 1}), lambda j: (instr('0123456789abcdef', substr(md5(x), j, 1)) - 1) / 2.0::DOUBLE) AS l FROM d),
+  s AS (SELECT *, CASE WHEN NOT failed THEN {ROLES}[list_position(l, list_max(l))] END AS role, CASE WHEN NOT failed THEN 1 / list_sum(list_transform(l, lambda v: exp(v - list_max(l)))) END AS confidence FROM m)"""
+CONCEPTS = ", ".join(f"'{r}'" for r in CONCEPT_ROLES)
+INDEXED = ORACLES["eps_components"]
+TURNS = f"""t AS (SELECT source, {uuid5(NAMESPACE, "source")} AS request_id, text, CASE WHEN text = '' THEN 'Empty' WHEN length(text) > 10000 THEN 'MaxLength' END AS error_code
+  FROM (SELECT conv_id || ':' || turn AS source, {normal("coalesce(text, '')")} AS text FROM conversations))"""
+ORACLES |= {
+    "scored_spans": f"""WITH {SPANS} SELECT doc_id, k::INTEGER AS k, start::INTEGER AS start, (start + length(x))::INTEGER AS "end", role, round(confidence, 9) AS confidence, 'digits:softmax' AS provenance, CASE WHEN failed THEN 'roles:ValueError:span too long' ELSE '' END AS error FROM s""",
+    "role_term_motifs": f"""WITH {SPANS}, w AS (SELECT x AS text FROM s WHERE role IN ({CONCEPTS}) AND confidence > 0.3), t AS (SELECT DISTINCT unnest({TERM_LIST}) AS term FROM w),
+      g AS (SELECT count(*) AS n FROM t GROUP BY length(term), ascii(term), ascii(right(term, 1))), z AS (SELECT 'cluster' AS hypothesis_type, count(*) AS n FROM g WHERE n >= 3 UNION ALL SELECT 'chain', 2 * count(*) FROM g WHERE n >= 4) SELECT * FROM z WHERE n > 0""",
+    "link_strategies": f"{ORACLES['link_keyword']} UNION ALL SELECT * FROM ({ORACLES['link_sequential']})",
+    "rescored_links": f"""WITH {SEQUENTIAL}, y AS (SELECT s.*, length({normal("'Analyze the relationship between two documents.' || chr(10) || chr(10) || 'Source Document: ' || a.source || chr(10) || 'Source Content: ' || substr(a.text, 1, 500) || '...' || chr(10) || chr(10) || 'Target Document: ' || b.source || chr(10) || 'Target Content: ' || substr(b.text, 1, 500) || '...' || chr(10) || chr(10) || 'Proposed Link Type: sequential' || chr(10) || 'Hint: sequential_order:' || s.pos || chr(10) || chr(10) || 'Justify whether this link is valid and provide evidence.'")}) AS n
+        FROM s JOIN documents a ON a.doc_id = s.a JOIN documents b ON b.doc_id = s.b), v AS (SELECT *, CASE WHEN n > 800 THEN 0.65 ELSE 0.9 END::DOUBLE AS score FROM y)
+      SELECT a::VARCHAR AS source_document_id, b::VARCHAR AS target_document_id, CASE WHEN score >= 0.9 THEN 'edge' ELSE 'rejection' END AS outcome, score AS overall_score FROM v""",
+    "distinct_entities": """WITH w AS (SELECT conv_id || ':' || turn AS doc_id, list_filter(string_split_regex(text, '[ \\t\\n\\r]+'), lambda x: x <> '') AS ws FROM conversations),
+      t AS (SELECT doc_id, unnest(ws) AS text, unnest(range(len(ws))) AS i FROM w), p AS (SELECT *, coalesce(sum(length(text) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS idx FROM t)
+      SELECT doc_id, i::INTEGER AS ord, CASE WHEN i % 3 = 0 THEN 'again ' ELSE '' END || text AS text, idx::INTEGER AS start, (idx + length(text))::INTEGER AS "end" FROM p WHERE i % 5 IN (1, 3)""",
+    "compare_faults": f"""WITH {ACCEPT}, g AS (SELECT request_id, confidence, length(text) AS n FROM (SELECT *, CASE WHEN length(text) <= 5 THEN 0.5 WHEN length(text) <= 20 THEN 0.65 WHEN length(text) <= 100 THEN 0.8 ELSE 0.9 END::DOUBLE AS confidence FROM a WHERE error_code IS NULL))
+      SELECT request_id, 'plain' AS config, 4 AS n_steps, confidence, false AS failed, NULL::VARCHAR AS message FROM g
+      UNION ALL SELECT request_id, 'plugin', CASE WHEN n % 5 <> 0 THEN 2 END, CASE WHEN n % 5 <> 0 THEN 0.5 END, n % 5 = 0, CASE WHEN n % 5 = 0 THEN 'length' END FROM g UNION ALL SELECT request_id, 'stops', NULL, NULL, true, NULL FROM g""",
+    # an edge is in the forest if the lesser ones do not join its ends
+    "min_spanning_forest": f"""WITH RECURSIVE x AS (SELECT vec_id AS id, list_transform(embedding, lambda v: v::DOUBLE) AS e FROM embeddings),
+      l AS (SELECT a.id AS u, b.id AS v, list_distance(a.e, b.e) AS distance, row_number() OVER (ORDER BY list_distance(a.e, b.e), a.id, b.id) AS k FROM x a JOIN x b ON a.id < b.id AND list_distance(a.e, b.e) <= {FOREST_EPS}),
+      s AS (SELECT u AS a, v AS b, k FROM l UNION ALL SELECT v, u, k FROM l), r(k, x) AS (SELECT k, u FROM l UNION SELECT r.k, s.b FROM r JOIN s ON s.a = r.x AND s.k < r.k)
+      SELECT u, v, round(distance, 9) AS distance FROM l WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.k = l.k AND r.x = l.v)""",
+    "eps_components_indexed": INDEXED,
+    "stream_ingest": f"""WITH {TURNS}, {scored("t")} SELECT source, 'trace' AS outcome, round(overall_score, 9) AS overall_score FROM v UNION ALL SELECT source, error_code, NULL FROM t WHERE error_code IS NOT NULL""",
+    "stream_upsert": "SELECT conv_id::VARCHAR AS request_id, md5(arg_max(text, turn)) AS digest, arg_max(role, turn) AS role FROM conversations GROUP BY conv_id",
+}

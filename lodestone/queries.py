@@ -8,16 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import scoring
+from .functions.plugins import Plugin
 from .functions.staging import folder, kept
 from .functions.text import key_terms, split_words, uuid5
-from .operators import clusters, extract, graph, links, motifs, planner
+from .operators import clusters, components, extract, graph, links, models, motifs, planner
 from .plans import runs
-from .sources import ingest, traces
+from .sources import ingest, store, traces
+from .streaming import streams
 
 TS = "2024-01-01 00:00:00"
 ROLES = ["background", "objective", "method", "result", "finding", "conclusion", "other"]
 LEMMAS = [v for verbs in extract.VERBS.values() for v in verbs]
-EPS = 0.6
+EPS, FOREST_EPS = 0.6, 1.15
+#: Characters of a span that the stand-in model takes.
+MOST_CHARS = 300
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -291,13 +295,31 @@ def svo_relations(spark, sf_dir):
     return r.select("doc_id", "verb_i", "relation_type", "subject", "subject_start", "subject_end", "object", "object_start", "object_end", "predicate", F.round("confidence", 9).alias("confidence"), "pattern")
 
 
+def _digits():
+    """Stands for a model: a role's number is a digit of the span's digest. Long spans are too much for it."""
+    import hashlib
+
+    def run(spans):
+        if any(len(s) > MOST_CHARS for s in spans):
+            raise ValueError("span too long")
+        return [[int(x, 16) / 2 for x in hashlib.md5(s.encode()).hexdigest()[: len(ROLES)]] for s in spans]
+
+    return run
+
+
+def _spans(spark, sf_dir):
+    return models.scored_spans(table(spark, sf_dir, "documents"), Plugin("digits", _digits, "array<double>"), ROLES)
+
+
+def scored_spans(spark, sf_dir):
+    """Sentences with the role that a model gives them; those it fails on with its error."""
+    s = _spans(spark, sf_dir)
+    return s.select("doc_id", "k", "start", "end", "role", F.round("confidence", 9).alias("confidence"), F.concat_ws(":", "provenance.model", "provenance.strategy").alias("provenance"), F.concat_ws(":", "error.module", "error.error_type", "error.error").alias("error"))
+
+
 def role_term_motifs(spark, sf_dir):
-    """Sentences to roles, terms, clusters, concept graph and motifs."""
-    s = extract.sentence_spans(table(spark, sf_dir, "documents"), "doc_id", "text")
-    pick = F.get(F.array(*[F.lit(r) for r in ROLES]), F.pmod(F.crc32(F.col("span_text").cast("binary")), F.lit(len(ROLES))).cast("int"))
-    spans = s.select("span_text", pick.alias("role"), (F.pmod(F.length("span_text"), F.lit(10)) / 10.0).alias("confidence"))
-    digest = lambda k: F.conv(F.substring(F.md5("term"), 2 * k + 1, 2), 16, 10).cast("double") / 255  # noqa: E731  stands for a model's embedding
-    m = runs.concept_motifs(spans, lambda t: t.withColumn("embedding", F.array(*[digest(k) for k in range(4)])), 0.05)
+    """Sentences to roles, terms, clusters of like terms, concept graph and motifs."""
+    m = runs.concept_motifs(_spans(spark, sf_dir), lambda t: t.withColumn("embedding", F.array(F.length("term"), F.ascii("term"), F.ascii(F.right("term", F.lit(1)))).cast("array<double>")), 0.5)
     return m.groupBy("hypothesis_type").agg(F.count("*").alias("n"))
 
 
@@ -307,7 +329,7 @@ def packets_all(spark, sf_dir):
 
 
 def score_violations(spark, sf_dir):
-    return scoring.violations(score_documents(spark, sf_dir), overall_score=(0.5, 0.9), input_coverage_score=(0.0, 0.5)).select("doc_id")
+    return scoring.violations(score_documents(spark, sf_dir), confidence=(0.85, 1.0), input_coverage_score=(0.005, 0.2)).select("doc_id")
 
 
 def tool_outputs(spark, sf_dir):
@@ -346,25 +368,26 @@ def endpoints_resolved(spark, sf_dir):
 
 
 def trace_store(spark, sf_dir):
-    """Traces stored, a third of them stored again later with other input, read back in the order of time."""
-    path = f"{folder(spark)}/traces-{uuid.uuid4().hex}"
+    """Traces stored, a third of them stored again later with other input, the store compacted, then read in the order of time."""
+    s = store.Store(spark, f"{folder(spark)}/traces-{uuid.uuid4().hex}")
     t = conversation_traces(spark, sf_dir)
-    traces.store(t, path)
+    s.put(t)
     again = t.filter(F.col("request_id").cast("long") % 3 == 0)
-    traces.store(again.withColumns({"created_at": F.lit("2024-01-02 00:00:00").cast("timestamp"), "input": F.col("input").withField("source", F.lit("again"))}), path, seq=1)
-    r = traces.list_all(traces.read(spark, path)).select("request_id", F.col("input.source").alias("source"), F.size("reasoning.reasoning_steps").alias("n_steps"), F.monotonically_increasing_id().alias("_n"))
+    s.put(again.withColumns({"created_at": F.lit("2024-01-02 00:00:00").cast("timestamp"), "input": F.col("input").withField("source", F.lit("again"))}), 1)
+    s.compact()
+    r = traces.list_all(s.last()).select("request_id", F.col("input.source").alias("source"), F.size("reasoning.reasoning_steps").alias("n_steps"), F.monotonically_increasing_id().alias("_n"))
     return links.dense_positions(r, "_n").select("request_id", "source", "n_steps", F.col("doc_pos").alias("place"))
 
 
 def trace_lookup(spark, sf_dir):
     """The trace of the request with the least id, looked up in the store; then the store is cleared, and has none."""
-    path = f"{folder(spark)}/traces-{uuid.uuid4().hex}"
+    s = store.Store(spark, f"{folder(spark)}/traces-{uuid.uuid4().hex}")
     t = conversation_traces(spark, sf_dir)
-    traces.store(t, path)
+    s.put(t)
     least = t.agg(F.min(F.col("request_id").cast("long")).cast("string")).first()[0]
-    found = kept(traces.retrieve(spark, path, least).select("request_id", F.col("input.text").alias("text")), "found")
-    traces.clear(spark, path)
-    return found.unionByName(traces.retrieve(spark, path, least).select("request_id", F.col("input.text").alias("text")))
+    found = kept(s.get(least).select("request_id", F.col("input.text").alias("text")), "found")
+    s.clear()
+    return found.unionByName(s.get(least).select("request_id", F.col("input.text").alias("text")))
 
 
 def ingested_files(spark, sf_dir):
@@ -378,7 +401,7 @@ def ingested_files(spark, sf_dir):
     good, bad = ingest.ingest(spark, m, "corpus")
     conv = F.regexp_extract("path", "conv_id=([0-9]+)", 1).cast("long").alias("conv_id")
     good = good.withColumn("path", F.col("source")).select(conv, F.length("content").alias("n"), F.md5("content").alias("digest"), F.lit(None).cast("string").alias("error_type"))
-    return good.unionByName(bad.select(conv, F.lit(None).cast("int").alias("n"), F.lit(None).cast("string").alias("digest"), "error_type")).groupBy("error_type").agg(F.count("*").alias("n"), F.count_distinct("conv_id").alias("files"))
+    return good.unionByName(bad.select(conv, F.lit(None).cast("int").alias("n"), F.lit(None).cast("string").alias("digest"), "error_type"))
 
 
 def parsed_items(spark, sf_dir):
@@ -386,7 +409,8 @@ def parsed_items(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
     items = F.to_json(F.transform("t", lambda x: F.struct(x["turn"].cast("string").alias("id"), x["text"].alias("text"))))
     value = F.when(F.col("conv_id") % 5 == 0, F.concat(F.lit('{"items": '), items, F.lit("}"))).when(F.col("conv_id") % 7 == 0, F.substring(items, 1, 20)).otherwise(items)
-    return extract.parse_items(c.select(value.alias("value"))).groupBy("id", "error.error_type", "error.module").agg(F.count("*").alias("n"))
+    found = extract.parse_items(c.select(value.alias("value")))
+    return found.select("id", F.when(F.col("error").isNull(), F.md5("text")).alias("digest"), "error.error_type", "error.module")
 
 
 def parsed_relations(spark, sf_dir):
@@ -405,11 +429,102 @@ def exported_scores(spark, sf_dir):
     return j.select(F.get_json_object("value", "$.vec_id").cast("long").alias("vec_id"), F.get_json_object("value", "$.score").cast("double").alias("score"), F.regexp_replace("value", "[0-9.E-]+", "0").alias("form"))
 
 
+def link_strategies(spark, sf_dir):
+    """Candidates by the strategies' names: of a keyword and of the order."""
+    named = links.candidates(documents(spark, sf_dir), "keyword_overlap", keyword="License")
+    return named.unionByName(links.candidates(in_order(spark, sf_dir), "sequential"))
+
+
+def rescored_links(spark, sf_dir):
+    """The links of link_outcomes under a scorer that takes the confidence as the score."""
+    c = links.sequential_links(in_order(spark, sf_dir))
+    j = links.justify(c, documents(spark, sf_dir), TS, threshold=0.9, scorer=lambda d: d.withColumn("overall_score", F.col("confidence") - F.when(F.length("text") > 800, 0.25).otherwise(0.0)))
+    return j.select("source_document_id", "target_document_id", "outcome", F.round("overall_score", 9).alias("overall_score"))
+
+
+def distinct_entities(spark, sf_dir):
+    """Words of conversations as entities, some given again under another text, some with spans that are empty or negative."""
+    _, e = annotated_tokens(spark, sf_dir)
+    again = e.filter("ord % 3 = 0").withColumns({"ord": F.col("ord") + 100_000, "text": F.concat(F.lit("again "), "text")})
+    bad = e.filter("ord % 4 = 0").withColumns({"start": F.when(F.col("ord") % 8 == 0, -1).otherwise(F.col("end")), "ord": F.col("ord") + 200_000})
+    return extract.valid_entities(e.unionByName(again).unionByName(bad)).select("doc_id", "ord", "text", "start", "end")
+
+
+def compare_faults(spark, sf_dir):
+    """Configurations whose reasoners fail: a plug-in on some rows, a function of the table as it runs."""
+
+    def model():
+        def run(texts):
+            if any(len(t) % 5 == 0 for t in texts):
+                raise ValueError("length")
+            return [{"steps": ["Read.", "Done."], "confidence": 0.5} for _ in texts]
+
+        return run
+
+    p = scoring.accepted(scoring.accept(raw_inputs(spark, sf_dir))).withColumn("ts", F.lit(TS).cast("timestamp"))
+    stops = lambda d: scoring.reason(d).withColumn("confidence", F.when(F.length("text") > 0, F.raise_error(F.lit("stopped"))).otherwise(F.col("confidence")))
+    configs = spark.createDataFrame([(0, "plain", "default", True), (1, "plugin", "plugin", True), (2, "stops", "stops", False)], "pos int, name string, reasoner string, evaluate boolean")
+    c = runs.compare(p, configs, {"default": scoring.reason, "plugin": Plugin("two", model, "struct<steps:array<string>,confidence:double>"), "stops": stops})
+    return c.select("request_id", "config", F.size("steps").alias("n_steps"), "confidence", F.col("error").isNotNull().alias("failed"), F.when(F.col("config") == "plugin", F.col("error.message")).alias("message"))
+
+
+def min_spanning_forest(spark, sf_dir):
+    """The minimum spanning forest of vectors at most FOREST_EPS apart."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    f = components.spanning_forest(clusters.links_within(e, FOREST_EPS))
+    return f.select("u", "v", F.round("distance", 9).alias("distance"))
+
+
+def eps_components_indexed(spark, sf_dir):
+    """The clusters of eps_components by the approximate index."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    return clusters.threshold_clusters(e, EPS, clusters.near_links)
+
+
+def cluster_hierarchy(spark, sf_dir):
+    """Clusters that persist in the hierarchy of the forest, summed up with how much they do."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    forest = components.spanning_forest(clusters.links_within(e.withColumnRenamed("vec_id", "id"), FOREST_EPS))
+    labels, value = clusters.hierarchy(forest, FOREST_EPS)
+    items = e.join(labels, F.col("vec_id") == F.col("id")).select(F.col("vec_id").cast("string").alias("id"), F.col("vec_id").alias("pos"), F.concat(F.lit("item "), F.col("vec_id").cast("string")).alias("text"), "embedding", "label", F.lit(1.0).alias("probability"))
+    s = clusters.summarise(items, value)
+    return s.select("cluster_id", "size", "representative_id", F.round("least_d2", 6).alias("least_d2"), F.round("stability", 6).alias("stability"))
+
+
+def _turns_as_files(spark, sf_dir, columns):
+    """Conversations' turns written to a few files, for a stream to read one after the other."""
+    path = f"{folder(spark)}/turns-{uuid.uuid4().hex}"
+    d = table(spark, sf_dir, "conversations").selectExpr(*columns)
+    d.repartition(3).write.parquet(path)
+    return spark.readStream.schema(d.schema).option("maxFilesPerTrigger", 2).parquet(path)
+
+
+def stream_ingest(spark, sf_dir):
+    """Turns as a stream of texts to stored traces and rejects."""
+    path = f"{folder(spark)}/stream-{uuid.uuid4().hex}"
+    raw = _turns_as_files(spark, sf_dir, ["text", "concat(conv_id, ':', turn) AS source"])
+    streams.start(raw, TS, f"{path}/traces", f"{path}/rejects", f"{path}/checkpoint").awaitTermination()
+    good = traces.read(spark, f"{path}/traces").select(F.col("input.source").alias("source"), F.lit("trace").alias("outcome"), F.round("evaluation.overall_score", 9).alias("overall_score"))
+    return good.unionByName(spark.read.schema("source string, error_code string").parquet(f"{path}/rejects").select("source", F.col("error_code").alias("outcome"), F.lit(None).cast("double").alias("overall_score")))
+
+
+def stream_upsert(spark, sf_dir):
+    """Turns as versions of their conversation's trace, late ones among them: the store keeps the last of each."""
+    path = f"{folder(spark)}/store-{uuid.uuid4().hex}"
+    at = f"timestamp '{TS}' + make_interval(0, 0, 0, 0, 0, 0, turn)"
+    body = "struct(text, CAST(conv_id AS STRING) AS request_id, '' AS timestamp, role AS source)"
+    raw = _turns_as_files(spark, sf_dir, ["CAST(conv_id AS STRING) AS request_id", f"{body} AS input", "struct(array(text) AS reasoning_steps, 0.5D AS confidence_score) AS reasoning", f"CAST(NULL AS {traces.EVALUATION}) AS evaluation", "CAST(NULL AS array<struct<name:string,input:string,output:string>>) AS tool_calls", f"{at} AS created_at"])
+    s = store.Store(spark, f"{path}/store")
+    streams.upsert(raw, s, f"{path}/checkpoint", every=2).awaitTermination()
+    return s.last().select("request_id", F.md5("input.text").alias("digest"), F.col("input.source").alias("role"))
+
+
 QUERIES = (
     packets_accept, reject_counts, score_documents, run_conclusions, compare_configs, link_keyword, link_metadata, link_sequential, link_outcomes, plan_gap, plan_contradiction, plan_weak, plan_top,
     node_degrees, pair_types, dangling_edges, graph_identifiers, motif_gap, motif_cluster, motif_hub, motif_contradiction, motif_chain, motif_counts, trace_replay, trace_round_trip, trace_versions, page_assembly,
     cluster_summary, concept_edges, token_pool, role_softmax, eps_components, document_terms, distinct_terms, sentence_spans, svo_relations, role_term_motifs,
     link_keyword_groups, link_metadata_groups, packets_all, score_violations, tool_outputs, edges_added, document_nodes, endpoints_resolved, trace_store, trace_lookup, ingested_files, parsed_items, parsed_relations, exported_scores,
+    scored_spans, link_strategies, rescored_links, distinct_entities, compare_faults, min_spanning_forest, eps_components_indexed, cluster_hierarchy, stream_ingest, stream_upsert,
 )
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import normalise, strip
@@ -10,9 +12,14 @@ from ..functions.text import normalise, strip
 FORMATS = ("text", "pdf")
 
 
+def literal(path: str) -> str:
+    """A path whose characters all stand for themselves, for readers that take patterns."""
+    return re.sub(r"([\\\[\]{}*?])", r"\\\1", path)
+
+
 def read_texts(spark: SparkSession, *paths: str) -> DataFrame:
-    """One row per file: path, content, metadata, error_type. A file that is not UTF-8 or is blank is a rejected row."""
-    f = spark.read.format("binaryFile").load(list(paths))
+    """One row per file: path, content, metadata, error_type. A file that is not UTF-8 or is blank is a rejected row. Paths are taken literally; of a folder its files are read."""
+    f = spark.read.format("binaryFile").load([literal(p) for p in paths])
     text = F.try_validate_utf8(F.col("content").cast("string"))
     d = f.select("path", normalise(text).alias("content"), text.isNull().alias("_bad"), F.create_map(F.lit("file_size"), F.col("length").cast("string"), F.lit("encoding"), F.lit("utf-8")).alias("metadata"))
     return d.withColumn("error_type", F.when(F.col("_bad"), "UnicodeDecodeError").when(F.col("content") == "", "EmptyDocument")).drop("_bad")
@@ -26,27 +33,34 @@ def assemble_pages(pages: DataFrame, doc_col: str, page_col: str, text_col: str)
     return d.withColumn("error_type", F.when(F.col("content") == "", "EmptyDocument"))
 
 
+def _key(path: str) -> Column:
+    """A path without scheme, for comparison: readers give URIs with some characters escaped, a manifest names files as they are."""
+    return F.regexp_replace(path, "^file:/*", "/")
+
+
 def ingest(spark: SparkSession, manifest: DataFrame, corpus_id: str, pages: DataFrame | None = None, created_at=None) -> tuple[DataFrame, DataFrame]:
     """manifest (pos, path, format) to documents and failures. pages (path, page_no, text) stands for extracted PDF pages; without it a PDF is a failure.
 
     Each row of the manifest is in one of the two; a null path or format is a failure; repeated rows are
-    ingested one by one.
+    ingested one by one. Names are taken literally, whatever characters they hold. Files are found by a
+    listing of their folders that is joined with the manifest by path, so the driver holds the names
+    of folders but of no file; contents are read in tasks, by folder, and joined last.
     """
     bad = manifest.filter(~F.coalesce(F.col("format").isin(*FORMATS), F.lit(False))).select("pos", "path", F.lit("UnsupportedFormat").alias("error_type"))
-    wanted = manifest.filter("format = 'text'").withColumn("_key", F.regexp_replace("path", "^file:/*", "/"))
-    folders = [r["f"] for r in wanted.select(F.regexp_replace("_key", "/[^/]*$", "").alias("f")).distinct().filter("f IS NOT NULL").collect()]
-    folders = [f for f in folders if _exists(spark, f)]
-    nothing = {"content": F.lit(None).cast("string"), "metadata": F.lit(None).cast("map<string,string>"), "error_type": F.lit(None).cast("string")}
-    # folders are listed once, without reading; then only the wanted files that are there are read
-    there = [r["path"] for r in spark.read.format("binaryFile").load(folders).select("path").withColumn("_key", F.regexp_replace("path", "^file:/*", "/")).join(wanted, "_key", "left_semi").collect()] if folders else []
-    if there:
-        texts = read_texts(spark, *there).withColumn("_key", F.regexp_replace("path", "^file:/*", "/")).drop("path")
+    wanted = manifest.filter("format = 'text'").withColumn("_key", _key("path"))
+    folders = [r["f"] for r in wanted.select(F.regexp_replace("_key", "/[^/]*$", "").alias("f")).filter("f IS NOT NULL").distinct().collect()]
+    folders = _existing(spark, folders)
+    if folders:
+        texts = read_texts(spark, *folders).withColumn("_key", _key("path")).drop("path")
+        here = wanted.select(F.col("_key").alias("_w")).distinct()
+        texts = texts.join(here, F.col("_key") == F.col("_w"), "left_semi")  # before anything else moves: other files of the folders go
         texts = wanted.join(texts, "_key", "left").drop("_key")
     else:
+        nothing = {"content": F.lit(None).cast("string"), "metadata": F.lit(None).cast("map<string,string>"), "error_type": F.lit(None).cast("string")}
         texts = wanted.drop("_key").withColumns(nothing)
     texts = texts.withColumn("error_type", F.when(F.col("metadata").isNull(), "FileNotFound").otherwise(F.col("error_type")))
     if pages is None:
-        pdf = manifest.filter("format = 'pdf'").withColumns(nothing | {"error_type": F.lit("NoPages")})
+        pdf = manifest.filter("format = 'pdf'").select("*", F.lit(None).cast("string").alias("content"), F.lit(None).cast("map<string,string>").alias("metadata"), F.lit("NoPages").alias("error_type"))
     else:
         docs = assemble_pages(pages, "path", "page_no", "text").withColumnRenamed("doc", "path")
         docs = docs.withColumn("metadata", F.create_map(F.lit("page_count"), F.col("page_count").cast("string"), F.lit("extracted_pages"), F.col("extracted_pages").cast("string"))).drop("page_count", "extracted_pages")
@@ -58,15 +72,18 @@ def ingest(spark: SparkSession, manifest: DataFrame, corpus_id: str, pages: Data
     return good, bad.unionByName(found.filter("error_type IS NOT NULL").select("pos", "path", "error_type"))
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    """Whether Spark's own file systems have the path."""
+def _existing(spark: SparkSession, folders: list[str]) -> list[str]:
+    """The folders that are there. All are tried at once; only if one is missing, halves are tried by themselves."""
     from pyspark.errors import AnalysisException
 
+    if not folders:
+        return []
     try:
-        spark.read.format("binaryFile").load(path).schema  # noqa: B018  resolving checks the path
-        return True
+        spark.read.format("binaryFile").load([literal(f) for f in folders]).schema  # noqa: B018  resolving checks the paths
+        return folders
     except AnalysisException:
-        return False
+        half = len(folders) // 2
+        return _existing(spark, folders[:half]) + _existing(spark, folders[half:]) if half else []
 
 
 def as_packets(documents: DataFrame) -> DataFrame:

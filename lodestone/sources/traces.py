@@ -34,12 +34,12 @@ def store(traces: DataFrame, path: str, seq: int = 0) -> None:
     traces.withColumn("seq", F.lit(seq).cast("long")).repartitionByRange("request_id").sortWithinPartitions("request_id").write.mode("append").parquet(path)
 
 
-def last_versions(d: DataFrame) -> DataFrame:
+def last_versions(d: DataFrame, keep_seq: bool = False) -> DataFrame:
     """The last version of each request: latest created_at, then largest seq, then the greatest of the rest, so that ties agree from run to run."""
     rest = [c for c in d.columns if c not in ("request_id", "created_at", "seq", "batch")]
     rest = [F.desc(F.to_json(F.struct(*rest)))] if rest else []
     w = W.partitionBy("request_id").orderBy(F.desc("created_at"), F.desc("seq"), *rest)
-    return d.withColumn("_k", F.row_number().over(w)).filter("_k = 1").drop("_k", "seq", "batch")
+    return d.withColumn("_k", F.row_number().over(w)).filter("_k = 1").drop("_k", *([] if keep_seq else ["seq", "batch"]))
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scoring
 from ..functions.text import uuid5
 from ..sources import traces
+from ..sources.store import Store
 
 NAMESPACE = "6ba7b811-9dad-11d1-80b4-00c04fd430c8"
 
@@ -36,3 +37,26 @@ def start(raw: DataFrame, ts, out: str, rejects: str, checkpoint: str):
         batch.unpersist()
 
     return judged(raw, ts).writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def upsert(traces_stream: DataFrame, store: Store, checkpoint: str, keep: str = "last", delay: str = "1 hour", every: int = 10):
+    """A stream of traces into a store; stops when what is there has been read.
+
+    keep="last": of a request the version of the latest created_at stays, in whatever order versions
+    arrive; a batch's rows are appended under its number, and every so many batches the store is
+    compacted. A batch that runs again after a failure appends the same versions again, which changes
+    nothing. keep="first": of a request the first to arrive stays and those that follow it within the
+    delay are dropped by a keyed state, which forgets a request once the watermark has passed it by the
+    delay; after that it counts as new.
+    """
+    if keep not in ("last", "first"):
+        raise ValueError("keep must be last or first")
+    if keep == "first":
+        traces_stream = traces_stream.withWatermark("created_at", delay).dropDuplicatesWithinWatermark(["request_id"])
+
+    def each(batch: DataFrame, n: int) -> None:
+        store.put(batch, n)
+        if (n + 1) % every == 0:
+            store.compact()
+
+    return traces_stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
