@@ -175,7 +175,9 @@ def test_simhash(docs, small):
         assert kept.columns == d.columns and kept.count() == len(set(root.values()))
 
 
-def test_tiles_lose_no_link(spark):
+@pytest.mark.parametrize("at_once", [1 << 18, 20, 0])
+def test_tiles_lose_no_link(spark, monkeypatch, at_once):
+    monkeypatch.setattr(simhash, "AT_ONCE", at_once)
     r = np.random.default_rng(1)
     base = r.integers(0, 1 << 63, 40)
     values = sorted({int(b) ^ sum(1 << int(k) for k in r.choice(63, n, replace=False)) for b in base for n in (0, 2, 4)})
