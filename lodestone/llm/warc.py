@@ -9,7 +9,8 @@ Of records with equal payloads of at least least_bytes, the one with the largest
 response and the others revisit it; smaller ones are all responses (their bytes are stored once
 nevertheless).
 
-Defined results: null html is an empty payload; a null url has no target header; a null page id is
+Defined results: null html is an empty payload; a null url has no target header; line breaks in a
+url are percent-encoded, its other characters stay; a record whose payload is lost stops the reader; a null page id is
 below all others; of repeated rows with the largest id exactly one is the response and the others
 revisit it; an empty table gives an empty archive.
 """
@@ -74,24 +75,31 @@ def _payloads(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _headers(spark: SparkSession, path: str) -> DataFrame:
-    h = spark.read.schema("header binary").parquet(f"{path}/headers").withColumn("_text", F.decode("header", "UTF-8"))
-    value = lambda name: F.nullif(F.regexp_extract("_text", rf"(?m)^{name}: ([^\r\n]*)\r?$", 1), F.lit(""))
+    """The fields of each record's own header block, which ends at the first empty line. Lines end at a line feed only, whatever else a url holds."""
+    h = spark.read.schema("header binary").parquet(f"{path}/headers").withColumn("_text", F.substring_index(F.decode("header", "UTF-8"), END + END, 1))
+    value = lambda name: F.nullif(F.regexp_extract("_text", rf"(?md)^{name}: ([^\r\n]*)\r?$", 1), F.lit(""))
     return h.select(
         "header", value("X-Page-ID").cast("long").alias("page_id"), value("WARC-Target-URI").alias("url"), value("WARC-Type").alias("record_type"),
         F.regexp_replace(value("WARC-Payload-Digest"), "^sha256:", "").alias("digest"), value("X-Refers-To-Page-ID").cast("long").alias("refers_to"),
     )
 
 
+def _joined(spark: SparkSession, path: str, *columns) -> DataFrame:
+    """Headers with columns of their payloads; a record whose payload is not there stops the job."""
+    p = _payloads(spark, path).select(F.col("digest").alias("_digest"), *columns)
+    h = _headers(spark, path)
+    j = h.join(p, h["digest"] == F.col("_digest"), "left")
+    lost = F.raise_error(F.concat(F.lit("no payload for the record of page "), F.coalesce(F.col("page_id").cast("string"), F.lit("null"))))
+    return j.withColumn("record_type", F.when(F.col("_digest").isNull(), lost).otherwise(F.col("record_type")))
+
+
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
     """One row per record: page_id, url, payload_bytes, payload_digest (SHA-1 of the full payload), record_type, refers_to."""
-    p = _payloads(spark, path).select(F.col("digest").alias("_digest"), F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"))
-    h = _headers(spark, path)
-    return h.join(p, h["digest"] == F.col("_digest")).select("page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    j = _joined(spark, path, F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"))
+    return j.select("page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def reconstruct(spark: SparkSession, path: str) -> DataFrame:
     """One row per record: page_id, record_type, payload (of revisits too) and record, the original record's bytes."""
-    p = _payloads(spark, path).select(F.col("digest").alias("_digest"), "payload")
-    h = _headers(spark, path)
     body = F.when(F.col("record_type") == "response", F.col("payload")).otherwise(F.lit(b""))
-    return h.join(p, h["digest"] == F.col("_digest")).select("page_id", "record_type", "payload", F.concat("header", body, F.lit((END + END).encode())).alias("record"))
+    return _joined(spark, path, "payload").select("page_id", "record_type", "payload", F.concat("header", body, F.lit((END + END).encode())).alias("record"))

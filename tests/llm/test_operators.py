@@ -224,6 +224,36 @@ def test_mixing(docs, small):
     assert sorted(map(str, rows(mixing.mixture(docs)))) == sorted(map(str, rows(mixing.mixture(docs)))) and mixing.mixture(docs).columns == docs.columns
 
 
+def test_warc_with_odd_urls(spark):
+    """No character of a url starts a header line, and records come back byte for byte."""
+    import pyarrow.parquet as pq
+
+    marks = ["\u2028", "\u2029", "\x85", "\x0b", "\x0c", "\x1c", "\r", "\n", "\r\n\r\n", "\0"]
+    data = [(k, f"http://x{m}{field}", "<p>" * 500 + str(k % 4)) for k, (m, field) in enumerate((m, f) for m in marks for f in ("WARC-Payload-Digest: sha256:zz", "X-Page-ID: 999", "WARC-Type: revisit", "\r\n\r\nContent-Length: 0"))]
+    data += [(500, None, None), (501, "", "a\r\n\r\nX-Page-ID: 7"), (None, "u", "<p>" * 500)]
+    d = spark.createDataFrame(data, "page_id long, url string, html string")
+    path = shared_path(spark, "warc")
+    warc.write_archive(d, path)
+    got = {r["page_id"]: r for r in rows(warc.read_archive(spark, path))}
+    assert len(got) == len(data)
+    for k, url, html in data:
+        assert got[k]["payload_digest"] == hashlib.sha1((html or "").encode()).hexdigest()
+        assert got[k]["url"] == (url.replace("\r", "%0D").replace("\n", "%0A") if url else None)
+    again = {r["page_id"]: r for r in rows(warc.reconstruct(spark, path))}
+    assert len(again) == len(data)
+    html = {k: (h or "").encode() for k, _, h in data}
+    for k, r in again.items():
+        head, _, rest = bytes(r["record"]).partition(b"\r\n\r\n")
+        size = int(re.search(rb"\r\nContent-Length: (\d+)$", head).group(1))
+        assert rest[size:] == b"\r\n\r\n"  # the length that the header states is that of the block
+        http, _, body = rest[:size].partition(b"\r\n\r\n")
+        assert http.startswith(b"HTTP/1.1 200 OK") and body == (html[k] if r["record_type"] == "response" else b"") and bytes(r["payload"]) == html[k]
+    lost = [f for f in __import__("glob").glob(f"{path}/payloads/*.parquet") if pq.read_table(f).num_rows]
+    __import__("os").remove(lost[0])
+    with pytest.raises(Exception, match="no payload for the record"):
+        warc.read_archive(spark, path).collect()
+
+
 def test_warc(spark):
     big = "<p>" + "x" * 2000
     data = [(1, "http://a", big), (2, None, big), (3, "http://c\r\nX: y", big), (3, "http://c\r\nX: y", big), (4, "d", "small"), (5, "e", "small"), (6, "f", None), (None, "g", big)]
