@@ -19,21 +19,29 @@ def pool(tokens: DataFrame) -> DataFrame:
     return m.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("dim", "x"))).alias("v")).select("id", F.transform("v", lambda p: p["x"]).alias("embedding"))
 
 
-def summarise(items: DataFrame, persistence: DataFrame | None = None) -> DataFrame:
-    """items (id, pos, text, embedding, label, probability) to clusters with members, centroid distance and representative; noise (label < 0) falls out."""
+def members(items: DataFrame) -> DataFrame:
+    """items (id, pos, embedding, label, ...) with cluster_id and d2, the squared distance to the cluster's centroid: a row per member, however large a cluster is. Noise (label < 0, null) falls out; an embedding that is null has d2 null."""
     d = items.filter("label >= 0").withColumn("embedding", F.col("embedding").cast("array<double>"))
     means = d.select("label", F.posexplode("embedding").alias("dim", "x")).groupBy("label", "dim").agg(F.avg("x").alias("x"))
-    centre = means.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("dim", "x"))).alias("v")).select("label", F.transform("v", lambda p: p["x"]).alias("centroid"))
-    j = d.join(centre, "label").withColumn("d2", F.aggregate(F.zip_with("embedding", "centroid", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
-    g = j.groupBy(F.col("label").alias("cluster_id")).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda m: m["id"]).alias("member_ids"), F.min_by(F.struct("id", "text"), F.struct("d2", "pos")).alias("r"),
+    centre = means.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("dim", "x"))).alias("v")).select(F.col("label").alias("cluster_id"), F.transform("v", lambda p: p["x"]).alias("centroid"))
+    j = d.join(centre, F.col("label") == F.col("cluster_id"))
+    return j.withColumn("d2", F.aggregate(F.zip_with("embedding", "centroid", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)).drop("centroid", "label")
+
+
+def summarise(items: DataFrame, persistence: DataFrame | None = None, gather: bool = True) -> DataFrame:
+    """items (id, pos, text, embedding, label, probability) to clusters with centroid distance and representative, and with all their members if gather; members() has those as rows.
+
+    Noise falls out; of equally near items the one of the least pos represents; repeated rows count.
+    """
+    g = members(items).groupBy("cluster_id").agg(
+        *([F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda m: m["id"]).alias("member_ids")] if gather else []), F.min_by(F.struct("id", "text"), F.struct("d2", "pos")).alias("r"),
         F.count("*").alias("size"), F.avg("probability").alias("mean_probability"), F.min("d2").alias("least_d2"),
     )
     if persistence is not None:
         g = g.join(persistence.select(F.col("label").alias("cluster_id"), F.col("value").alias("_p")), "cluster_id", "left")
     else:
         g = g.withColumn("_p", F.lit(0.0))
-    return g.select("cluster_id", "member_ids", F.col("r.id").alias("representative_id"), F.col("r.text").alias("representative_text"), "size", "mean_probability", "least_d2", clamp(F.coalesce("_p", F.lit(0.0))).alias("stability"))
+    return g.select("cluster_id", *(["member_ids"] if gather else []), F.col("r.id").alias("representative_id"), F.col("r.text").alias("representative_text"), "size", "mean_probability", "least_d2", clamp(F.coalesce("_p", F.lit(0.0))).alias("stability"))
 
 
 #: Rows of a block, as a power of two, and pivots by which pairs of blocks are ruled out.

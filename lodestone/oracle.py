@@ -199,7 +199,7 @@ ORACLES |= {
     "trace_lookup": f"SELECT conv_id::VARCHAR AS request_id, text FROM (SELECT {TRACE}) ORDER BY conv_id LIMIT 1",
     "ingested_files": f"""WITH c AS (SELECT conv_id, {normal("string_agg(text, chr(10) || chr(10) ORDER BY turn) || chr(10)")} AS content FROM conversations GROUP BY conv_id),
       k AS (SELECT *, row_number() OVER (ORDER BY conv_id::VARCHAR || '/') - 1 AS pos FROM c), e AS (SELECT *, CASE pos % 50 WHEN 49 THEN 'UnsupportedFormat' WHEN 48 THEN 'NoPages' WHEN 47 THEN 'FileNotFound' END AS error_type FROM k)
-      SELECT conv_id, CASE WHEN error_type IS NULL THEN length(content) END::INTEGER AS n, CASE WHEN error_type IS NULL THEN md5(content) END AS digest, error_type FROM e""",
+      SELECT conv_id, pos, CASE WHEN error_type IS NULL THEN 'corpus' END AS corpus_id, CASE WHEN error_type IS NULL THEN length(content) END::INTEGER AS n, CASE WHEN error_type IS NULL THEN md5(content) END AS digest, error_type FROM e""",
     "parsed_items": f"""WITH c AS (SELECT DISTINCT conv_id FROM conversations), k AS (SELECT conv_id, CASE WHEN conv_id % 5 = 0 THEN 'InputNotAList' WHEN conv_id % 7 = 0 THEN 'InvalidJson' END AS e FROM c)
       SELECT turn::VARCHAR AS id, md5({strip("text")}) AS digest, NULL AS error_type, NULL AS module FROM conversations JOIN k USING (conv_id) WHERE e IS NULL AND {strip("coalesce(text, '')")} <> ''
       UNION ALL SELECT NULL, NULL, e, 'items' FROM k WHERE e IS NOT NULL""",
@@ -216,6 +216,8 @@ INDEXED = ORACLES["eps_components"]
 TURNS = f"""t AS (SELECT source, {uuid5(NAMESPACE, "source")} AS request_id, text, CASE WHEN text = '' THEN 'Empty' WHEN length(text) > 10000 THEN 'MaxLength' END AS error_code
   FROM (SELECT conv_id || ':' || turn AS source, {normal("coalesce(text, '')")} AS text FROM conversations))"""
 ORACLES |= {
+    "cluster_members": """WITH u AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS dim FROM embeddings WHERE label >= 0), c AS (SELECT label, dim, avg(x) AS m FROM u GROUP BY label, dim)
+      SELECT u.label AS cluster_id, vec_id, round(sum((x - m) * (x - m)), 6) AS d2 FROM u JOIN c USING (label, dim) GROUP BY u.label, vec_id""",
     "scored_spans": f"""WITH {SPANS} SELECT doc_id, k::INTEGER AS k, start::INTEGER AS start, (start + length(x))::INTEGER AS "end", role, round(confidence, 9) AS confidence, 'digits:softmax' AS provenance, CASE WHEN failed THEN 'roles:ValueError:span too long' ELSE '' END AS error FROM s""",
     "role_term_motifs": f"""WITH {SPANS}, w AS (SELECT x AS text FROM s WHERE role IN ({CONCEPTS}) AND confidence > 0.3), t AS (SELECT DISTINCT unnest({TERM_LIST}) AS term FROM w),
       g AS (SELECT count(*) AS n FROM t GROUP BY length(term), ascii(term), ascii(right(term, 1))), z AS (SELECT 'cluster' AS hypothesis_type, count(*) AS n FROM g WHERE n >= 3 UNION ALL SELECT 'chain', 2 * count(*) FROM g WHERE n >= 4) SELECT * FROM z WHERE n > 0""",

@@ -64,7 +64,7 @@ def graph_k(spark, sf_dir):
     """All documents as nodes; of the links in order those that are justified as edges."""
     d = documents(spark, sf_dir)
     nodes = d.select(F.col("document_id").alias("node_id"), F.col("doc_pos").alias("node_pos"), "document_id", F.concat_ws(":", "source", "document_id").alias("label"), F.lit("document").alias("node_type"))
-    return graph.Graph("documents", nodes, links.edges_of(justified(spark, sf_dir), TS))
+    return graph.Graph("documents", nodes, kept(links.edges_of(justified(spark, sf_dir), TS), "edges"))
 
 
 def packets_accept(spark, sf_dir):
@@ -235,6 +235,12 @@ def cluster_summary(spark, sf_dir):
     return s.select("cluster_id", F.array_join("member_ids", ",").alias("members"), "representative_id", "representative_text", "size", F.round("mean_probability", 9).alias("mean_probability"), F.round("least_d2", 6).alias("least_d2"), "stability")
 
 
+def cluster_members(spark, sf_dir):
+    """The members of each label as rows, with their distance from its centroid."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    return clusters.members(e).select("cluster_id", "vec_id", F.round("d2", 6).alias("d2"))
+
+
 def concept_edges(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     c = e.groupBy(F.floor(F.col("vec_id") / 25).alias("cluster_id")).agg(F.transform(F.array_sort(F.collect_list("vec_id")), lambda x: x.cast("string")).alias("member_ids"), F.lit(0.95).alias("stability"))
@@ -400,8 +406,8 @@ def ingested_files(spark, sf_dir):
     m = m.withColumn("path", F.when(F.col("pos") % 50 == 47, F.concat("path", F.lit("-gone"))).otherwise(F.col("path")))
     good, bad = ingest.ingest(spark, m, "corpus")
     conv = F.regexp_extract("path", "conv_id=([0-9]+)", 1).cast("long").alias("conv_id")
-    good = good.withColumn("path", F.col("source")).select(conv, F.length("content").alias("n"), F.md5("content").alias("digest"), F.lit(None).cast("string").alias("error_type"))
-    return good.unionByName(bad.select(conv, F.lit(None).cast("int").alias("n"), F.lit(None).cast("string").alias("digest"), "error_type"))
+    good = good.withColumn("path", F.col("source")).select(conv, F.col("doc_pos").alias("pos"), "corpus_id", F.length("content").alias("n"), F.md5("content").alias("digest"))
+    return good.unionByName(bad.select(conv, F.col("pos").cast("long").alias("pos"), "error_type"), allowMissingColumns=True)
 
 
 def parsed_items(spark, sf_dir):
@@ -487,7 +493,7 @@ def cluster_hierarchy(spark, sf_dir):
     forest = components.spanning_forest(clusters.links_within(e.withColumnRenamed("vec_id", "id"), FOREST_EPS))
     labels, value = clusters.hierarchy(forest, FOREST_EPS)
     items = e.join(labels, F.col("vec_id") == F.col("id")).select(F.col("vec_id").cast("string").alias("id"), F.col("vec_id").alias("pos"), F.concat(F.lit("item "), F.col("vec_id").cast("string")).alias("text"), "embedding", "label", F.lit(1.0).alias("probability"))
-    s = clusters.summarise(items, value)
+    s = clusters.summarise(items, value, gather=False)
     return s.select("cluster_id", "size", "representative_id", F.round("least_d2", 6).alias("least_d2"), F.round("stability", 6).alias("stability"))
 
 
@@ -524,7 +530,7 @@ QUERIES = (
     node_degrees, pair_types, dangling_edges, graph_identifiers, motif_gap, motif_cluster, motif_hub, motif_contradiction, motif_chain, motif_counts, trace_replay, trace_round_trip, trace_versions, page_assembly,
     cluster_summary, concept_edges, token_pool, role_softmax, eps_components, document_terms, distinct_terms, sentence_spans, svo_relations, role_term_motifs,
     link_keyword_groups, link_metadata_groups, packets_all, score_violations, tool_outputs, edges_added, document_nodes, endpoints_resolved, trace_store, trace_lookup, ingested_files, parsed_items, parsed_relations, exported_scores,
-    scored_spans, link_strategies, rescored_links, distinct_entities, compare_faults, min_spanning_forest, eps_components_indexed, cluster_hierarchy, stream_ingest, stream_upsert,
+    cluster_members, scored_spans, link_strategies, rescored_links, distinct_entities, compare_faults, min_spanning_forest, eps_components_indexed, cluster_hierarchy, stream_ingest, stream_upsert,
 )
 
 
