@@ -61,6 +61,41 @@ def test_part_of_a_sentence_is_none(spark):
     assert {r["doc_id"]: r["n_found"] for r in licenses.scan(d).collect()} == {0: 0, 1: 1, 2: 0, 3: 0}
 
 
+BSD = NOTICES["BSD-3-Clause"]
+MORE = {
+    "BSD-3-Clause of a named holder": (BSD.replace("the copyright holder nor the names of its contributors", "Google Inc. nor the names of its contributors"), "BSD-3-Clause", "BSD-3-Clause"),
+    "BSD-3-Clause of an author": (NOTICES["BSD-2-Clause"] + "\n\n3. The name of the author may not be used to endorse or promote products derived from this software without specific prior written permission.", "BSD-3-Clause", "BSD-3-Clause"),
+    "BSD-4-Clause": (NOTICES["BSD-2-Clause"] + "\n\n3. All advertising materials mentioning features or use of this software must display the following acknowledgement: This product includes software.", "BSD-4-Clause", "BSD-4-Clause"),
+    "LGPL": ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.", "LGPL-2.1-or-later", "LGPL-2.1-or-later"),
+    "AGPL": ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "AGPL-3.0-or-later", "AGPL-3.0-or-later"),
+    "GPL-2.0-only": ("This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.", "GPL-2.0-only", "GPL-2.0-only"),
+    "zlib": ("Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:", "Zlib", "Zlib"),
+    "CC0": ("To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide.", "CC0-1.0", "CC0-1.0"),
+    "Boost": ("Distributed under the Boost Software License, Version 1.0.", "BSL-1.0", "BSL-1.0"),
+    "0BSD": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.", "0BSD", "0BSD"),
+    "tag": ("// SPDX-License-Identifier: MIT\nint main() {}", "MIT", "MIT"),
+    "longer tag": ("# SPDX-License-Identifier: GPL-2.0-or-later\r\n", "GPL-2.0-or-later", "GPL-2.0-or-later"),
+    "tag of something else": ("SPDX-License-Identifier: LicenseRef-Mine", None, ""),
+    "tag and notice": ("SPDX-License-Identifier: Apache-2.0\nReleased under the MIT License.", "MIT", "MIT,Apache-2.0"),
+    "too long a name": (BSD.replace("the copyright holder", "x " * 60), "BSD-2-Clause", "BSD-2-Clause"),
+}
+
+
+@pytest.mark.parametrize("width", [0, 40, 76])
+def test_slots_tags_and_what_excludes(spark, width):
+    """Holders' names, licences that lack or have a clause more, tags; and the SQL on the same texts, wrapped ones too."""
+    laid = lambda t: "\n".join(line for p in t.split("\n") for line in (textwrap.wrap(p, width, break_on_hyphens=False) if width else [p]))
+    names = list(MORE)
+    d = spark.createDataFrame([(k, laid(MORE[n][0])) for k, n in enumerate(names)] + [(90, None), (91, "")], "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in licenses.scan(d).collect()}
+    assert {names[k]: (r["license"], r["licenses"]) for k, r in rows.items() if k < 90} == {n: MORE[n][1:] for n in names}
+    con = duckdb.connect()
+    con.register("documents", d.toPandas())
+    cur = con.execute(licenses.oracle())
+    columns = [c[0] for c in cur.description]
+    assert sorted(map(repr, cur.fetchall())) == sorted(repr(tuple(r[c] for c in columns)) for r in rows.values())
+
+
 def test_equals_sql_on_tables(spark):
     path = "/root/testdata/sf0.01/documents.parquet"
     con = duckdb.connect()
@@ -75,5 +110,5 @@ def test_equals_sql_on_tables(spark):
 def test_own_sentences(spark):
     """A table of sentences and rules of one's own; no word of it is in the fixed one."""
     d = spark.createDataFrame([(1, "Do what\nyou like. Have fun!"), (2, "Have fun! Do what you like."), (3, None)], "doc_id long, text string")
-    got = {r["doc_id"]: (r["ids"], r["license"]) for r in licenses.scan(d, known={"do what you like": "a", "have fun": "b"}, rules=(("Fun", "own", ("a", "b")),)).collect()}
+    got = {r["doc_id"]: (r["ids"], r["license"]) for r in licenses.scan(d, known={"do what you like": "a", "have fun": "b"}, rules=(("Fun", "own", ("a", "b"), ()),)).collect()}
     assert got == {1: ("a,b", "Fun"), 2: ("b,a", None), 3: ("", None)}
