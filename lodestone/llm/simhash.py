@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from .common import staged
 
 WIDTH, RADIUS = 4, 4
-#: Fingerprints in a tile; a pair of tiles is one task's work of 2^26 comparisons.
-TILE = 8192
+#: Fingerprints in a tile of 512 KB; a pair of tiles is one task's work of 2^32 comparisons. A fingerprint is copied once a tile.
+TILE = 1 << 16
 #: Links that one task may join, two numbers each.
 AT_ONCE = 1 << 18
 
