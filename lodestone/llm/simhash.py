@@ -3,7 +3,7 @@
 Fingerprints are 64 majority bits over XXH64 values of word shingles. Different fingerprints are
 dealt into tiles of like size by population count, since two that differ in r bits have counts at most
 r apart: only tiles whose counts are that near are compared, each pair of tiles as one numpy exclusive-or
-with bit counts. A pair of tiles reports a spanning forest of its links, so that a group of copies
+with bit counts. A tile is one row, so that pairs of tiles are rows, not copies of fingerprints. A pair of tiles reports a spanning forest of its links, so that a group of copies
 costs one link a member; components are then joined by star contraction in Spark.
 
 Defined results: null or empty text has fingerprint 0, linked like any other; rows with null ids
@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from .common import staged
 
 WIDTH, RADIUS = 4, 4
-#: Fingerprints in a tile of 512 KB; a pair of tiles is one task's work of 2^32 comparisons. A fingerprint is copied once a tile.
-TILE = 1 << 16
+#: Fingerprints in a tile, which is one row of 128 KB; a pair of tiles is work of 2^28 comparisons. Most tasks that pairs are dealt to.
+TILE, TASKS = 1 << 14, 4096
 #: Links that one task may join, two numbers each.
 AT_ONCE = 1 << 18
 
@@ -93,17 +93,22 @@ def links(nodes: DataFrame, radius=RADIUS, tile=TILE) -> DataFrame:
     at = lambda values: F.get(F.array(*[F.lit(int(x)) for x in values]), F.col("ones"))
     d = nodes.select("fp", F.bit_count("fp").alias("ones"))
     d = d.select("fp", "ones", (at([first[g] for g in of]) + F.pmod(F.xxhash64("fp"), at([parts[g] for g in of])).cast("int")).alias("tile"))
-    low = [first[of[max(0, shelves[g][0] - radius)]] for g in of]
     high = [first[of[min(64, shelves[g][1] + radius)] + 1] - 1 for g in of]
-    d = d.select("fp", "tile", F.explode(F.sequence(at(low), at(high))).alias("other"))
-    d = d.select("fp", F.least("tile", "other").alias("a"), F.greatest("tile", "other").alias("b"), (F.col("tile") > F.col("other")).alias("right"))
-
-    def compare(key, t):
-        fp, right = t.column("fp").to_numpy().view("u8"), t.column("right").to_numpy(zero_copy_only=False)
-        u, v = _forest(fp, None, radius) if key[0].as_py() == key[1].as_py() else _forest(fp[~right], fp[right], radius)
-        return pa.table({"u": u.view("i8"), "v": v.view("i8")})
-
-    return d.groupBy("a", "b").applyInArrow(compare, "u long, v long")
+    # a tile is one row, which meets those of the tiles above it whose counts are near
+    tiles = staged(d.select("fp", "tile", at(high).alias("high")).groupBy("tile").agg(F.collect_list("fp").alias("fps"), F.first("high").alias("high")), "tiles")
+    pairs = tiles.select(F.col("tile").alias("a"), F.col("fps").alias("left"), F.explode(F.sequence("tile", "high")).alias("b"))
+    pairs = pairs.join(tiles.select(F.col("tile").alias("b"), F.col("fps").alias("right")), "b")
+    n_pairs = sum(high[k] - t + 1 for k in {s[0] for s in shelves} for t in range(first[of[k]], first[of[k] + 1]))
+
+    def compare(batches):
+        for batch in batches:
+            for k in range(len(batch)):
+                a, left, b, right = (batch.column(c)[k] for c in ("a", "left", "b", "right"))
+                fps = [x.values.to_numpy().view("u8") for x in (left, right)]
+                u, v = _forest(fps[0], None if a.as_py() == b.as_py() else fps[1], radius)
+                yield pa.RecordBatch.from_arrays([pa.array(u.view("i8")), pa.array(v.view("i8"))], ["u", "v"])
+
+    return pairs.select("a", "left", "b", "right").repartition(max(1, min(TASKS, n_pairs)), "a", "b").mapInArrow(compare, "u long, v long")
 
 
 def _met(links: DataFrame, least: DataFrame) -> DataFrame:
