@@ -39,11 +39,20 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write df once to the shared folder and read it back: cuts the lineage and outlives executors."""
-    path = shared_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Spark's setting to delete what a job has shuffled as soon as it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def staged(df: DataFrame, name: str, clean: bool = False) -> DataFrame:
+    """Write df once to the shared folder and read it back: cuts the lineage and outlives executors. clean: what was shuffled for it goes when it is written; for plans that run only here."""
+    spark = df.sparkSession
+    path, before = shared_path(spark, name), spark.conf.get(CLEANUP)
+    try:
+        spark.conf.set(CLEANUP, "true" if clean else before)
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def trimmed(text: Column) -> Column:
