@@ -46,7 +46,7 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 def staged(df: DataFrame, name: str, clean: bool = False) -> DataFrame:
     """Write df once to the shared folder and read it back: cuts the lineage and outlives executors. clean: what was shuffled for it goes when it is written; for plans that run only here."""
     spark = df.sparkSession
-    path, before = shared_path(spark, name), spark.conf.get(CLEANUP)
+    path, before = shared_path(spark, name), spark.conf.get(CLEANUP, "false")
     try:
         spark.conf.set(CLEANUP, "true" if clean else before)
         df.write.option("compression", "zstd").parquet(path)
