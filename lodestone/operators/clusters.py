@@ -46,6 +46,8 @@ def summarise(items: DataFrame, persistence: DataFrame | None = None, gather: bo
 
 #: Rows of a block, as a power of two, and pivots by which pairs of blocks are ruled out.
 CELL_BITS, PIVOTS = 10, 6
+#: Most tasks that pairs of blocks are dealt to.
+TASKS = 4096
 
 
 def _vectors(items: DataFrame) -> DataFrame:
@@ -68,26 +70,29 @@ def _blocks(rows: DataFrame, *order: str) -> DataFrame:
     return _kept(d.withColumn("block", F.shiftright("_n", CELL_BITS)).drop("_n"), "blocks")
 
 
-def _near(at: DataFrame, pairs: DataFrame, eps: float) -> DataFrame:
+def _near(at: DataFrame, pairs: DataFrame, eps: float, tasks: int | None = None) -> DataFrame:
     """at (bucket, block, id, e), pairs (bucket, x, y) of its blocks, x <= y, to links (u, v, distance) of at most eps: of each pair of blocks a minimum spanning forest, not all pairs.
 
-    An edge that no forest of a pair of blocks holds is the longest of a cycle and is in no minimum
-    spanning forest of the whole, so components and forests of these links are those of all pairs.
+    A block is one row, so that pairs of blocks are rows and not copies of vectors. An edge that no forest
+    of a pair of blocks holds is the longest of a cycle and is in no minimum spanning forest of the
+    whole, so components and forests of these links are those of all pairs. tasks: what pairs are dealt to.
     """
     from pyspark.sql.pandas.types import to_arrow_type
 
-    left = at.join(pairs, (at["bucket"] == pairs["bucket"]) & (at["block"] == pairs["x"])).select(pairs["bucket"], "x", "y", "id", "e", F.lit(False).alias("other"))
-    right = at.join(pairs.filter("x <> y"), (at["bucket"] == pairs["bucket"]) & (at["block"] == pairs["y"])).select(pairs["bucket"], "x", "y", "id", "e", F.lit(True).alias("other"))
+    packed = _kept(at.groupBy("bucket", "block").agg(F.collect_list(F.struct("id", "e")).alias("rows")), "packed-blocks")
+    side = lambda c, name: packed.select("bucket", F.col("block").alias(c), F.col("rows").alias(name))
+    both = pairs.join(side("x", "left"), ["bucket", "x"]).join(side("y", "right"), ["bucket", "y"]).select((F.col("x") == F.col("y")).alias("same"), "left", "right", "x", "y")
+    both = both.repartition(tasks, "x", "y") if tasks else both
     kind, arrow = at.schema["id"].dataType.simpleString(), to_arrow_type(at.schema["id"].dataType)
 
-    def compare(key, t):
-        e, other = t.column("e").combine_chunks(), t.column("other").to_numpy()
-        ids, size = np.array(t.column("id").to_pylist()), np.diff(e.offsets.to_numpy())
+    def forest(left: pa.Array, right: pa.Array, same: bool) -> pa.RecordBatch:
+        rows = left if same else pa.concat_arrays([left, right])
+        e, other = rows.field("e"), np.arange(len(rows)) >= len(left)
+        ids, size = np.array(rows.field("id").to_pylist()), np.diff(e.offsets.to_numpy())
         found = []
         for n in np.unique(size):  # vectors of different length are never near
             here = np.flatnonzero(size == n)
             v = np.stack([e[int(k)].values.to_numpy() for k in here])
-            same = key[1].as_py() == key[2].as_py()
             p, q = (np.arange(len(here)),) * 2 if same else (np.flatnonzero(~other[here]), np.flatnonzero(other[here]))
             found += [(d, ids[here[a]], ids[here[b]]) for d, a, b in _close(v, p, q, eps)]
         found = sorted((d, min(a, b), max(a, b)) for d, a, b in found)
@@ -97,9 +102,14 @@ def _near(at: DataFrame, pairs: DataFrame, eps: float) -> DataFrame:
             if r != s:
                 parent[r] = s
                 out.append((a, b, d))
-        return pa.table({"u": pa.array([x[0] for x in out], arrow), "v": pa.array([x[1] for x in out], arrow), "distance": pa.array([x[2] for x in out], pa.float64())})
+        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], arrow), pa.array([x[1] for x in out], arrow), pa.array([x[2] for x in out], pa.float64())], ["u", "v", "distance"])
 
-    return left.unionByName(right).groupBy("bucket", "x", "y").applyInArrow(compare, f"u {kind}, v {kind}, distance double")
+    def compare(batches):
+        for batch in batches:
+            for k in range(len(batch)):
+                yield forest(batch.column("left")[k].values, batch.column("right")[k].values, batch.column("same")[k].as_py())
+
+    return both.select("same", "left", "right").mapInArrow(compare, f"u {kind}, v {kind}, distance double")
 
 
 def _close(v: np.ndarray, p: np.ndarray, q: np.ndarray, eps: float):
@@ -143,7 +153,8 @@ def links_within(items: DataFrame, eps: float) -> DataFrame:
     for x in apart:
         on = on & x
     pairs = a.join(b, on).select(F.lit(0).alias("bucket"), F.col("a.block").alias("x"), F.col("b.block").alias("y")).distinct()
-    return _near(at.select("bucket", "block", "id", "e"), pairs, eps).unionByName(equal)
+    pairs = _kept(pairs, "block-pairs")
+    return _near(at.select("bucket", "block", "id", "e"), pairs, eps, max(1, min(TASKS, pairs.count()))).unionByName(equal)
 
 
 def near_links(items: DataFrame, eps: float, tables: int = 12, projections: int = 6, width: float = 4.0, seed: int = 7) -> DataFrame:
