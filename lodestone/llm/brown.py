@@ -24,7 +24,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import staged
@@ -40,8 +40,12 @@ def held_out(doc_id):
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 10 == 0
 
 
-def _words(text) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").lower().split() if text else []
+def _words(text: bytes | None) -> list[bytes]:
+    return text.lower().split() if text else []
+
+
+def _bytes() -> Column:
+    return F.col("text").cast("string").cast("binary").alias("text")
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -59,7 +63,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
                     found.clear()
         yield table()
 
-    return docs.select("text").mapInArrow(each, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return docs.select(_bytes()).mapInArrow(each, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 def _coded(docs: DataFrame, index, m: int) -> DataFrame:
@@ -72,13 +76,13 @@ def _coded(docs: DataFrame, index, m: int) -> DataFrame:
             ids, rare = [], []
             for x in b.column("text"):
                 words = _words(x.as_py())
-                got = [known.get(w, m) for w in words]
-                rare.append([w for w, i in zip(words, got, strict=True) if i == m])
-                ids.append(np.array([*got, end], "<i4").tobytes())
+                got = np.fromiter((known.get(w, m) for w in words), "<i4", len(words))
+                rare.append([words[i] for i in np.flatnonzero(got == m).tolist()])
+                ids.append(np.append(got, np.int32(end)).tobytes())
             yield pa.RecordBatch.from_arrays([b.column("n"), b.column("doc_id"), b.column("held_out"), pa.array(ids, pa.binary()), pa.array(rare, pa.list_(pa.binary()))], ["n", "doc_id", "held_out", "ids", "rare"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("n", "doc_id", "held_out", "text").mapInArrow(each, f"n long, doc_id {kind}, held_out boolean, ids binary, rare array<binary>")
+    return docs.select("n", "doc_id", "held_out", _bytes()).mapInArrow(each, f"n long, doc_id {kind}, held_out boolean, ids binary, rare array<binary>")
 
 
 def _joined(column) -> tuple[np.ndarray, np.ndarray]:
@@ -112,7 +116,7 @@ def class_pairs(coded: DataFrame, of: np.ndarray, classes: int) -> np.ndarray:
             ids, starts = _joined(b.column(0))
             c = of[ids]
             if wide:
-                c[ids == len(of) - 2] = np.concatenate([np.zeros(0, "<i4"), *(np.frombuffer(x.as_py() or b"", "<i4") for x in b.column(1))])
+                c[ids == len(of) - 2] = b.column(1).flatten().to_numpy()
             before, _ = _beside(c, starts, end)
             total += np.bincount(before * a + c, minlength=a * a)
         at = np.nonzero(total)[0]
@@ -153,7 +157,7 @@ def neighbours(coded: DataFrame, of: np.ndarray, classes: int, block: int, block
 
 
 def rare_neighbours(coded: DataFrame, of: np.ndarray, classes: int) -> DataFrame:
-    """The same for words that are not among the frequent ones: word binary."""
+    """The same for words that are not among the frequent ones: word binary. Counted in each batch, then dealt out by word, so that best_classes() needs no further exchange."""
     a, end, known = classes + MORE, classes + END, len(of) - 2
 
     def each(batches):
@@ -163,11 +167,13 @@ def rare_neighbours(coded: DataFrame, of: np.ndarray, classes: int) -> DataFrame
             ids, starts = _joined(b.column(0))
             before, after = _beside(of[ids], starts, end)
             mine = ids == known
-            words = b.column(1).flatten()
-            yield pa.RecordBatch.from_arrays([pa.concat_arrays([words, words]), pa.array(np.append(before[mine], a + after[mine]).astype("i4"))], ["word", "at"])
+            words = b.column(1).flatten().dictionary_encode()
+            w = words.indices.to_numpy().astype("i8") * (2 * a)
+            k, n = np.unique(np.concatenate([w + before[mine], w + a + after[mine]]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([words.dictionary.take(pa.array(k // (2 * a))), pa.array((k % (2 * a)).astype("i4")), pa.array(n)], ["word", "at", "n"])
 
-    rows = coded.filter("not held_out and size(rare) > 0").select("ids", "rare").mapInArrow(each, "word binary, at int")
-    return rows.groupBy("word", "at").agg(F.count("*").alias("n"))
+    rows = coded.filter("not held_out and size(rare) > 0").select("ids", "rare").mapInArrow(each, "word binary, at int, n long")
+    return rows.repartition("word").groupBy("word", "at").agg(F.sum("n").alias("n"))
 
 
 def _f(x: np.ndarray) -> np.ndarray:
@@ -203,7 +209,7 @@ def gains(left: np.ndarray, right: np.ndarray, own: np.ndarray, pairs: np.ndarra
 
 
 def best_classes(rows: DataFrame, of: np.ndarray | None, pairs: np.ndarray, classes: int) -> DataFrame:
-    """rows (word, at, n) to (word, class): each word's best class, its own (of, else none) where no other is better. Words are dealt out; a task holds few at once.
+    """rows (word, at, n), dealt out by word, to (word, c, class): each word's count and best class, its own (of, else none) where no other is better. A task holds few words at once.
 
     Gains are those of the first order, against the matrix as it is; of words that make up more than SHARE of
     all tokens, of which there are few at any size, the exact ones.
@@ -226,7 +232,7 @@ def best_classes(rows: DataFrame, of: np.ndarray | None, pairs: np.ndarray, clas
         i = np.nonzero(own < classes)[0]
         stay = i[g[i, new[i]] <= g[i, own[i]] + 1e-9]
         new[stay] = own[stay]
-        return pa.RecordBatch.from_arrays([code.dictionary, pa.array(new.astype("i4"))], ["word", "class"])
+        return pa.RecordBatch.from_arrays([code.dictionary, pa.array(left.sum(1).astype("i8")), pa.array(new.astype("i4"))], ["word", "c", "class"])
 
     def each(batches):
         rest = None
@@ -243,7 +249,7 @@ def best_classes(rows: DataFrame, of: np.ndarray | None, pairs: np.ndarray, clas
             yield found(rest.column("word"), rest.column("at").to_numpy(), rest.column("n").to_numpy())
 
     kind = rows.schema["word"].dataType.simpleString()
-    return rows.repartition("word").sortWithinPartitions("word").mapInArrow(each, f"word {kind}, class int")
+    return rows.sortWithinPartitions("word").mapInArrow(each, f"word {kind}, c long, class int")
 
 
 def exchange(left: np.ndarray, right: np.ndarray, pairs: np.ndarray, of: np.ndarray, movable: np.ndarray, classes: int) -> int:
@@ -271,6 +277,11 @@ def exchange(left: np.ndarray, right: np.ndarray, pairs: np.ndarray, of: np.ndar
 
 def cluster(coded: DataFrame, m: int, stop: int, classes=CLASSES, leading=LEADING_WORDS, passes=PASSES, blocks=BLOCKS, told: list | None = None) -> np.ndarray:
     """The class of each of m frequent words; two more entries stand for words that are not among them and for an end that training lacks. stop: the end's place. told: gets the likelihood after each step."""
+    return clustered(coded, m, stop, classes, leading, passes, blocks, told)[0]
+
+
+def clustered(coded: DataFrame, m: int, stop: int, classes: int, leading: int, passes: int, blocks: int, told: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The classes of cluster() and the class bigrams under them. What a step shuffles goes before the next."""
     moving = min(leading, m)
     of = np.full(m + 2, classes + WAITING, "i8")
     of[:moving] = np.arange(moving) % classes
@@ -278,7 +289,8 @@ def cluster(coded: DataFrame, m: int, stop: int, classes=CLASSES, leading=LEADIN
     movable = np.array([i for i in range(moving) if i != stop], "i8")
     a = classes + MORE
     for _ in range(passes):
-        rows = neighbours(coded, of, classes, 0, 1, moving).groupBy("word", "at").agg(F.sum("n").alias("n")).toArrow()  # of fixed size
+        rows = neighbours(coded, of, classes, 0, 1, moving).groupBy("word", "at").agg(F.sum("n").alias("n"))
+        rows = staged(rows, "leading-words", clean=True).toArrow()  # of fixed size
         count = np.zeros((moving, 2 * a))
         count[rows.column("word").to_numpy(), rows.column("at").to_numpy()] = rows.column("n").to_numpy()
         pairs = class_pairs(coded, of, classes)
@@ -288,7 +300,8 @@ def cluster(coded: DataFrame, m: int, stop: int, classes=CLASSES, leading=LEADIN
             break
     pairs = class_pairs(coded, of, classes)
     for block in range(blocks):
-        r = best_classes(neighbours(coded, of, classes, block, blocks), of, pairs, classes).toArrow()  # a row for each frequent word of the block
+        r = best_classes(neighbours(coded, of, classes, block, blocks).repartition("word"), of, pairs, classes)
+        r = staged(r, "block", clean=True).toArrow()  # a row for each frequent word of the block
         w, c = r.column("word").to_numpy(), r.column("class").to_numpy()
         new = of.copy()
         new[w[w != stop]] = c[w != stop]
@@ -298,7 +311,7 @@ def cluster(coded: DataFrame, m: int, stop: int, classes=CLASSES, leading=LEADIN
             of, pairs = new, after
         if told is not None:
             told.append(likelihood(pairs))
-    return of
+    return of, pairs
 
 
 def tables(pairs: np.ndarray, in_class: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -316,7 +329,7 @@ def score(docs: DataFrame, id_col="doc_id", text_col="text", classes=CLASSES, le
     """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 probabilities)."""
     spark = docs.sparkSession
     d = docs.select(F.monotonically_increasing_id().alias("n"), F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).cast("string").alias("text"))
-    counts = staged(word_counts(d.filter("not held_out")), "words")
+    counts = staged(word_counts(d.filter("not held_out")), "words", clean=True)
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     is_end = F.length("word") == 0
     top = counts.filter(~is_end).orderBy(F.desc("c"), "word").limit(frequent_words).toArrow()  # of bounded size
@@ -328,32 +341,23 @@ def score(docs: DataFrame, id_col="doc_id", text_col="text", classes=CLASSES, le
     index = spark.sparkContext.broadcast({w: i for i, w in enumerate(words)})
     coded = staged(_coded(d, index, m), "coded")
     del words, top
-    of = cluster(coded, m, stop, classes, leading_words, passes, blocks)
-    pairs = class_pairs(coded, of, classes)
+    of, pairs = clustered(coded, m, stop, classes, leading_words, passes, blocks)
 
     kinds, in_class = np.bincount(of[:m], minlength=a).astype(float), np.bincount(of[:m], weights=c, minlength=a)
     if total["v"] > m:
-        rare = best_classes(rare_neighbours(coded, of, classes), None, pairs, classes).withColumnRenamed("word", "_word")
-        rare = staged(counts.join(rare, F.col("word") == F.col("_word")).select("word", "c", "class"), "rare-words")
+        rare = staged(best_classes(rare_neighbours(coded, of, classes), None, pairs, classes), "rare-words", clean=True)
         for r in rare.groupBy("class").agg(F.count("*").alias("v"), F.sum("c").alias("c")).collect():  # a row a class
             kinds[r["class"]] += r["v"]
             in_class[r["class"]] += r["c"]
         at = coded.select("n", F.posexplode("rare").alias("k", "word")).join(rare.withColumnRenamed("word", "_word"), F.col("word") == F.col("_word"), "left")
         at = at.groupBy(F.col("n").alias("_n")).agg(F.array_sort(F.collect_list(F.struct("k", F.coalesce("class", F.lit(classes + UNSEEN)).alias("class"), F.coalesce("c", F.lit(0)).alias("c")))).alias("at"))
-        coded = coded.drop("rare").join(at, F.col("n") == F.col("_n"), "left").drop("_n")
+        at = at.select("_n", F.col("at.class").alias("placed"), F.col("at.c").alias("counted"))
+        coded = coded.drop("rare").join(at, F.col("n") == F.col("_n"), "left")
     else:
-        unseen = F.transform("rare", lambda w, k: F.struct(k.alias("k"), F.lit(classes + UNSEEN).alias("class"), F.lit(0).cast("long").alias("c")))
-        coded = coded.withColumn("at", unseen).drop("rare")
-
-    def filled(batches):
-        for b in batches:
-            at = b.column("at").to_pylist()
-            of_rare = [np.array([x["class"] for x in v or ()], "<i4").tobytes() for v in at]
-            counted = [np.array([x["c"] for x in v or ()], "<i8").tobytes() for v in at]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), b.column("ids"), pa.array(of_rare, pa.binary()), pa.array(counted, pa.binary())], ["doc_id", "held_out", "ids", "placed", "counted"])
-
+        each_rare = lambda x, kind: F.transform("rare", lambda w: F.lit(x).cast(kind))
+        coded = coded.select("*", each_rare(classes + UNSEEN, "int").alias("placed"), each_rare(0, "long").alias("counted"))
     kind = d.schema["doc_id"].dataType.simpleString()
-    coded = staged(coded.select("doc_id", "held_out", "ids", "at").mapInArrow(filled, f"doc_id {kind}, held_out boolean, ids binary, placed binary, counted binary"), "placed")
+    coded = staged(coded.select("doc_id", "held_out", "ids", "placed", "counted"), "placed", clean=True)
     moves, below = tables(class_pairs(coded, of, classes), in_class, kinds)
     base_below = float(np.log10(total["n"] + ADD * (total["v"] + 1)))
     c = np.append(c, [0, 0])
@@ -365,7 +369,8 @@ def score(docs: DataFrame, id_col="doc_id", text_col="text", classes=CLASSES, le
             for x, p, q in zip(b.column("ids"), b.column("placed"), b.column("counted"), strict=True):
                 ids = np.frombuffer(x.as_py(), "<i4")
                 k, n, other = of[ids], c[ids], ids == m
-                k[other], n[other] = np.frombuffer(p.as_py(), "<i4"), np.frombuffer(q.as_py(), "<i8")
+                if p.is_valid:
+                    k[other], n[other] = p.values.to_numpy(), q.values.to_numpy()
                 own = np.log10(n + ADD)
                 emitted = np.where(n > 0, own - below[k], 0)  # what training never saw is all of its class
                 before = np.append(end, k[:-1])
