@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,8 +47,12 @@ def summarise(items: DataFrame, persistence: DataFrame | None = None, gather: bo
 
 #: Rows of a block, as a power of two, and pivots by which pairs of blocks are ruled out.
 CELL_BITS, PIVOTS = 10, 6
+#: Blocks that links_within() cuts a table into, so that a vector is copied that often at most, and rows of a block at most, as a power of two: beyond BLOCKS times as many there are more blocks.
+BLOCKS, MOST_BITS = 32, 15
 #: Most tasks that pairs of blocks are dealt to.
 TASKS = 4096
+#: Links of a pair of blocks that are held before they are thinned to a forest.
+LINKS = 1 << 19
 
 
 def _vectors(items: DataFrame) -> DataFrame:
@@ -64,10 +69,11 @@ def _equal(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     return first, pairs.select("u", F.col("id").alias("v"), F.lit(0.0).alias("distance")).distinct()
 
 
-def _blocks(rows: DataFrame, *order: str) -> DataFrame:
-    """rows with a block of at most 2**CELL_BITS rows that follow each other in the order."""
-    d = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_n", F.monotonically_increasing_id())
-    return _kept(d.withColumn("block", F.shiftright("_n", CELL_BITS)).drop("_n"), "blocks")
+def _blocks(rows: DataFrame, *order: str, bits: int | None = None, ranges: tuple[int, ...] = ()) -> DataFrame:
+    """rows with a block of at most 2**bits rows (CELL_BITS) that follow each other in the order, none of them in two of the ranges."""
+    bits = CELL_BITS if bits is None else bits
+    d = rows.repartitionByRange(*ranges, *order).sortWithinPartitions(*order).withColumn("_n", F.monotonically_increasing_id())
+    return _kept(d.withColumn("block", F.shiftright("_n", bits)).drop("_n"), "blocks")
 
 
 def _near(at: DataFrame, pairs: DataFrame, eps: float, tasks: int | None = None) -> DataFrame:
@@ -88,21 +94,21 @@ def _near(at: DataFrame, pairs: DataFrame, eps: float, tasks: int | None = None)
     def forest(left: pa.Array, right: pa.Array, same: bool) -> pa.RecordBatch:
         rows = left if same else pa.concat_arrays([left, right])
         e, other = rows.field("e"), np.arange(len(rows)) >= len(left)
-        ids, size = np.array(rows.field("id").to_pylist()), np.diff(e.offsets.to_numpy())
-        found = []
+        ids, size = rows.field("id"), np.diff(e.offsets.to_numpy())
+        order = np.empty(len(rows), "i8")  # places of the rows in the order of their ids
+        order[pc.sort_indices(ids).to_numpy()] = np.arange(len(rows))
+        found = [np.zeros(0), np.zeros(0, "i8"), np.zeros(0, "i8")]
         for n in np.unique(size):  # vectors of different length are never near
             here = np.flatnonzero(size == n)
-            v = np.stack([e[int(k)].values.to_numpy() for k in here])
+            v = e.take(pa.array(here)).flatten().to_numpy().reshape(len(here), n)
             p, q = (np.arange(len(here)),) * 2 if same else (np.flatnonzero(~other[here]), np.flatnonzero(other[here]))
-            found += [(d, ids[here[a]], ids[here[b]]) for d, a, b in _close(v, p, q, eps)]
-        found = sorted((d, min(a, b), max(a, b)) for d, a, b in found)
-        parent, out = {}, []
-        for d, a, b in found:
-            r, s = _root(parent, a), _root(parent, b)
-            if r != s:
-                parent[r] = s
-                out.append((a, b, d))
-        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], arrow), pa.array([x[1] for x in out], arrow), pa.array([x[2] for x in out], pa.float64())], ["u", "v", "distance"])
+            for d, a, b in _close(v, p, q, eps):
+                found = [np.concatenate(c) for c in zip(found, (d, here[a], here[b]), strict=True)]
+                if len(found[0]) > LINKS:
+                    found = _thinned(*found, order)
+        d, a, b = _thinned(*found, order)
+        u, v = np.where(order[a] < order[b], a, b), np.where(order[a] < order[b], b, a)
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(u)).cast(arrow), ids.take(pa.array(v)).cast(arrow), pa.array(d)], ["u", "v", "distance"])
 
     def compare(batches):
         for batch in batches:
@@ -112,18 +118,50 @@ def _near(at: DataFrame, pairs: DataFrame, eps: float, tasks: int | None = None)
     return both.select("same", "left", "right").mapInArrow(compare, f"u {kind}, v {kind}, distance double")
 
 
+def _thinned(d: np.ndarray, a: np.ndarray, b: np.ndarray, order: np.ndarray) -> list[np.ndarray]:
+    """The minimum spanning forest of links (d, a, b) by Boruvka's rounds; of equal distances that of least ends in the order comes first."""
+    low, high = np.minimum(order[a], order[b]), np.maximum(order[a], order[b])
+    by = np.lexsort((high, low, d))
+    d, a, b = d[by], a[by], b[by]
+    label, stay, taken = np.arange(len(order)), np.arange(len(d)), []
+    while len(stay):
+        u, v = label[a[stay]], label[b[stay]]
+        stay, u, v = stay[u != v], u[u != v], v[u != v]
+        least = np.full(len(order), len(d))
+        np.minimum.at(least, u, stay)
+        np.minimum.at(least, v, stay)
+        if not len(edge := np.unique(least[least < len(d)])):
+            break
+        taken.append(edge)
+        point = np.arange(len(order))  # each component points over its least edge; of two that point at each other the lower is the root
+        comp = np.flatnonzero(least < len(d))
+        x, y = label[a[least[comp]]], label[b[least[comp]]]
+        point[comp] = np.where(x == comp, y, x)
+        mutual = (point[point] == np.arange(len(order))) & (np.arange(len(order)) < point)
+        point[mutual] = np.flatnonzero(mutual)
+        while (point[point] != point).any():
+            point = point[point]
+        label = point[label]
+    edge = np.concatenate([np.zeros(0, "i8"), *taken])
+    return [d[edge], a[edge], b[edge]]
+
+
 def _close(v: np.ndarray, p: np.ndarray, q: np.ndarray, eps: float):
-    """(distance, a, b) for a of p and b of q at most eps apart, different rows of v: first by products with a margin, then exactly."""
+    """(distances, a, b) of a of p and b of q at most eps apart, different rows of v: first by products with a margin, then exactly."""
     squares = (v * v).sum(1)
     margin = 1e-9 * (1 + squares.max(initial=0))
-    for at in range(0, len(p), 64):
-        a = p[at : at + 64]
-        rough = squares[a][:, None] + squares[q][None, :] - 2 * (v[a] @ v[q].T)
-        i, j = np.nonzero(rough <= eps * eps + margin)
-        i, j = a[i], q[j]
-        i, j = i[i != j], j[i != j]
-        d = np.sqrt(((v[i] - v[j]) ** 2).sum(1))
-        yield from ((float(x), int(y), int(z)) for x, y, z in zip(d, i, j, strict=True) if x <= eps)
+    few = 1 << 10
+    for at in range(0, len(p), few):
+        for to in range(0, len(q), few):
+            a, b = p[at : at + few], q[to : to + few]
+            rough = squares[a][:, None] + squares[b][None, :] - 2 * (v[a] @ v[b].T)
+            i, j = np.nonzero(rough <= eps * eps + margin)
+            i, j = a[i], b[j]
+            i, j = i[i != j], j[i != j]
+            for k in range(0, len(i), 1 << 16):
+                x, y = i[k : k + (1 << 16)], j[k : k + (1 << 16)]
+                d = np.sqrt(((v[x] - v[y]) ** 2).sum(1))
+                yield d[d <= eps], x[d <= eps], y[d <= eps]
 
 
 def links_within(items: DataFrame, eps: float) -> DataFrame:
@@ -143,7 +181,10 @@ def links_within(items: DataFrame, eps: float) -> DataFrame:
     names = [f"d{k}" for k in range(len(pivots))]
     d = first.select("id", "e", *[a.alias(n) for a, n in zip(away, names, strict=True)])
     d = d.select("*", F.lit(0).alias("bucket"), *[F.floor(F.col(n) / eps).alias(f"s{n}") for n in names], F.xxhash64("e").alias("_h"))
-    at = _blocks(d, *[f"s{n}" for n in names], "_h")
+    # blocks grow with the table: as many pairs of them, and as many copies of a vector, whatever its size
+    n = first.count()
+    bits = max(CELL_BITS, min(MOST_BITS, (n // BLOCKS).bit_length()))
+    at = _blocks(d, *[f"s{n}" for n in names], "_h", bits=bits, ranges=(max(1, -(-n // (1 << bits))),))
     spread = at.groupBy("block").agg(*[f(n).alias(f"{g}{n}") for n in names for f, g in ((F.min, "lo"), (F.max, "hi"))])
     spread = _kept(spread, "block-ranges")
     steps = lambda more: F.explode(F.sequence(F.floor(F.col("lod0") / eps).cast("int") - more, F.floor(F.col("hid0") / eps).cast("int") + more)).alias("_s")
