@@ -23,7 +23,7 @@ from .common import staged
 WIDTH, RADIUS = 4, 4
 #: Fingerprints in a tile, which is one row of 128 KB; a pair of tiles is work of 2^28 comparisons. Most tasks that pairs are dealt to.
 TILE, TASKS = 1 << 14, 4096
-#: Links that one task may join, two numbers each.
+#: Links, two numbers each, beyond which a round deals them out anew, about as many to a task.
 AT_ONCE = 1 << 18
 
 
@@ -117,37 +117,17 @@ def _met(links: DataFrame, least: DataFrame) -> DataFrame:
     return links.withColumn("_k", key).join(least.select(key.alias("_l"), "m"), F.col("_k") == F.col("_l")).drop("_k", "_l")
 
 
-def _joined(edges: DataFrame) -> DataFrame:
-    """components() of few links, in one task."""
-
-    def root(up: dict, x: int) -> int:
-        while (y := up.setdefault(x, x)) != x:
-            up[x] = x = up[y]
-        return x
-
-    def join(batches):
-        up: dict[int, int] = {}
-        for b in batches:
-            for u, v in zip(b.column("u").to_pylist(), b.column("v").to_pylist(), strict=True):
-                p, q = root(up, u), root(up, v)
-                up[max(p, q)] = min(p, q)
-        found = [(x, r) for x in list(up) if (r := root(up, x)) != x]
-        yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["node", "root"])
-
-    return staged(edges.select("u", "v").repartition(1).mapInArrow(join, "node long, root long"), "components")
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(u, v) links to (node, root), the least node reachable, by alternating star contraction; roots and nodes without links are absent.
 
-    Up to AT_ONCE links, or what rounds of contraction leave of more, are joined in one task.
+    Every link goes through the rounds, however few there are; many are dealt out to tasks of about AT_ONCE.
     """
     mark = F.struct(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")))
     e = staged(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), "links")
     seen = e.select(mark.alias("m")).first()
     while seen["m"][0]:
-        if seen["m"][0] <= AT_ONCE:
-            return _joined(e)
+        if seen["m"][0] > AT_ONCE:
+            e = e.repartition(min(TASKS, seen["m"][0] // max(1, AT_ONCE) + 1), "u", "v")
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = _met(both, least).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
