@@ -16,3 +16,13 @@ def test_words_are_dealt_out_by_characters(spark, tmp_path, monkeypatch):
     got = {r.start: (r.text, r.end) for r in e.filter("doc_id = '7:3'").collect()}
     text = rows[7 * 5 + 3][3]
     assert len(got) == 10 and all(text[a:b] == t for a, (t, b) in got.items())
+
+
+def test_plugins_of_compare_get_short_batches(spark):
+    packets = spark.range(3000).selectExpr("CAST(id AS string) AS request_id", "'a text' AS text", "TIMESTAMP '2024-01-01' AS ts").coalesce(1)
+    configs = spark.createDataFrame([(0, "c", "counts", False)], "pos int, name string, reasoner string, evaluate boolean")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    counts = Plugin("counts", lambda: lambda texts: [{"steps": [str(len(texts))], "confidence": 0.5} for _ in texts], "struct<steps:array<string>,confidence:double>", batch=1 << 20)
+    got = runs.compare(packets, configs, {"counts": counts}).selectExpr("CAST(steps[0] AS int) AS n").collect()
+    assert len(got) == 3000 and max(r.n for r in got) <= 1024
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
