@@ -253,7 +253,7 @@ def repeated_windows(docs: DataFrame, width=WIDTH, most=MOST_CONTEXTS) -> DataFr
     r = r.filter("all > 1").withColumn("whole", F.sum(_times()).over(wc)).withColumn("one", F.row_number().over(wc.orderBy("n", "at")) == 1)
     r = r.withColumn("open", F.col("mixed") & F.col("one"))
     r = r.withColumn("wide", F.sum(F.col("open").cast("int")).over(w) > most)
-    r = staged(r.select("n", _first().alias("p0"), _last().alias("p1"), (F.col("whole") > 1).alias("again"), "open", "wide", F.when(F.col("open"), F.col("key")).alias("key"), F.least("whole", F.lit(2)).cast("int").alias("times")), "phrases")
+    r = staged(r.select("n", _first().alias("p0"), _last().alias("p1"), (F.col("whole") > 1).alias("again"), "open", "wide", F.when(F.col("open"), F.col("key")).alias("key"), F.least("whole", F.lit(2)).cast("int").alias("times")), "phrases", clean=True)
     narrow = _neighbours(_dictionary(_spans(docs, r.filter("open AND NOT wide")), width), width)
     singles = _windows(_spans(docs, r.filter("open AND wide")), width)
     singles = singles.withColumn("all", F.sum(_times()).over(W.partitionBy("g", "h"))).filter("all > 1").select("n", _first().alias("p0"), _last().alias("p1"))
@@ -263,11 +263,13 @@ def repeated_windows(docs: DataFrame, width=WIDTH, most=MOST_CONTEXTS) -> DataFr
 def remove_repeats(docs: DataFrame, id_col="doc_id", text_col="text", width=WIDTH, most=MOST_CONTEXTS) -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, kept (the remaining bytes), n_removed, n_spans, kept_sha256.
 
-    Texts are read more than once and meet by row numbers, so the numbered texts are written once first.
+    Texts are read more than once and meet by row numbers, so the numbered texts are written once first. What a step
+    shuffles goes before the next.
     """
     d = docs.select(F.monotonically_increasing_id().alias("n"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     d = staged(d, "texts")
-    found = repeated_windows(d, width, most).groupBy(F.col("n").alias("m")).agg(F.collect_list(F.struct("p0", "p1")).alias("spans"))
+    found = staged(repeated_windows(d, width, most), "repeated", clean=True)  # few; the texts shuffled to find them go
+    found = found.groupBy(F.col("n").alias("m")).agg(F.collect_list(F.struct("p0", "p1")).alias("spans"))
     kind = d.schema["doc_id"].dataType.simpleString()
 
     def each(batches):

@@ -2,8 +2,10 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -115,6 +117,19 @@ def test_repeats(docs, small):
             assert Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in rows(repeats.remove_repeats(d, most=most))) == want
 
 
+def test_repeats_leave_nothing_shuffled(spark, docs):
+    """What is shuffled to find repeats, texts among it, goes before the texts are shuffled once more."""
+    folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    shuffled = lambda: {f.name for d in folders for f in Path(d.getPath()).rglob("shuffle_*.data")}
+    before = shuffled()
+    repeats.remove_repeats(docs)
+    for _ in range(20):
+        if not shuffled() - before:
+            break
+        time.sleep(0.5)
+    assert not shuffled() - before
+
+
 def test_suffix_order():
     """In order of bytes, and with the places of equal suffixes."""
     rng = np.random.default_rng(2)
