@@ -21,6 +21,7 @@ an empty table gives no rows; without training texts all counts are 0.
 from __future__ import annotations
 
 from collections import Counter
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -76,7 +77,7 @@ def _coded(docs: DataFrame, index, m: int) -> DataFrame:
             ids, rare = [], []
             for x in b.column("text"):
                 words = _words(x.as_py())
-                got = np.fromiter((known.get(w, m) for w in words), "<i4", len(words))
+                got = np.fromiter(map(known.get, words, repeat(m)), "<i4", len(words))
                 rare.append([words[i] for i in np.flatnonzero(got == m).tolist()])
                 ids.append(np.append(got, np.int32(end)).tobytes())
             yield pa.RecordBatch.from_arrays([b.column("n"), b.column("doc_id"), b.column("held_out"), pa.array(ids, pa.binary()), pa.array(rare, pa.list_(pa.binary()))], ["n", "doc_id", "held_out", "ids", "rare"])
@@ -87,8 +88,9 @@ def _coded(docs: DataFrame, index, m: int) -> DataFrame:
 
 def _joined(column) -> tuple[np.ndarray, np.ndarray]:
     """The numbers of a batch of texts one after the other, and where each text starts."""
-    parts = [np.frombuffer(x.as_py(), "<i4") for x in column]
-    return np.concatenate([np.zeros(0, "<i4"), *parts]), np.cumsum([0, *map(len, parts)])[:-1]
+    ends = np.frombuffer(column.buffers()[1], "<i4")[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2], "u1")[ends[0] : ends[-1]]
+    return data.view("<i4"), (ends[:-1] - ends[0]).astype("i8") // 4
 
 
 def _beside(c: np.ndarray, starts: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
@@ -117,7 +119,8 @@ def class_pairs(coded: DataFrame, of: np.ndarray, classes: int) -> np.ndarray:
             c = of[ids]
             if wide:
                 c[ids == len(of) - 2] = b.column(1).flatten().to_numpy()
-            before, _ = _beside(c, starts, end)
+            before = np.append(end, c[:-1])
+            before[starts] = end
             total += np.bincount(before * a + c, minlength=a * a)
         at = np.nonzero(total)[0]
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["at", "n"])
@@ -157,7 +160,7 @@ def neighbours(coded: DataFrame, of: np.ndarray, classes: int, block: int, block
 
 
 def rare_neighbours(coded: DataFrame, of: np.ndarray, classes: int) -> DataFrame:
-    """The same for words that are not among the frequent ones: word binary. Counted in each batch, then dealt out by word, so that best_classes() needs no further exchange."""
+    """The same for words that are not among the frequent ones: word binary. Counted in each batch, then dealt out by word; best_classes() adds up what batches have of a word, since few of these rows are alike."""
     a, end, known = classes + MORE, classes + END, len(of) - 2
 
     def each(batches):
@@ -173,7 +176,7 @@ def rare_neighbours(coded: DataFrame, of: np.ndarray, classes: int) -> DataFrame
             yield pa.RecordBatch.from_arrays([words.dictionary.take(pa.array(k // (2 * a))), pa.array((k % (2 * a)).astype("i4")), pa.array(n)], ["word", "at", "n"])
 
     rows = coded.filter("not held_out and size(rare) > 0").select("ids", "rare").mapInArrow(each, "word binary, at int, n long")
-    return rows.repartition("word").groupBy("word", "at").agg(F.sum("n").alias("n"))
+    return rows.repartition("word")
 
 
 def _f(x: np.ndarray) -> np.ndarray:
@@ -209,7 +212,7 @@ def gains(left: np.ndarray, right: np.ndarray, own: np.ndarray, pairs: np.ndarra
 
 
 def best_classes(rows: DataFrame, of: np.ndarray | None, pairs: np.ndarray, classes: int) -> DataFrame:
-    """rows (word, at, n), dealt out by word, to (word, c, class): each word's count and best class, its own (of, else none) where no other is better. A task holds few words at once.
+    """rows (word, at, n; the same word and at more than once adds up), dealt out by word, to (word, c, class): each word's count and best class, its own (of, else none) where no other is better. A task holds few words at once.
 
     Gains are those of the first order, against the matrix as it is; of words that make up more than SHARE of
     all tokens, of which there are few at any size, the exact ones.
@@ -221,8 +224,8 @@ def best_classes(rows: DataFrame, of: np.ndarray | None, pairs: np.ndarray, clas
 
     def found(word, at, n):
         code = word.dictionary_encode()
-        count = np.zeros((len(code.dictionary), 2 * a))
-        np.add.at(count, (code.indices.to_numpy(), at), n)
+        place = code.indices.to_numpy().astype("i8") * (2 * a) + at
+        count = np.bincount(place, weights=n, minlength=len(code.dictionary) * 2 * a).reshape(-1, 2 * a)
         own = of[code.dictionary.to_numpy()] if of is not None else np.full(len(count), classes + WAITING)
         left, right = count[:, :a], count[:, a:]
         g = (left @ to_class + right @ from_class) - left.sum(1)[:, None] * alone

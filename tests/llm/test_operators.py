@@ -397,3 +397,14 @@ def test_hamming_join_and_votes_equal_brute_force(spark):
     for (q, c, *_), corners in votes.items():
         most[q, c] = max(len(corners), most.get((q, c), 0))
     assert {(r["query"], r["class"]): r["votes"] for r in images.consensus(pairs).collect()} == {k: n for k, n in most.items() if n >= images.MIN_VOTES}
+
+
+def test_rare_words_are_added_up_once(spark):
+    """Rows of a rare word come to its task as the batches counted them, and add up there whatever batch they are from."""
+    d = spark.createDataFrame([(k, str(k), "known rare" + (" rare" if k % 2 else "") + f" own{k}") for k in range(8)], "n long, doc_id string, text string").withColumn("held_out", F.lit(False))
+    coded = brown._coded(d.repartition(4), spark.sparkContext.broadcast({b"known": 0, b"": 1}), 2)
+    of = np.array([0, 1 + brown.END, brown.WAITING + 1, 1 + brown.END])
+    near = brown.rare_neighbours(coded, of, 1)
+    assert "Aggregate" not in near._jdf.queryExecution().executedPlan().toString()
+    got = {bytes(r["word"]): r["c"] for r in rows(brown.best_classes(near, None, brown.class_pairs(coded, of, 1), 1))}
+    assert got == {b"rare": 12} | {f"own{k}".encode(): 1 for k in range(8)}
