@@ -27,6 +27,11 @@ def tool_names() -> list[str]:
     return sorted(TOOLS)
 
 
+def normalised(raw: DataFrame) -> DataFrame:
+    """raw with its texts as accept() makes them, unjudged: blank ones are empty, null ones stay null."""
+    return raw.withColumn("text", normalise(F.col("text")))
+
+
 def accept(raw: DataFrame, max_length: int = MAX_LENGTH) -> DataFrame:
     """raw (text, source, ...) normalised, with error_code (null if accepted), actual_length and max_length.
 
